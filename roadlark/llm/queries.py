@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm import mixing, quality, sharding
-from roadlark.llm.common import documents
+from roadlark.llm import bpe, covertree, jaccard, mixing, quality, sharding, tokenfiles
+from roadlark.llm.common import Scratch, documents
+
+
+def byte_bpe_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +20,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join(documents(spark, sf_dir).select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    tokenfiles.write(documents(spark, sf_dir).select("doc_id", "text"), path, byte_bpe_file(), end=2)
+    return tokenfiles.read(spark, path)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), byte_bpe_file())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
