@@ -127,6 +127,7 @@ def set_id(hashes: np.ndarray) -> int:
     """Signed 64-bit identity of a set; 0 for the empty one."""
     if not len(hashes):
         return 0
-    total = mix(np.array([mix(hashes).sum(), np.bitwise_xor.reduce(mix(hashes + _ODD)) + np.uint64(len(hashes))], np.uint64))
-    x = int(mix(np.array([total[0] * _STEPS[1] + total[1]]))[0]) or 1
+    sums = np.array([mix(hashes).sum(), np.bitwise_xor.reduce(mix(hashes + _ODD))], np.uint64)
+    sums = mix(sums + np.array([0, len(hashes)], np.uint64))
+    x = int(mix(sums[:1] * _STEPS[1] + sums[1:])[0]) or 1
     return x - (1 << 64) if x >= 1 << 63 else x

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +43,7 @@ FREQUENT, MAX_FREQUENT = 64, 1_000_000
 #: Frequencies are counted for the lower part of the hash space, where prefixes end.
 COUNTED = np.uint64(int(0.4 * 2**64))
 SMALL_CELL, SALT_NODES, FLUSH = 8, 4096, 1 << 20
+MET = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("a", "b", "top")]])
 BITS = np.uint64(16)  # shingles are ordered and matched by their upper 48 bits
 
 
@@ -245,51 +247,50 @@ def _meetings(docs: DataFrame, ranges: int, frequent: tuple[np.ndarray, np.ndarr
         if size:
             yield from flush()
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        is_node = frame["node"].notna()
-        out = [frame.loc[is_node, ["row_key", "doc_id", "node", "n", "counts"]].assign(kind=0, a=0, b=0, top=0)]
-        posts = frame[~is_node]
-        if len(posts):
-            cells = np.concatenate([_unpacked(x) for x in posts["cells"]])
-            nodes = np.concatenate([np.frombuffer(x, np.int64) for x in posts["nodes"]])
-            tops = np.concatenate([_unpacked(t) if t is not None else np.zeros(len(c) // 6, np.uint64) for c, t in zip(posts["cells"], posts["tops"], strict=True)])
+    def meet(table: pa.Table) -> pa.Table:
+        def rows(kind: int, size: int, **given) -> pa.Table:
+            given["kind"] = np.full(size, kind, np.int32)
+            return pa.table([pa.array(given[f.name], f.type) if isinstance(given.get(f.name), np.ndarray) else given.get(f.name, pa.nulls(size, f.type)) for f in MET], schema=MET)
+
+        is_node = pc.is_valid(table["node"])
+        nodes_of = table.filter(is_node)
+        out = [rows(0, len(nodes_of), **{c: nodes_of[c] for c in ("row_key", "doc_id", "node", "n", "counts")})]
+        posts = table.filter(pc.invert(is_node)).select(["cells", "nodes", "tops"]).to_pylist()
+        if posts:
+            cells = np.concatenate([_unpacked(x["cells"]) for x in posts])
+            nodes = np.concatenate([np.frombuffer(x["nodes"], np.int64) for x in posts])
+            tops = np.concatenate([_unpacked(x["tops"]) if x["tops"] is not None else np.zeros(len(x["cells"]) // 6, np.uint64) for x in posts])
             order = np.lexsort((nodes, cells))
             cells, nodes, tops = cells[order], nodes[order], tops[order]
             new = np.r_[True, (cells[1:] != cells[:-1]) | (nodes[1:] != nodes[:-1])]
             cells, nodes, tops = cells[new], nodes[new], tops[new]
             first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
             many = np.diff(np.r_[first, len(cells)])
-            pairs = []
+            pairs = [np.empty((0, 2), np.int64)]
             for size in range(2, SMALL_CELL + 1):
                 at = first[(many == size) & (tops[first] == 0)]
-                for i in range(size):
-                    for j in range(i + 1, size):
-                        pairs.append(np.stack([nodes[at + i], nodes[at + j]], 1))
-            members = []
-            seen: set[bytes] = set()
+                pairs += [np.stack([nodes[at + i], nodes[at + j]], 1) for i in range(size) for j in range(i + 1, size)]
+            members, seen = [], set()
             for at, size in zip(first, many, strict=True):
-                if (size > SMALL_CELL or tops[at]) and (size > 1 or tops[at]):
+                if size > SMALL_CELL or tops[at]:
                     own = nodes[at : at + size]
-                    name = own.tobytes() + tops[at].tobytes() if tops[at] else own.tobytes()
+                    name = own.tobytes() + (cells[at].tobytes() if tops[at] else b"")
                     if name in seen:  # the same nodes share many shingles; once is enough
                         continue
                     seen.add(name)
                     pairs.append(np.stack([np.full(size - 1, own[0]), own[1:]], 1))
-                    members.append((np.full(size, cells[at].astype(np.int64)), own, np.full(size, tops[at].astype(np.int64))))
-            if pairs:
-                found = np.concatenate(pairs)
-                out.append(pd.DataFrame({"a": found[:, 0], "b": found[:, 1]}).drop_duplicates().assign(kind=1))
+                    members.append((np.full(size, cells[at]).astype(np.int64), own, np.full(size, tops[at]).astype(np.int64)))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            out.append(rows(1, len(found), a=found[:, 0], b=found[:, 1]))
             if members:
                 cell, own, top = (np.concatenate(x) for x in zip(*members, strict=True))
-                out.append(pd.DataFrame({"a": cell, "b": own, "top": top, "kind": 2}))
-        both = pd.concat(out, ignore_index=True)
-        both = both.astype({k: "Int64" for k in ("row_key", "doc_id", "node", "n", "a", "b", "top", "kind")})
-        return both[["kind", "row_key", "doc_id", "node", "n", "counts", "a", "b", "top"]]
+                out.append(rows(2, len(own), a=cell, b=own, top=top))
+        return pa.concat_tables(out)
 
     keyed = docs.select(row_key("doc_id", text).alias("_key"), F.col("doc_id").cast("long").alias("_id"), text)
     schema = "range int, row_key long, doc_id long, node long, n int, counts binary, cells binary, nodes binary, tops binary"
     out = "kind int, row_key long, doc_id long, node long, n int, counts binary, a long, b long, top long"
-    return keyed.mapInArrow(spread, schema).groupBy("range").applyInPandas(meet, out)
+    return keyed.mapInArrow(spread, schema).groupBy("range").applyInArrow(meet, out)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
