@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm import bpe, covertree, jaccard, mixing, pii, quality, sharding, tokenfiles
+from roadlark.llm import bpe, covertree, jaccard, maxent, mixing, pii, quality, sharding, tokenfiles
 from roadlark.llm.common import Scratch, documents
 
 
@@ -30,6 +30,10 @@ def op3_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spelled(F.col("found")).alias("spans"))
 
 
+def op4_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path("files")
     tokenfiles.write(documents(spark, sf_dir).select("doc_id", "text"), path, byte_bpe_file(), end=2)
