@@ -27,6 +27,7 @@ empty dataset.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ SHARD_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 #: The dictionary is fitted on at most so many documents, each of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 RECORD = "part int, number int, docs int, ids long, first_id long, dictionary string, doc_ids binary, null_ids binary, lengths binary, offsets binary, payload binary"
 
 
@@ -53,37 +54,34 @@ class LibraryEncoder:
     """The tokenizers library, asked once for each distinct pretoken of a bounded memory."""
 
     def __init__(self, vocab_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocab_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
+    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.known.clear()
         known = self.known
-        split = [list(pretokens(t)) for t in texts]
-        fresh = list({w for parts in split for part in parts for w in part}.difference(known))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[w] = e.ids
+        last = b"" if end is None else int(end).to_bytes(4, "little")
         out = []
-        for parts in split:
-            ids: list[int] = []
-            for part in parts:
-                for own in map(known.__getitem__, part):
-                    ids += own
-            if end is not None:
-                ids.append(end)
-            out.append(np.array(ids, "<u4"))
+        for text in texts:
+            parts = list(pretokens(text))
+            fresh = list({w for part in parts for w in part}.difference(known))
+            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+            out.append(b"".join([*(known[w] for part in parts for w in part), last]))
         return out
 
 
 def train_dictionary(docs: DataFrame, vocab_json: str, *, text: str, doc_id: str) -> bytes:
     """Shared dictionary from a hash sample of at most SAMPLE_DOCS documents; empty where they are too few to train on."""
     rows = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(doc_id, text).alias("h")).where("t is not null").orderBy("h").limit(SAMPLE_DOCS).collect()
-    arrays = [x.tobytes() for x in LibraryEncoder(vocab_json).encode([r["t"] for r in rows])]
+    arrays = LibraryEncoder(vocab_json).encode([r["t"] for r in rows])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -130,7 +128,7 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
         for batch in batches:
             keys, texts = batch.column(doc_id).to_pylist(), [x or "" for x in batch.column(text).to_pylist()]
             for key, ids in zip(keys, encoder.encode(texts, end), strict=True):
-                held.append((key, len(ids), press.compress(ids.tobytes())))
+                held.append((key, len(ids) // 4, press.compress(ids)))
                 if len(held) == SHARD_DOCS or sum(len(b) for _, _, b in held[-1:]) >= SHARD_BYTES:
                     yield record()
         if held:
