@@ -39,19 +39,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlark.llm.common import n_tasks, python_tasks
-from roadlark.llm.pretokens import pretokens
+from roadlark.llm.pretokens import END_OF_TEXT, pretokens
 
 SHARD_DOCS = 512
 SHARD_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 #: The dictionary is fitted on at most so many documents, each of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
-CACHE_WORDS = 150_000
+CACHE_PIECES = 500_000
+MARKS = ".,"
+#: How byte-level vocabularies write the space.
+SPACE_LETTER = "\u0120"
 RECORD = "part int, number int, docs int, ids long, first_id long, dictionary string, doc_ids binary, null_ids binary, lengths binary, offsets binary, payload binary"
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct pretoken of a bounded memory."""
+    """The tokenizers library, asked once for each distinct piece of a bounded memory.
+
+    A space between two characters that are no blanks always begins a pretoken, so texts are
+    cut there and the library sees each distinct piece once, many pieces to a call: a piece's
+    ids begin at the only token that starts with the space. Texts with other blanks beside a
+    space, or with the end-of-text marker, are cut into pretokens instead.
+    """
 
     def __init__(self, vocab_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
@@ -60,27 +69,70 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(vocab_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE_LETTER)]] = True
+        self.marks = dict(zip(MARKS, (x.tobytes() for x in self._ids(list(MARKS))), strict=True))
+        self.after_space: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_spaced(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 4096):
+            own = parts[at : at + 4096]
+            ids = self._ids([" " + " ".join(own)])[0]
+            cuts = np.r_[np.flatnonzero(self.spaced[ids]), len(ids)].tolist()
+            raw = ids.tobytes()
+            for part, x, y in zip(own, cuts[:-1], cuts[1:], strict=True):
+                self.after_space[part] = raw[4 * x : 4 * y]
+
+    def _plain(self, text: str) -> bytes:
+        parts = [w for part in pretokens(text) for w in part]
+        fresh = list(set(parts).difference(self.known))
+        self.known.update(zip(fresh, (x.tobytes() for x in self._ids(fresh)), strict=True))
+        return b"".join(map(self.known.__getitem__, parts))
+
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
+        for memory in (self.known, self.after_space):
+            if len(memory) > CACHE_PIECES:
+                memory.clear()
+        split = [None if END_OF_TEXT in t else t.split(" ") for t in texts]
+        fresh: set[str] = set()
+        for parts in split:
+            if parts:
+                fresh.update(parts[1:])
+        fresh.difference_update(self.after_space)
+        fresh = {p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()}
+        # a mark after a letter is a pretoken of its own where the piece ends with it
+        marked = [p for p in fresh if p[-1] in MARKS and len(p) > 1 and p[-2].isalpha()]
+        bare = fresh.difference(marked)
+        bare.update(p[:-1] for p in marked)
+        self._learn_spaced(list(bare.difference(self.after_space)))
+        for p in marked:
+            self.after_space[p] = self.after_space[p[:-1]] + self.marks[p[-1]]
         last = b"" if end is None else int(end).to_bytes(4, "little")
         out = []
-        for text in texts:
-            parts = list(pretokens(text))
-            fresh = list({w for part in parts for w in part}.difference(known))
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([*(known[w] for part in parts for w in part), last]))
+        for text, parts in zip(texts, split, strict=True):
+            try:
+                if parts is None or not parts[0] or parts[0][-1].isspace():
+                    raise KeyError
+                rest = b"".join(map(self.after_space.__getitem__, parts[1:]))
+            except KeyError:
+                out.append(self._plain(text) + last)
+            else:
+                out.append(self._plain(parts[0]) + rest + last)
         return out
 
 
 def train_dictionary(docs: DataFrame, vocab_json: str, *, text: str, doc_id: str) -> bytes:
-    """Shared dictionary from a hash sample of at most SAMPLE_DOCS documents; empty where they are too few to train on."""
-    rows = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(doc_id, text).alias("h")).where("t is not null").orderBy("h").limit(SAMPLE_DOCS).collect()
+    """Shared dictionary from a hash sample of about SAMPLE_DOCS documents; empty where they are too few to train on."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    hashed = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(doc_id, text).alias("h"))
+    rows = hashed.where(F.col("t").isNotNull() & (F.pmod("h", F.lit(every)) == 0)).limit(2 * SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: (r["h"], r["t"]))
     arrays = LibraryEncoder(vocab_json).encode([r["t"] for r in rows])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
@@ -92,7 +144,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 3, docs_per_part: int = 4096) -> None:
+def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 3, docs_per_part: int = 8192) -> None:
     """Writes ``path/shards`` and ``path/dictionary``."""
     spark = docs.sparkSession
     python_tasks(spark)
