@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm import bpe, covertree, jaccard, maxent, mixing, pii, quality, sharding, tokenfiles
+from roadlark.llm import bpe, covertree, jaccard, maxent, mixing, pii, quality, sharding, tokenfiles, toxicity
 from roadlark.llm.common import Scratch, documents
 
 
@@ -34,6 +34,11 @@ def op4_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path("files")
     tokenfiles.write(documents(spark, sf_dir).select("doc_id", "text"), path, byte_bpe_file(), end=2)
