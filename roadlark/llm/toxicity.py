@@ -3,14 +3,14 @@
 Every word is its hashed n-grams of 3 to 5 bytes with its boundaries, and itself. A window of
 ``WINDOW`` words is the average of the embeddings of its subwords, and a linear softmax over the two
 labels reads it; embeddings and softmax are trained jointly. Misspellings keep most of a
-word's n-grams, so they are recognised unseen. A long text is as toxic as its most toxic
-window; training takes, for each text, its highest windows of the moment.
+word's n-grams, so they are recognised unseen. A long text is as toxic as its ``TOP`` most toxic
+windows together; training takes, for each text, its highest windows of the moment.
 
 For one softmax direction an embedding acts through one number, so scoring sums one number
 per subword, with arrays over whole batches.
 
 The classifier is fitted on a bounded hash sample of labelled rows: at most ``MAX_TRAIN`` of
-each label, of texts up to ``MAX_CHARS`` characters. Scoring reads every whole text.
+labels 0 and 1, of texts up to ``MAX_CHARS`` characters. Scoring reads every whole text.
 
 Defined cases: texts without a word (null, empty, marks only) get the prior, the training
 share of label 1; without labelled rows of both labels every text gets the prior (0 without any);
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from roadlark.llm.common import python_tasks
 from roadlark.llm.hashing import SEGMENT, mix, powers, texts
 
-WINDOW, DIMENSIONS, BUCKETS = 4, 8, 1 << 17
+WINDOW, TOP, DIMENSIONS, BUCKETS = 3, 3, 8, 1 << 17
 LENGTHS = (3, 4, 5)
-MAX_TRAIN, MAX_CHARS, STEPS = 1000, 50_000, 60
+#: Most training texts of label 0 and 1, and of what length.
+MAX_TRAIN, MAX_CHARS, STEPS = (2000, 1000), 50_000, 80
 GAP = 32
 #: ASCII letters fold to lower case, other ASCII characters but digits part words.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else GAP for b in range(256)], np.uint8)
@@ -98,12 +99,20 @@ class Words:
         return np.concatenate(buckets)[order], owner_all[order]
 
 
-def windows(total: np.ndarray, count: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Mean subword weight of the window that starts at each word; windows end with their text."""
-    run, runs = np.r_[0.0, np.cumsum(total)], np.r_[0, np.cumsum(count)]
-    at = np.arange(len(total))
-    end = np.minimum(at + WINDOW, np.repeat(bounds[1:], np.diff(bounds)))
-    return (run[end] - run[at]) / np.maximum(1, runs[end] - runs[at])
+def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each window, text of each window): WINDOW words from a text's start on, the last one shorter."""
+    many = -(-np.diff(bounds) // WINDOW)
+    text = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return bounds[:-1][text] + WINDOW * place, text
+
+
+def highest(mean: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, text of each): the TOP windows of the highest means of each text."""
+    order = np.lexsort((-mean, text))
+    own = text[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[rank < TOP], own[rank < TOP]
 
 
 class Classifier:
@@ -120,10 +129,13 @@ class Classifier:
             if at[to] > at[row]:
                 words = Words(data[at[row] : at[to]], at[row : to + 1] - at[row])
                 if len(words.first):
-                    mean = windows(*words.totals(self.weights), words.bounds)
+                    total, count = words.totals(self.weights)
+                    start, text = windows(words.bounds)
+                    mean = np.add.reduceat(total, start) / np.add.reduceat(count, start)
+                    top, own = highest(mean, text)
                     some = np.flatnonzero(np.diff(words.bounds))
-                    top = np.maximum.reduceat(mean, words.bounds[some])
-                    out[row + some] = 1.0 / (1.0 + np.exp(-np.clip(top + self.bias, -30, 30)))
+                    logit = (np.bincount(own, mean[top], len(words.bounds) - 1) / np.maximum(1, np.bincount(own, minlength=len(words.bounds) - 1)))[some]
+                    out[row + some] = 1.0 / (1.0 + np.exp(-np.clip(logit + self.bias, -30, 30)))
             row = to
         return out
 
@@ -134,12 +146,23 @@ def fit(given: list[str], labels: list[int], seed: int = 3) -> Classifier:
     prior = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return Classifier(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), prior)
-    docs = [Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in given]
-    features = [d.subwords() for d in docs]
-    # start: how much more often a subword stands in texts of label 1, smoothed
+    # windows of all texts, one after the other, with the subwords of each
+    begin, of_text, parts, at = [], [], [], 0
     seen = np.zeros((2, BUCKETS))
-    for (buckets, _), label in zip(features, labels, strict=True):
+    for k, (text, label) in enumerate(zip(given, labels, strict=True)):
+        raw = text.encode()
+        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        buckets, owner = words.subwords()
+        start, _ = windows(words.bounds)
+        begin.append(at + np.searchsorted(owner, start))
+        of_text.append(np.full(len(start), k))
+        parts.append(buckets)
+        at += len(buckets)
         seen[label, np.unique(buckets)] += 1
+    begin, of_text, flat_all = np.concatenate(begin), np.concatenate(of_text), np.concatenate(parts)
+    del parts
+    sizes_all = np.diff(np.r_[begin, len(flat_all)])
+    # start: how much more often a subword stands in texts of label 1, smoothed
     n = np.array([len(y) - y.sum(), y.sum()])
     odds = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
     rng = np.random.default_rng(seed)
@@ -150,35 +173,28 @@ def fit(given: list[str], labels: list[int], seed: int = 3) -> Classifier:
     soft[1:] = rng.normal(0, 0.05, (DIMENSIONS - 1, 2))
     bias = np.array([0.5, -0.5])
     square_e, square_s, square_b = np.full(embed.shape, 1e-6), np.full(soft.shape, 1e-6), np.full(2, 1e-6)
-    cuts = [np.searchsorted(owner, np.arange(len(d.first) + 1)) for d, (_, owner) in zip(docs, features, strict=True)]
     weight = np.where(y > 0, 0.5 / n[1], 0.5 / n[0])
-    for step in range(STEPS):
-        s = embed @ (soft[:, 1] - soft[:, 0])
-        picked: list[tuple[np.ndarray, float, float]] = []
-        for k, (d, (buckets, _)) in enumerate(zip(docs, features, strict=True)):
-            if not len(d.first):
-                continue
-            total = np.add.reduceat(s[buckets], cuts[k][:-1])
-            mean = windows(total, np.diff(cuts[k]), d.bounds)
-            tops = [int(mean.argmax())] if y[k] else np.argsort(mean)[-3:].tolist()
-            for w in tops:
-                own = buckets[cuts[k][w] : cuts[k][min(w + WINDOW, len(d.first))]]
-                picked.append((own, y[k], weight[k] / len(tops)))
-        sizes = np.array([len(p[0]) for p in picked])
-        owner = np.repeat(np.arange(len(picked)), sizes)
-        flat = np.concatenate([p[0] for p in picked])
-        bag = np.zeros((len(picked), DIMENSIONS))
-        np.add.at(bag, owner, embed[flat])
-        bag /= sizes[:, None]
+    for _ in range(STEPS):
+        s = (embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+        mean = np.add.reduceat(s[flat_all], begin) / sizes_all
+        top, text = highest(mean, of_text)
+        sizes = sizes_all[top]
+        ends = np.cumsum(sizes)
+        flat = flat_all[np.repeat(begin[top] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        owner = np.repeat(np.arange(len(top)), sizes)
+        some, place_of = np.unique(text, return_inverse=True)
+        share = 1.0 / np.bincount(place_of)[place_of]  # a text's highest windows are averaged
+        bag = np.zeros((len(some), DIMENSIONS))
+        part = share / sizes
+        np.add.at(bag, place_of[owner], embed[flat] * part[owner][:, None])
         logits = bag @ soft + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        target = np.stack([[1 - q[1] for q in picked], [q[1] for q in picked]], 1)
-        delta = (p - target) * np.array([q[2] for q in picked])[:, None]
+        delta = (p - np.stack([1 - y[some], y[some]], 1)) * weight[some][:, None]
         grad_soft, grad_bias = bag.T @ delta, delta.sum(0)
         rows, place = np.unique(flat, return_inverse=True)
         grad = np.zeros((len(rows), DIMENSIONS))
-        np.add.at(grad, place, ((delta @ soft.T) / sizes[:, None])[owner])
+        np.add.at(grad, place, (delta @ soft.T)[place_of[owner]] * part[owner][:, None])
         square_e[rows] += grad**2
         embed[rows] -= 0.3 * grad / np.sqrt(square_e[rows])
         square_s += grad_soft**2
@@ -190,16 +206,16 @@ def fit(given: list[str], labels: list[int], seed: int = 3) -> Classifier:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, label: str) -> tuple[list[str], list[int]]:
-    """At most MAX_TRAIN texts of each label from rows that are not held out, by hash of doc_id."""
+    """At most MAX_TRAIN texts of the labels from rows that are not held out, by hash of doc_id."""
     given = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y")).where(~held_out(F.col("_id"))).withColumn("_h", F.xxhash64("_id"))
     counts = {r["_y"]: r["n"] for r in given.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
     for y, n in counts.items():
-        keep = keep | ((F.col("_y") == y) & (F.pmod("_h", F.lit(max(1, n // MAX_TRAIN))) == 0))
-    chosen = given.where(keep)  # about MAX_TRAIN to 2 * MAX_TRAIN of each label: small enough to broadcast
+        keep = keep | ((F.col("_y") == y) & (F.pmod("_h", F.lit(max(1, n // MAX_TRAIN[y]))) == 0))
+    chosen = given.where(keep)  # under twice MAX_TRAIN of each label: small enough to broadcast
     rows = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).where(F.length(text) <= MAX_CHARS).dropDuplicates(["_id"]).select("_h", "_y", F.col(text).alias("_t")).collect()
     rows.sort(key=lambda r: (r["_h"], r["_t"]))
-    out = [r for y in (0, 1) for r in [r for r in rows if r["_y"] == y][:MAX_TRAIN]]
+    out = [r for y in (0, 1) for r in [r for r in rows if r["_y"] == y][: MAX_TRAIN[y]]]
     return [r["_t"] for r in out], [r["_y"] for r in out]
 
 
