@@ -121,7 +121,7 @@ SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("e
 
 
 def find_base(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry``, row_key, n_email, n_ip, n_card, n_phone, base_sha256, base (spans) and near (terms beside entities)."""
+    """Columns ``carry``, row_key, text_key, the four counts, base_sha256, base (spans) and near (terms beside entities)."""
     python_tasks(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,22 +132,28 @@ def find_base(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = (
             shas = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in own).encode()).hexdigest() for own in spans]
             base = pa.array([[{"start": a, "kind": k, "end": b} for a, b, k in own] for own in spans], SPAN_TYPE)
             near = pa.array([_near_terms(t, own) if own else [] for t, own in zip(given, spans, strict=True)], NEAR_TYPE)
-            carried = [batch.column(c) for c in [*carry, "row_key"]]
-            yield pa.RecordBatch.from_arrays([*carried, *counts, pa.array(shas), base, near], names=[*carry, "row_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            carried = [batch.column(c) for c in [*carry, "row_key", "text_key"]]
+            yield pa.RecordBatch.from_arrays([*carried, *counts, pa.array(shas), base, near], names=[*carry, "row_key", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
     kinds = dict(docs.dtypes)
-    keyed = docs.select(*carry, row_key(*carry, text).alias("row_key"), F.col(text).alias("_text"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", row_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,context:long>>"
+    keyed = docs.select(*carry, row_key(*carry, text).alias("row_key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("_text"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", row_key long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,context:long>>"
     return keyed.mapInArrow(find, schema)
 
 
 def disclosing_spans(docs: DataFrame, base: DataFrame, scratch: Scratch, *, text: str, carry: tuple[str, ...], min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame | None:
     """row_key and array ``terms`` of (start, kind, end, removed), for texts with disclosing terms; None where no term has support."""
     spark = docs.sparkSession
-    near = base.select(F.explode("near").alias("x")).select("x.*")
-    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("n_e"))
+    n = base.select("text_key").distinct().count()
+    near = base.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
+    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("n_e")).withColumn("p_e", F.col("n_e") / F.lit(float(max(n, 1))))
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_te")).where(F.col("n_te") >= min_contexts)
-    pairs = scratch.save(pairs.join(entities, "entity"), "pairs")
+    # P(e|t) is at most n_te over the texts that hold t near any entity; terms that this bound
+    # already keeps below the threshold (common words beside many entities) need no corpus count
+    beside = near.groupBy("term").agg(F.count_distinct("text_key").alias("n_beside"))
+    least = F.pow("p_e", F.lit(1.0 - generalise_at))
+    pairs = pairs.join(entities, "entity").join(beside, "term").where(F.col("n_te") / F.col("n_beside") >= 0.999 * least)
+    pairs = scratch.save(pairs, "pairs")
     bits = pairs.select(F.pmod("term", F.lit(1 << FILTER_BITS)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toPandas()
     if not len(bits):
         return None
@@ -176,8 +182,7 @@ def disclosing_spans(docs: DataFrame, base: DataFrame, scratch: Scratch, *, text
     keyed = docs.select(row_key(*carry, text).alias("row_key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("_text"))
     found = scratch.save(keyed.mapInArrow(hits, "row_key long, text_key long, term long, start int, end int"), "hits")
     n_t = found.groupBy("term").agg(F.count_distinct("text_key").alias("n_t"))
-    n = keyed.select("text_key").distinct().count()
-    told = pairs.join(n_t, "term").withColumn("p_e", F.col("n_e") / F.lit(float(max(n, 1)))).withColumn("p_et", F.least(F.lit(1.0), F.col("n_te") / F.col("n_t")))
+    told = pairs.join(n_t, "term").withColumn("p_et", F.least(F.lit(1.0), F.col("n_te") / F.col("n_t")))
     share = told.withColumn("share", F.log(F.col("p_et") / F.col("p_e")) / -F.log("p_e")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise_at)
     spans = found.join(share, "term").select("row_key", F.struct("start", F.lit(4).alias("kind"), "end", (F.col("share") >= remove_at).alias("removed")).alias("span")).distinct()
     return spans.groupBy("row_key").agg(F.sort_array(F.collect_list("span")).alias("terms"))
@@ -197,7 +202,7 @@ def spans(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc
     own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
     found = F.when(F.col("terms").isNull(), own).otherwise(F.sort_array(F.concat(own, apart)))
-    return joined.withColumn("found", found).drop("base", "near", "terms")
+    return joined.withColumn("found", found).drop("base", "near", "terms", "text_key")
 
 
 def spelled(found: Column) -> Column:
