@@ -1,8 +1,8 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 A text is its set of distinct 5-word shingles; two texts link when 100 * intersection >= 75 *
-union. Equal sets are one node. Every shingle belongs to one of ``GROUPS`` groups by hash, and
-a node is the point of its group counts: two sets share at most the sum over groups of the
+union. Equal sets are one node. Every shingle belongs to one of ``GROUPS`` or more groups by hash,
+and a node is the point of its group counts: two sets share at most the sum over groups of the
 smaller count, and two boxes of points at most the sum of their smaller upper corners.
 
 Who meets whom: in one global order of the shingles (rare ones first, by hash; frequent ones
@@ -44,18 +44,50 @@ FREQUENT, MAX_FREQUENT = 64, 1_000_000
 COUNTED = np.uint64(int(0.4 * 2**64))
 SMALL_CELL, SALT_NODES, FLUSH = 8, 4096, 1 << 20
 MET = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("a", "b", "top")]])
+UNBOUNDED = 1 << 24
 BITS = np.uint64(16)  # shingles are ordered and matched by their upper 48 bits
 
 
 def group_counts(hashes: np.ndarray) -> bytes:
-    """Shingles in each group, as bytes; 255 stands for that many or more."""
-    return np.minimum(np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+    """Shingles in each group. Larger sets have more groups, a power of two for about eight
+    shingles a group; folding the upper half of the groups onto the lower gives fewer. 255
+    stands for that many or more."""
+    groups = GROUPS
+    while groups * 8 < len(hashes):
+        groups *= 2
+    return np.minimum(np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: list[bytes], groups: int) -> np.ndarray:
+    """Group counts as rows of so many groups; a count of 255 becomes one without bound."""
+    out = np.empty((len(counts), groups), np.int32)
+    by_length: dict[int, list[int]] = {}
+    for k, c in enumerate(counts):
+        by_length.setdefault(len(c), []).append(k)
+    for length, rows in by_length.items():
+        own = np.frombuffer(b"".join([counts[k] for k in rows]), np.uint8).reshape(len(rows), length // groups, groups)
+        out[rows] = np.where((own == 255).any(1), UNBOUNDED, own.sum(1, dtype=np.int32))
+    return out
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Most that sets with these counts (rows) can share."""
-    both = np.minimum(a, b).astype(np.int32)
-    return np.where((both == 255).any(-1), np.iinfo(np.int32).max, both.sum(-1))
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
+
+
+def pair_bound(counts: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bound of pairs of positions, over all the groups that both sides have."""
+    lengths = np.array([len(c) for c in counts])
+    fewer = np.minimum(lengths[a], lengths[b])
+    out = np.empty(len(a), np.int64)
+    for groups in np.unique(fewer):
+        rows = np.flatnonzero(fewer == groups)
+        for at in range(0, len(rows), 4096):
+            own = rows[at : at + 4096]
+            used, place = np.unique(np.r_[a[own], b[own]], return_inverse=True)
+            both = folded([counts[k] for k in used], int(groups))
+            out[own] = overlap_bound(both[place[: len(own)]], both[place[len(own) :]])
+    return out
 
 
 def possible(n_a: np.ndarray, n_b: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -279,7 +311,7 @@ def _meetings(docs: DataFrame, ranges: int, frequent: tuple[np.ndarray, np.ndarr
                         continue
                     seen.add(name)
                     pairs.append(np.stack([np.full(size - 1, own[0]), own[1:]], 1))
-                    members.append((np.full(size, cells[at]).astype(np.int64), own, np.full(size, tops[at]).astype(np.int64)))
+                    members.append((np.full(size, cells[at]).astype(np.int64) if tops[at] else np.full(size, set_id(own.astype(np.uint64))), own, np.full(size, tops[at]).astype(np.int64)))
             found = np.unique(np.concatenate(pairs), axis=0)
             out.append(rows(1, len(found), a=found[:, 0], b=found[:, 1]))
             if members:
@@ -299,8 +331,9 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame):
-                a, b = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(-1, GROUPS) for c in ("counts_a", "counts_b"))
-                yield frame.loc[possible(frame["n_a"].to_numpy(np.int64), frame["n_b"].to_numpy(np.int64), overlap_bound(a, b)), ["a", "b"]]
+                counts, m = [*frame["counts_a"], *frame["counts_b"]], len(frame)
+                bound = pair_bound(counts, np.arange(m), np.arange(m, 2 * m))
+                yield frame.loc[possible(frame["n_a"].to_numpy(np.int64), frame["n_b"].to_numpy(np.int64), bound), ["a", "b"]]
 
     side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
     fits = F.expr("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
@@ -360,12 +393,15 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, tested: DataFrame, each: in
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         nodes, labels, block = (frame[c].to_numpy(np.int64) for c in ("node", "label", "block"))
-        counts = np.frombuffer(b"".join(frame["counts"]), np.uint8).reshape(-1, GROUPS)
+        counts, sizes = list(frame["counts"]), frame["n"].to_numpy(np.int64)
         out = []
-        for a, b, bound in CountTree(counts, frame["n"].to_numpy(np.int64)).pairs():
+        for a, b, _ in CountTree(folded(counts, GROUPS), sizes).pairs():
             keep = labels[a] != labels[b]
             if i != j:
                 keep &= block[a] != block[b]
+            a, b = a[keep], b[keep]
+            bound = pair_bound(counts, a, b)
+            keep = possible(sizes[a], sizes[b], bound)
             out.append(np.stack([np.minimum(nodes[a], nodes[b])[keep], np.maximum(nodes[a], nodes[b])[keep], bound[keep]], 1))
         found = pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["a", "b", "bound"])
         return found.drop_duplicates(["a", "b"]).astype("int64")
@@ -389,7 +425,8 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     met = scratch.save(_meetings(docs, ranges, frequent, "_text"), "met")
     nodes = met.where("kind = 0").select("row_key", "doc_id", "node", "n", "counts")
     points = scratch.save(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count("*").alias("copies")), "points")
-    members = met.where("kind = 2").select(F.col("a").alias("cell"), F.col("b").alias("node"), F.col("top"))
+    # cells of the same nodes have the same name, wherever they came up
+    members = met.where("kind = 2").select(F.col("a").alias("cell"), F.col("b").alias("node"), F.col("top")).distinct()
     # cells that were salted meet again by their smallest members
     tops = members.where("top <> 0").groupBy("top", "cell").agg(F.min("node").alias("node"))
     top_pairs = tops.join(tops.groupBy("top").agg(F.min("node").alias("least")), "top").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
