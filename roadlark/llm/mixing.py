@@ -113,10 +113,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it; columns as in ``docs``."""
     names = {k: options.get(k, k) for k in ("doc_id", "source", "text")}
     plan = mix(docs, **options).where("n_taken > 0").select(F.col("row_key").alias("_key"), "n_taken")
-    # repeated rows share a key but not always a turn in the mix: each turn goes to one of them
-    number = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(c))
+    # repeated rows share a key; what the mix takes of them is dealt to them evenly, rounded up
     plan = plan.groupBy("_key").agg(F.sum("n_taken").alias("n_taken"), F.count("*").alias("_n"))
-    del number
     keyed = docs.withColumn("_key", row_key(names["doc_id"], names["source"], names["text"]))
     turns = keyed.join(plan, "_key").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n_taken") / F.col("_n")).cast("int")))))
     return turns.select(*docs.columns)
