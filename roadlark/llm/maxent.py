@@ -34,7 +34,7 @@ from roadlark.llm.common import Scratch, n_tasks, python_tasks
 from roadlark.llm.hashing import SEGMENT, mix, texts, word_hashes, word_spans
 
 CLASSES, PREVIOUS, SKIPPED, PAIRS = 64, 128, 64, 2048
-MODEL_WORDS, HEAD_WORDS = 4096, 1 << 19
+MODEL_WORDS, HEAD_WORDS = 4096, 1 << 18
 OUTCOMES = MODEL_WORDS + CLASSES  # words, then each class's rest
 END = np.uint64(0x5EED5EED5EED5EED)
 START = np.uint64(0x0DD0BEEF0DD0BEEF)
@@ -245,26 +245,25 @@ class Model:
         return x - np.log(sums)[self.outcome_class]
 
     def gradient(self, kind: int, previous: int, times: np.ndarray) -> dict[str, np.ndarray]:
-        """Observed and expected feature counts (stacked) of one row of counts."""
+        """Observed and expected feature counts (stacked) of one row of counts; what only one
+        hashed token has is named with it."""
         if kind == 0:
             seen = times.reshape(SKIPPED, CLASSES).astype(float)
             both = np.stack([seen, np.exp(self.class_logs(previous)) * seen.sum(1, keepdims=True)])
             pair = np.zeros((2, PAIRS, CLASSES))
             for k in (0, 1):
                 np.add.at(pair[k], self.pair_of[previous], both[k])
-            own = np.zeros((2, PREVIOUS, CLASSES))
-            own[:, previous] = both.sum(1)
-            return {"class_bias": both.sum(1), "class_previous": own, "class_skipped": both, "class_pair": pair}
+            return {"class_bias": both.sum(1), f"class_previous:{previous}": both.sum(1), "class_skipped": both, "class_pair": pair}
         seen = times.astype(float)
         expected = np.exp(self.word_logs(previous)) * np.bincount(self.outcome_class, seen, CLASSES)[self.outcome_class]
         both = np.stack([seen, expected])
-        own = np.zeros((2, PREVIOUS, OUTCOMES))
-        own[:, previous] = both
-        return {"word_bias": both, "word_previous": own}
+        return {"word_bias": both, f"word_previous:{previous}": both}
 
     def step(self, sums: dict[str, np.ndarray], rate: dict[str, float], decay: float = 2.0) -> None:
         for name, (seen, expected) in sums.items():
+            name, _, row = name.partition(":")
             w = getattr(self, name)
+            w = w[int(row)] if row else w
             w += rate[name] * np.clip((seen - expected - decay * w) / (expected + decay), -2.0, 2.0)
 
 
@@ -286,15 +285,20 @@ def train(tables: Tables, counts: tuple[DataFrame, DataFrame], steps: int = 12)
                     for name, x in shared.value.gradient(r["kind"], r["previous"], np.frombuffer(r["times"], "<i8")).items():
                         sums[name] = sums[name] + x if name in sums else x
             for name, x in sums.items():
-                yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "sums": pa.array([x.astype("<f8").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "sums": pa.array([x.astype("<f4").tobytes()], pa.binary())})
 
         # model-sized sums of a few tasks, whatever the corpus
         total: dict[str, np.ndarray] = {}
         for r in rows.coalesce(4).mapInArrow(gradient, "name string, sums binary").collect():
-            x = np.frombuffer(r["sums"], "<f8").reshape(2, *getattr(model, r["name"]).shape)
-            total[r["name"]] = total[r["name"]] + x if r["name"] in total else x.copy()
+            name, _, row = r["name"].partition(":")
+            shape = getattr(model, name).shape[1:] if row else getattr(model, name).shape
+            x = np.frombuffer(r["sums"], "<f4").reshape(2, *shape).astype(np.float64)
+            if r["name"] in total:
+                total[r["name"]] += x
+            else:
+                total[r["name"]] = x
         model.step(total, RATE)
-        shared.unpersist()
+        shared.destroy()
     return model
 
 
