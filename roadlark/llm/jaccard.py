@@ -42,52 +42,65 @@ GROUPS = 64
 FREQUENT, MAX_FREQUENT = 64, 1_000_000
 #: Frequencies are counted for the lower part of the hash space, where prefixes end.
 COUNTED = np.uint64(int(0.4 * 2**64))
-SMALL_CELL, SALT_NODES, FLUSH = 8, 4096, 1 << 20
+SMALL_CELL, SALT_NODES, FLUSH = 4, 4096, 1 << 20
 MET = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("a", "b", "top")]])
-UNBOUNDED = 1 << 24
 BITS = np.uint64(16)  # shingles are ordered and matched by their upper 48 bits
 
 
 def group_counts(hashes: np.ndarray) -> bytes:
-    """Shingles in each group. Larger sets have more groups, a power of two for about eight
+    """Shingles in each group. Larger sets have more groups, a power of two for one to two
     shingles a group; folding the upper half of the groups onto the lower gives fewer. 255
     stands for that many or more."""
     groups = GROUPS
-    while groups * 8 < len(hashes):
+    while groups * 2 < len(hashes):
         groups *= 2
     return np.minimum(np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
-def folded(counts: list[bytes], groups: int) -> np.ndarray:
-    """Group counts as rows of so many groups; a count of 255 becomes one without bound."""
-    out = np.empty((len(counts), groups), np.int32)
-    by_length: dict[int, list[int]] = {}
-    for k, c in enumerate(counts):
-        by_length.setdefault(len(c), []).append(k)
-    for length, rows in by_length.items():
-        own = np.frombuffer(b"".join([counts[k] for k in rows]), np.uint8).reshape(len(rows), length // groups, groups)
-        out[rows] = np.where((own == 255).any(1), UNBOUNDED, own.sum(1, dtype=np.int32))
-    return out
+def _fold(rows: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts in so many groups, saturating at 255."""
+    return np.minimum(rows.reshape(len(rows), -1, groups).sum(1, dtype=np.int32), 255).astype(np.uint8)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Most that sets with these counts (rows) can share."""
-    return np.minimum(a, b).sum(-1, dtype=np.int64)
-
-
-def pair_bound(counts: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The bound of pairs of positions, over all the groups that both sides have."""
-    lengths = np.array([len(c) for c in counts])
-    fewer = np.minimum(lengths[a], lengths[b])
-    out = np.empty(len(a), np.int64)
-    for groups in np.unique(fewer):
-        rows = np.flatnonzero(fewer == groups)
-        for at in range(0, len(rows), 4096):
-            own = rows[at : at + 4096]
-            used, place = np.unique(np.r_[a[own], b[own]], return_inverse=True)
-            both = folded([counts[k] for k in used], int(groups))
-            out[own] = overlap_bound(both[place[: len(own)]], both[place[len(own) :]])
-    return out
+    """Most that sets with these counts (rows) can share; no bound where both sides are saturated."""
+    both = np.minimum(a, b)
+    return np.where((both == 255).any(-1), np.iinfo(np.int32).max, both.sum(-1, dtype=np.int32)).astype(np.int64)
+
+
+class Points:
+    """Group counts of some sets: ``coarse`` in GROUPS groups, and in the groups that pairs have in common."""
+
+    def __init__(self, counts: list[bytes]):
+        self.length = np.array([len(c) for c in counts], np.int64)
+        self.coarse = np.empty((len(counts), GROUPS), np.uint8)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = {}
+        for length in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == length)
+            own[length] = (at, np.frombuffer(b"".join([counts[k] for k in at]), np.uint8).reshape(len(at), length))
+            self.coarse[at] = _fold(own[length][1], GROUPS)
+        for length, (at, m) in own.items():
+            place = np.full(len(counts), -1, np.int64)
+            place[at] = np.arange(len(at))
+            if 2 * length in own:  # sets of linkable size have at most twice the groups
+                more, wide = own[2 * length]
+                place[more] = len(at) + np.arange(len(more))
+                m = np.concatenate([m, _fold(wide, length)])
+            self.rows[length] = (place, m)
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bounds of pairs of positions; 0 where one has over twice the other's groups, since such sets never link."""
+        fewer, more = np.minimum(self.length[a], self.length[b]), np.maximum(self.length[a], self.length[b])
+        out = np.zeros(len(a), np.int64)
+        for length in np.unique(fewer).tolist():
+            place, m = self.rows[length]
+            pairs = np.flatnonzero((fewer == length) & (more <= 2 * length))
+            step = max(1, (1 << 23) // length)
+            for at in range(0, len(pairs), step):
+                own = pairs[at : at + step]
+                out[own] = overlap_bound(m[place[a[own]]], m[place[b[own]]])
+        return out
 
 
 def possible(n_a: np.ndarray, n_b: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -332,7 +345,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for frame in batches:
             if len(frame):
                 counts, m = [*frame["counts_a"], *frame["counts_b"]], len(frame)
-                bound = pair_bound(counts, np.arange(m), np.arange(m, 2 * m))
+                bound = Points(counts).bound(np.arange(m), np.arange(m, 2 * m))
                 yield frame.loc[possible(frame["n_a"].to_numpy(np.int64), frame["n_b"].to_numpy(np.int64), bound), ["a", "b"]]
 
     side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
@@ -382,9 +395,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, scratch: Scr
     return links
 
 
-def _tree_pairs(cells: DataFrame, points: DataFrame, tested: DataFrame, each: int, spark) -> DataFrame:
-    """Untested pairs of different components that a large cell's R-tree allows: for each node and
-    foreign component the ``each`` ones of the highest bounds."""
+def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b, bound) of the pairs of different components that the R-trees of large cells allow."""
     sized = cells.groupBy("cell").agg(F.count("*").alias("m"))
     placed = cells.join(sized, "cell").withColumn("blocks", F.ceil(F.col("m") / 2048).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points.select("node", "n", "counts"), "node")
@@ -393,26 +405,32 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, tested: DataFrame, each: in
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         nodes, labels, block = (frame[c].to_numpy(np.int64) for c in ("node", "label", "block"))
-        counts, sizes = list(frame["counts"]), frame["n"].to_numpy(np.int64)
+        points_, sizes = Points(list(frame["counts"])), frame["n"].to_numpy(np.int64)
         out = []
-        for a, b, _ in CountTree(folded(counts, GROUPS), sizes).pairs():
+        for a, b, _ in CountTree(points_.coarse, sizes).pairs():
             keep = labels[a] != labels[b]
             if i != j:
                 keep &= block[a] != block[b]
             a, b = a[keep], b[keep]
-            bound = pair_bound(counts, a, b)
+            bound = points_.bound(a, b)
             keep = possible(sizes[a], sizes[b], bound)
             out.append(np.stack([np.minimum(nodes[a], nodes[b])[keep], np.maximum(nodes[a], nodes[b])[keep], bound[keep]], 1))
         found = pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["a", "b", "bound"])
         return found.drop_duplicates(["a", "b"]).astype("int64")
 
-    found = dealt.groupBy("cell", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
-    fresh = found.join(tested, ["a", "b"], "left_anti")
-    labels = cells.select("node", "label").distinct()
-    fresh = fresh.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
+
+
+def _best_untested(allowed: DataFrame, tested: DataFrame, labels: DataFrame, each: int) -> DataFrame:
+    """For each node and foreign component the ``each`` allowed pairs of the highest bounds not tested yet."""
+    fresh = allowed.join(tested, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("component").alias(f"l{side}"))
+        fresh = fresh.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    fresh = fresh.where("la <> lb")
     order = [F.desc("bound"), "a", "b"]
-    fresh = fresh.withColumn("r", F.least(F.row_number().over(Window.partitionBy("a", "lb").orderBy(*order)), F.row_number().over(Window.partitionBy("b", "la").orderBy(*order))))
-    return fresh.where(F.col("r") <= each).select("a", "b")
+    rank = F.least(F.row_number().over(Window.partitionBy("a", "lb").orderBy(*order)), F.row_number().over(Window.partitionBy("b", "la").orderBy(*order)))
+    return fresh.withColumn("r", rank).where(F.col("r") <= each).select("a", "b")
 
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -435,13 +453,12 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     links = _verified(docs, tested, points, scratch, "links0", "_text")
     labels = scratch.save(components(links, scratch, "labels0-"), "labels0")
     cells = members.select(F.when(F.col("top") != 0, F.col("top")).otherwise(F.col("cell")).alias("cell"), "node").distinct()
+    named = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"))
+    mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+    mixed = scratch.save(named.join(mixed_cells, "cell", "left_semi"), "mixed")
+    allowed = scratch.save(_tree_pairs(mixed, points), "allowed")
     for step in range(1, 40):
-        named = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"))
-        mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-        mixed = scratch.save(named.join(mixed_cells, "cell", "left_semi"), f"mixed{step}")
-        if mixed.isEmpty():
-            break
-        fresh = scratch.save(_tree_pairs(mixed, points, tested, 4**step, spark), f"fresh{step}")
+        fresh = scratch.save(_best_untested(allowed, tested, labels, 4**step), f"fresh{step}")
         if fresh.isEmpty():
             break
         more = _verified(docs, fresh, points, scratch, f"links{step}", "_text")
