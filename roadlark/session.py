@@ -30,3 +30,14 @@ def ship(spark: SparkSession) -> None:
             out.write(file, str(file.relative_to(root.parent)))
     spark.sparkContext.addPyFile(str(place))
     _shipped.add(app)
+
+
+def checkpointed(frame):
+    """``frame`` written to the shared checkpoint folder, with its lineage cut.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own.
+    """
+    sc = frame.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="roadlark-"))
+    return frame.checkpoint()
