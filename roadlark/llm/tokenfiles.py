@@ -38,16 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import n_tasks, python_tasks
-from roadlark.llm.pretokens import END_OF_TEXT, pretokens
+from roadlark.llm.common import python_tasks
+from roadlark.llm.hashing import IS_BLANK, SEGMENT, distinct, mix, powers, texts
 
 SHARD_DOCS = 512
 SHARD_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 #: The dictionary is fitted on at most so many documents, each of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
-CACHE_PIECES = 500_000
-MARKS = ".,"
+CACHE_PIECES = 1_000_000
 #: How byte-level vocabularies write the space.
 SPACE_LETTER = "\u0120"
 RECORD = "part int, number int, docs int, ids long, first_id long, dictionary string, doc_ids binary, null_ids binary, lengths binary, offsets binary, payload binary"
@@ -56,10 +55,10 @@ RECORD = "part int, number int, docs int, ids long, first_id long, dictionary st
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct piece of a bounded memory.
 
-    A space between two characters that are no blanks always begins a pretoken, so texts are
-    cut there and the library sees each distinct piece once, many pieces to a call: a piece's
-    ids begin at the only token that starts with the space. Texts with other blanks beside a
-    space, or with the end-of-text marker, are cut into pretokens instead.
+    A space between two characters that are no blanks always begins a pretoken. Texts are cut
+    there, on their bytes; pieces are recognised by a 64-bit hash and their length. The library gets
+    the distinct unknown pieces, many to a call: a piece's ids begin at the only token that
+    starts with the space. Pieces with other spaces, and those that open a text, go alone.
     """
 
     def __init__(self, vocab_json: str):
@@ -72,60 +71,104 @@ class LibraryEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE_LETTER)]] = True
-        self.marks = dict(zip(MARKS, (x.tobytes() for x in self._ids(list(MARKS))), strict=True))
-        self.after_space: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_spaced(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 4096):
-            own = parts[at : at + 4096]
-            ids = self._ids([" " + " ".join(own)])[0]
-            cuts = np.r_[np.flatnonzero(self.spaced[ids]), len(ids)].tolist()
-            raw = ids.tobytes()
-            for part, x, y in zip(own, cuts[:-1], cuts[1:], strict=True):
-                self.after_space[part] = raw[4 * x : 4 * y]
-
-    def _plain(self, text: str) -> bytes:
-        parts = [w for part in pretokens(text) for w in part]
-        fresh = list(set(parts).difference(self.known))
-        self.known.update(zip(fresh, (x.tobytes() for x in self._ids(fresh)), strict=True))
-        return b"".join(map(self.known.__getitem__, parts))
-
-    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for memory in (self.known, self.after_space):
-            if len(memory) > CACHE_PIECES:
-                memory.clear()
-        split = [None if END_OF_TEXT in t else t.split(" ") for t in texts]
-        fresh: set[str] = set()
-        for parts in split:
-            if parts:
-                fresh.update(parts[1:])
-        fresh.difference_update(self.after_space)
-        fresh = {p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()}
-        # a mark after a letter is a pretoken of its own where the piece ends with it
-        marked = [p for p in fresh if p[-1] in MARKS and len(p) > 1 and p[-2].isalpha()]
-        bare = fresh.difference(marked)
-        bare.update(p[:-1] for p in marked)
-        self._learn_spaced(list(bare.difference(self.after_space)))
-        for p in marked:
-            self.after_space[p] = self.after_space[p[:-1]] + self.marks[p[-1]]
-        last = b"" if end is None else int(end).to_bytes(4, "little")
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            try:
-                if parts is None or not parts[0] or parts[0][-1].isspace():
-                    raise KeyError
-                rest = b"".join(map(self.after_space.__getitem__, parts[1:]))
-            except KeyError:
-                out.append(self._plain(text) + last)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.starts, self.lengths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray, plain: np.ndarray) -> None:
+        """Pieces data[first:last] under their keys; ``plain`` ones hold one space, at their start."""
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        many, flat, lengths = int(plain.sum()), [], []
+        for at in range(0, many, 4096):
+            own = order[at : min(at + 4096, many)]
+            size = last[own] - first[own]
+            ends = np.cumsum(size)
+            text = data[np.repeat(first[own] - (ends - size), size) + np.arange(ends[-1])].tobytes().decode()
+            ids = self._ids([text])[0]
+            flat.append(ids)
+            lengths.append(np.diff(np.r_[np.flatnonzero(self.spaced[ids]), len(ids)]))
+        alone = self._ids([data[first[k] : last[k]].tobytes().decode() for k in order[many:]])
+        flat += alone
+        lengths.append(np.array([len(x) for x in alone], np.int64))
+        new = np.concatenate(lengths).astype(np.int64)
+        starts = len(self.flat) + np.cumsum(new) - new
+        self.flat = np.concatenate([self.flat, *flat])
+        keys = np.r_[self.keys, keys[order]]
+        by_key = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.lengths = keys[by_key], np.r_[self.starts, starts][by_key], np.r_[self.lengths, new][by_key]
+
+    def _group(self, data: np.ndarray, bounds: np.ndarray, end: int | None) -> Iterator[bytes]:
+        """Ids of adjoining texts; ``bounds`` are their starts and the last end."""
+        is_space = data == 32
+        at = np.flatnonzero(is_space)
+        at = at[(at > 0) & (at < len(data) - 1)]
+        before, after = data[at - 1], data[at + 1]
+        two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        # no cut beside a blank, nor where a wide character might be one
+        wide_before = (before >= 128) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3)))
+        wide_after = (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3))
+        at = at[~(IS_BLANK[before] | IS_BLANK[after] | wide_before | wide_after)]
+        full = bounds[:-1][np.diff(bounds) > 0]
+        inner = bounds[(bounds > 0) & (bounds < len(data))]
+        at = at[~np.isin(at, inner) & ~np.isin(at + 1, inner)]  # an outermost space of a text is no cut
+        # a mark between a letter and such a cut is a pretoken too
+        mark = at[at > 1] - 1
+        mark = mark[IS_MARK[data[mark]] & IS_LETTER[data[mark - 1]]]
+        first = distinct(np.r_[full, at, mark])
+        last = np.r_[first[1:], len(data)]
+        spaces = np.r_[0, np.cumsum(is_space)]
+        plain = (spaces[last] - spaces[first] == 1) & is_space[first] & ~np.isin(first, full)
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+        keys = mix(mix((sums[last] - sums[first]) * down[first]) + (last - first).astype(np.uint64) * np.uint64(2) + plain)
+        known, some = np.unique(keys, return_index=True)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, known), len(self.keys) - 1)
+            fresh = self.keys[place] != known
+        else:
+            fresh = np.ones(len(known), bool)
+        if fresh.any():
+            k = some[fresh]
+            self._learn(known[fresh], data, first[k], last[k], plain[k])
+        row = np.searchsorted(self.keys, keys)
+        length, start = self.lengths[row], self.starts[row]
+        ends = np.cumsum(length)
+        ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
+        pieces = np.searchsorted(first, bounds)
+        cuts = np.r_[0, ends][pieces]
+        last_id = b"" if end is None else int(end).to_bytes(4, "little")
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield ids[x:y].astype("<u4").tobytes() + last_id
+
+    def encode_column(self, column: pa.Array, end: int | None = None) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; nulls are empty."""
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        data, at = texts(column)
+        out, row = [], 0
+        empty = b"" if end is None else int(end).to_bytes(4, "little")
+        while row < len(at) - 1:
+            to = max(row + 1, int(np.searchsorted(at, at[row] + SEGMENT, "right")) - 1)
+            if at[to] > at[row]:
+                out += self._group(data[at[row] : at[to]], at[row : to + 1] - at[row], end)
             else:
-                out.append(self._plain(parts[0]) + rest + last)
+                out += [empty] * (to - row)
+            row = to
         return out
 
+    def encode(self, given: list[str], end: int | None = None) -> list[bytes]:
+        return self.encode_column(pa.array(given, pa.string()), end)
+
+
+IS_MARK, IS_LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_CODES = np.random.default_rng(4711).integers(1, 1 << 63, 256, dtype=np.uint64)
+
 
 def train_dictionary(docs: DataFrame, vocab_json: str, *, text: str, doc_id: str) -> bytes:
     """Shared dictionary from a hash sample of about SAMPLE_DOCS documents; empty where they are too few to train on."""
@@ -144,10 +187,10 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 3, docs_per_part: int = 8192) -> None:
+def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 3, docs_per_part: int = 16384) -> None:
     """Writes ``path/shards`` and ``path/dictionary``."""
     spark = docs.sparkSession
-    python_tasks(spark)
+    python_tasks(spark, rows=2048)
     with open(vocab_file, encoding="utf-8") as f:
         vocab_json = f.read()
     raw = train_dictionary(docs, vocab_json, text=text, doc_id=doc_id)
@@ -178,15 +221,17 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
             return pa.RecordBatch.from_pylist([row], schema=RECORD_SCHEMA)
 
         for batch in batches:
-            keys, texts = batch.column(doc_id).to_pylist(), [x or "" for x in batch.column(text).to_pylist()]
-            for key, ids in zip(keys, encoder.encode(texts, end), strict=True):
+            keys = batch.column(doc_id).to_pylist()
+            for key, ids in zip(keys, encoder.encode_column(batch.column(text), end), strict=True):
                 held.append((key, len(ids) // 4, press.compress(ids)))
                 if len(held) == SHARD_DOCS or sum(len(b) for _, _, b in held[-1:]) >= SHARD_BYTES:
                     yield record()
         if held:
             yield record()
 
-    parts = n_tasks(spark, docs.count(), docs_per_part)
+    n = docs.count()
+    # large parts: a task asks the library once for each piece, and words repeat
+    parts = max(-(-n // docs_per_part), min(8, -(-n // 1024)), 1)
     ordered = docs.select(F.col(doc_id).cast("long").alias(doc_id), text).repartitionByRange(parts, F.col(doc_id).asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col(doc_id).asc_nulls_first(), F.crc32(F.col(text).cast("binary")))
     ordered.mapInArrow(records, RECORD).write.mode("overwrite").parquet(f"{path}/shards")
