@@ -55,7 +55,9 @@ class CoverTree:
         for radius in LEVELS:
             net = self._extend(net, radius)
             owners.append(self._owner(net))
-        # each centre of a level belongs to the parent of the level above that owns it
+        # a node belongs whole to one parent: a point's centre is that of its centre one level down
+        for level in range(len(owners) - 2, -1, -1):
+            owners[level] = owners[level][owners[level + 1]]
         for level, owner in enumerate(owners):
             centres = np.unique(owner)
             far = np.zeros(len(points))

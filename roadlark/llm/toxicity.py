@@ -118,12 +118,14 @@ def highest(mean: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Classifier:
     """Subword weights (embedding times softmax direction), bias and prior."""
 
-    def __init__(self, weights: np.ndarray, bias: float, prior: float):
+    def __init__(self, weights: np.ndarray | None, bias: float, prior: float):
         self.weights, self.bias, self.prior = weights, bias, prior
 
     def scores(self, column: pa.Array) -> np.ndarray:
         data, at = texts(column)
         out, row = np.full(len(at) - 1, self.prior), 0
+        if self.weights is None:
+            return out
         while row < len(at) - 1:
             to = max(row + 1, int(np.searchsorted(at, at[row] + SEGMENT, "right")) - 1)
             if at[to] > at[row]:
@@ -145,7 +147,7 @@ def fit(given: list[str], labels: list[int], seed: int = 3) -> Classifier:
     y = np.array(labels, np.float64)
     prior = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        return Classifier(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), prior)
+        return Classifier(None, 0.0, prior)
     # windows of all texts, one after the other, with the subwords of each
     begin, of_text, parts, at = [], [], [], 0
     seen = np.zeros((2, BUCKETS))
