@@ -42,7 +42,7 @@ GROUPS = 64
 FREQUENT, MAX_FREQUENT = 64, 1_000_000
 #: Frequencies are counted for the lower part of the hash space, where prefixes end.
 COUNTED = np.uint64(int(0.4 * 2**64))
-SMALL_CELL, SALT_NODES, FLUSH = 4, 4096, 1 << 20
+SMALL_CELL, SALT_NODES, FLUSH = 4, 4096, 1 << 19
 MET = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("a", "b", "top")]])
 BITS = np.uint64(16)  # shingles are ordered and matched by their upper 48 bits
 
@@ -395,8 +395,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, scratch: Scr
     return links
 
 
-def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b, bound) of the pairs of different components that the R-trees of large cells allow."""
+def _top(group: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Rank of each pair by falling bound among those of one node and one foreign label."""
+    order = np.lexsort((-bound, other, group))
+    g, o = group[order], other[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (o[1:] != o[:-1])] if len(g) else np.empty(0, bool)
+    index = np.arange(len(order))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = index - np.maximum.accumulate(np.where(new, index, 0))
+    return rank
+
+
+def _tree_pairs(cells: DataFrame, points: DataFrame, each: int) -> DataFrame:
+    """(a, b, bound) of pairs of different components that the R-trees of large cells allow.
+
+    Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds
+    come, as long as the other node has as few; a row with a = b tells that others were left.
+    """
     sized = cells.groupBy("cell").agg(F.count("*").alias("m"))
     placed = cells.join(sized, "cell").withColumn("blocks", F.ceil(F.col("m") / 2048).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points.select("node", "n", "counts"), "node")
@@ -414,9 +429,13 @@ def _tree_pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
             a, b = a[keep], b[keep]
             bound = points_.bound(a, b)
             keep = possible(sizes[a], sizes[b], bound)
-            out.append(np.stack([np.minimum(nodes[a], nodes[b])[keep], np.maximum(nodes[a], nodes[b])[keep], bound[keep]], 1))
-        found = pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["a", "b", "bound"])
-        return found.drop_duplicates(["a", "b"]).astype("int64")
+            out.append(np.stack([a[keep], b[keep], bound[keep]], 1))
+        a, b, bound = (np.concatenate(out) if out else np.empty((0, 3), np.int64)).T
+        keep = np.maximum(_top(a, labels[b], bound), _top(b, labels[a], bound)) < each
+        found = pd.DataFrame({"a": np.minimum(nodes[a], nodes[b])[keep], "b": np.maximum(nodes[a], nodes[b])[keep], "bound": bound[keep]})
+        if not keep.all():
+            found.loc[len(found)] = [0, 0, 0]
+        return found.astype("int64")
 
     return dealt.groupBy("cell", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
 
@@ -429,7 +448,7 @@ def _best_untested(allowed: DataFrame, tested: DataFrame, labels: DataFrame, eac
         fresh = fresh.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
     fresh = fresh.where("la <> lb")
     order = [F.desc("bound"), "a", "b"]
-    rank = F.least(F.row_number().over(Window.partitionBy("a", "lb").orderBy(*order)), F.row_number().over(Window.partitionBy("b", "la").orderBy(*order)))
+    rank = F.greatest(F.row_number().over(Window.partitionBy("a", "lb").orderBy(*order)), F.row_number().over(Window.partitionBy("b", "la").orderBy(*order)))
     return fresh.withColumn("r", rank).where(F.col("r") <= each).select("a", "b")
 
 
@@ -453,18 +472,26 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     links = _verified(docs, tested, points, scratch, "links0", "_text")
     labels = scratch.save(components(links, scratch, "labels0-"), "labels0")
     cells = members.select(F.when(F.col("top") != 0, F.col("top")).otherwise(F.col("cell")).alias("cell"), "node").distinct()
-    named = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"))
-    mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-    mixed = scratch.save(named.join(mixed_cells, "cell", "left_semi"), "mixed")
-    allowed = scratch.save(_tree_pairs(mixed, points), "allowed")
-    for step in range(1, 40):
-        fresh = scratch.save(_best_untested(allowed, tested, labels, 4**step), f"fresh{step}")
-        if fresh.isEmpty():
+    step, each = 0, 4
+    while True:
+        named = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"))
+        mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+        mixed = scratch.save(named.join(mixed_cells, "cell", "left_semi"), f"mixed{each}")
+        allowed = scratch.save(_tree_pairs(mixed, points, each), f"allowed{each}")
+        for more_each in (each, 32 * each, 1024 * each, 1 << 30):
+            step += 1
+            fresh = scratch.save(_best_untested(allowed.where("a <> b"), tested, labels, more_each), f"fresh{step}")
+            if fresh.isEmpty():
+                continue
+            more = _verified(docs, fresh, points, scratch, f"links{step}", "_text")
+            tested = scratch.save(tested.unionByName(fresh), f"tested{step}")
+            if more.isEmpty():
+                continue
+            links = scratch.save(links.unionByName(more), f"all{step}")
+            labels = scratch.save(components(links, scratch, f"labels{step}-"), f"labels{step}")
+        if allowed.where("a = b").isEmpty():
             break
-        more = _verified(docs, fresh, points, scratch, f"links{step}", "_text")
-        tested = scratch.save(tested.unionByName(fresh), f"tested{step}")
-        links = scratch.save(links.unionByName(more), f"all{step}")
-        labels = scratch.save(components(links, scratch, f"labels{step}-"), f"labels{step}")
+        each *= 256  # pairs were left out: look again at the cells that are still mixed
     named = points.join(labels, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     final = scratch.save(named.join(least, "label").select("node", "component_id", "copies"), "final")
@@ -478,7 +505,12 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
 
     Documents without shingles or without doc_id all stay, but for repeats of one row.
     """
+    scratch = Scratch(docs.sparkSession, "keep")
     joined = join(docs, text=text, doc_id=doc_id)
-    stay = joined.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct()
-    kept = docs.withColumn("_key", row_key(doc_id, text)).join(stay.withColumnRenamed("row_key", "_key"), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    stay = joined.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = scratch.save(stay.groupBy(F.col("row_key").alias("_key")).agg(F.count("*").alias("_rows")), "stay")
+    keyed = docs.withColumn("_key", row_key(doc_id, text))
+    # repeats of one row are few; only they go through a distinct of whole rows
+    single = keyed.join(stay.where("_rows = 1"), "_key", "left_semi")
+    repeated = keyed.join(stay.where("_rows > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(repeated).select(*docs.columns)
