@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import BLANKS, let, words
+from roadlark.llm.common import BLANKS, Scratch, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Bits of a packed trigram that hold its position; texts with more words take the slower form.
@@ -176,23 +176,28 @@ def score(
 def clean(docs: DataFrame, *, text: str = "text", host: str = "source", share: float = 0.1, least: int = 20, **rules) -> DataFrame:
     """The documents that ``score`` keeps, without the lines above the limits; columns as in ``docs``.
 
-    Texts without such a line stay as they are.
+    Texts without such a line stay as they are. Verdicts are made without carrying texts along;
+    one join brings them to the documents.
     """
-    _, above = frequent_lines(docs, text=text, host=host, share=share, least=least)
-    scored = score(docs, text=text, host=host, share=share, least=least, **rules).where("kept")
-    keyed = scored.withColumns({"_host": _host(host), "_th": _text_hash(text)})
-    # lines of the few texts that lose any, per distinct text
+    scratch = Scratch(docs.sparkSession, "quality")
+    slim = docs.select(F.col(text).alias("text"), F.col(host).alias("source"))
+    _, above = frequent_lines(slim, share=share, least=least)
+    above = scratch.save(above, "above")
+    keyed = slim.withColumns({"_host": _host("source"), "_th": _text_hash("text")})
+    verdict = score(slim.withColumns({"verdict_host": _host("source"), "verdict_th": _text_hash("text")}), share=share, least=least, **rules).where("kept")
+    verdict = verdict.select(F.col("verdict_host").alias("_host"), F.col("verdict_th").alias("_th")).distinct()
     held = (
-        docs.select(_host(host), _text_hash(text), F.explode(F.transform(normal_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x["line"])).alias("line"))
-        .distinct()
+        keyed.select("_host", "_th", F.explode(F.transform(normal_lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: x["line"])).alias("line"))
         .join(above, ["_host", "line"])
         .groupBy("_host", "_th")
         .agg(F.collect_set("line").alias("_gone"))
     )
+    verdict = scratch.save(verdict.join(held, ["_host", "_th"], "left"), "verdict")
     tidy = lambda x: F.btrim(F.regexp_replace(F.lower(x), r"[ \t\x0B\f\r]+", " "), F.lit(" "))
     stay = lambda x: (tidy(x) == "") | ~F.array_contains(F.col("_gone"), F.xxhash64(tidy(x)))
     rest = F.array_join(F.filter(F.split(F.col(text), "\n"), stay), "\n")
-    out = keyed.join(held, ["_host", "_th"], "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
+    out = docs.withColumns({"_host": _host(host), "_th": _text_hash(text)}).join(verdict, ["_host", "_th"])
+    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
