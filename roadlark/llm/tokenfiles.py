@@ -52,6 +52,28 @@ SPACE_LETTER = "\u0120"
 RECORD = "part int, number int, docs int, ids long, first_id long, dictionary string, doc_ids binary, null_ids binary, lengths binary, offsets binary, payload binary"
 
 
+class Pieces:
+    """Where the ids of known pieces start and how many they are, sorted by key."""
+
+    def __init__(self, keys=(), starts=(), lengths=()):
+        self.keys, self.starts, self.lengths = np.array(keys, np.uint64), np.array(starts, np.int64), np.array(lengths, np.int64)
+
+    def plus(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Pieces:
+        both = np.r_[self.keys, keys]
+        order = np.argsort(both, kind="stable")
+        return Pieces(both[order], np.r_[self.starts, starts][order], np.r_[self.lengths, lengths][order])
+
+    def find(self, keys: np.ndarray, rows: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Fills in what is known of ``rows``; the other rows."""
+        if not len(self.keys) or not len(rows):
+            return rows
+        own = keys[rows]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        hit = self.keys[at] == own
+        start[rows[hit]], length[rows[hit]] = self.starts[at[hit]], self.lengths[at[hit]]
+        return rows[~hit]
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct piece of a bounded memory.
 
@@ -74,7 +96,7 @@ class LibraryEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.starts, self.lengths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.old, self.new = Pieces(), Pieces()  # the new ones join the old ones once a batch
         self.flat = np.empty(0, np.uint32)
 
     def _ids(self, pieces: list[str]) -> list[np.ndarray]:
@@ -98,9 +120,7 @@ class LibraryEncoder:
         new = np.concatenate(lengths).astype(np.int64)
         starts = len(self.flat) + np.cumsum(new) - new
         self.flat = np.concatenate([self.flat, *flat])
-        keys = np.r_[self.keys, keys[order]]
-        by_key = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.lengths = keys[by_key], np.r_[self.starts, starts][by_key], np.r_[self.lengths, new][by_key]
+        self.new = self.new.plus(keys[order], starts, new)
 
     def _group(self, data: np.ndarray, bounds: np.ndarray, end: int | None) -> Iterator[bytes]:
         """Ids of adjoining texts; ``bounds`` are their starts and the last end."""
@@ -127,17 +147,15 @@ class LibraryEncoder:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
         keys = mix(mix((sums[last] - sums[first]) * down[first]) + (last - first).astype(np.uint64) * np.uint64(2) + plain)
-        known, some = np.unique(keys, return_index=True)
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, known), len(self.keys) - 1)
-            fresh = self.keys[place] != known
-        else:
-            fresh = np.ones(len(known), bool)
-        if fresh.any():
-            k = some[fresh]
-            self._learn(known[fresh], data, first[k], last[k], plain[k])
-        row = np.searchsorted(self.keys, keys)
-        length, start = self.lengths[row], self.starts[row]
+        start, length = np.empty(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        missing = np.arange(len(keys))
+        for table in (self.old, self.new):
+            missing = table.find(keys, missing, start, length)
+        if len(missing):
+            fresh, some = np.unique(keys[missing], return_index=True)
+            k = missing[some]
+            self._learn(fresh, data, first[k], last[k], plain[k])
+            self.new.find(keys, missing, start, length)
         ends = np.cumsum(length)
         ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
         pieces = np.searchsorted(first, bounds)
@@ -148,7 +166,8 @@ class LibraryEncoder:
 
     def encode_column(self, column: pa.Array, end: int | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; nulls are empty."""
-        if len(self.keys) > CACHE_PIECES:
+        self.old, self.new = self.old.plus(self.new.keys, self.new.starts, self.new.lengths), Pieces()
+        if len(self.old.keys) > CACHE_PIECES:
             self._forget()
         data, at = texts(column)
         out, row = [], 0
@@ -173,7 +192,7 @@ _CODES = np.random.default_rng(4711).integers(1, 1 << 63, 256, dtype=np.uint64)
 def train_dictionary(docs: DataFrame, vocab_json: str, *, text: str, doc_id: str) -> bytes:
     """Shared dictionary from a hash sample of about SAMPLE_DOCS documents; empty where they are too few to train on."""
     every = max(1, docs.count() // SAMPLE_DOCS)
-    hashed = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(doc_id, text).alias("h"))
+    hashed = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(doc_id).alias("h"))
     rows = hashed.where(F.col("t").isNotNull() & (F.pmod("h", F.lit(every)) == 0)).limit(2 * SAMPLE_DOCS).collect()
     rows.sort(key=lambda r: (r["h"], r["t"]))
     arrays = LibraryEncoder(vocab_json).encode([r["t"] for r in rows])
@@ -183,11 +202,15 @@ def train_dictionary(docs: DataFrame, vocab_json: str, *, text: str, doc_id: str
         return b""
 
 
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+def _dictionary(raw: bytes, level: int | None = None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary, digested once for compression at a level."""
+    found = zstandard.ZstdCompressionDict(raw) if raw else None
+    if found and level is not None:
+        found.precompute_compress(level=level)
+    return found
 
 
-def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 3, docs_per_part: int = 16384) -> None:
+def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 1, docs_per_part: int = 16384) -> None:
     """Writes ``path/shards`` and ``path/dictionary``."""
     spark = docs.sparkSession
     python_tasks(spark, rows=2048)
@@ -201,7 +224,7 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, dictionary = shared.value
         encoder = LibraryEncoder(vocab)
-        press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
+        press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, level))
         part, number, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, int, bytes]] = []
 
