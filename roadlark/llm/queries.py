@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlark.llm import bpe, covertree, jaccard, maxent, mixing, pii, quality, sharding, tokenfiles, toxicity
 from roadlark.llm.common import Scratch, documents
+from roadlark.llm.sql import ORACLE
 
 
 def byte_bpe_file() -> str:
@@ -68,4 +69,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL twins of those queries that SQL can express; tests compare the others with brute force."""
+    return dict(ORACLE)
