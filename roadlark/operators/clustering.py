@@ -45,3 +45,9 @@ def dbscan(events: DataFrame, *, metres: float = CLUSTER_M, least: int = CLUSTER
     named = cores.join(labels.withColumnRenamed("node", "a"), "a", "left").select("a", kind, F.coalesce("component", "a").alias("cluster_id"))
     border = of_core.join(core_ids, "a", "left_anti").join(named.select(F.col("a").alias("b"), "cluster_id"), "b").groupBy("a", kind).agg(F.min("cluster_id").alias("cluster_id"))
     return named.withColumn("role", F.lit("core")).unionByName(border.withColumn("role", F.lit("border"))).withColumnRenamed("a", key)
+
+
+def run_clustering(events: DataFrame, path: str, **options) -> DataFrame:
+    """Clusters the history and stores the result; what a weekly job or a planner calls."""
+    dbscan(events, **options).write.mode("overwrite").parquet(path)
+    return events.sparkSession.read.parquet(path)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlark.config import DENSITY, EMERGENCY, HELMET_CONFIDENCE, PASSENGERS, PERMISSIONS, PROMOTE_SESSIONS, RECOMMEND_MIN, RETENTION_DAYS
+from roadlark.functions.geo import box_of, crosses, point_in_polygon
+from roadlark.functions.scores import quality_tags
 
 
 def apply_filter(df: DataFrame, *, kind: str | None = None, kind_column: str = "vtype", zone: object = None, status: str | None = None, severity: str | None = None, session: object = None, start: float | None = None, end: float | None = None, t: str = "t", min_confidence: float | None = None) -> DataFrame:
@@ -99,3 +101,27 @@ def min_events(clusters: DataFrame, n: int = RECOMMEND_MIN, column: str = "n_eve
 
 def hour_between(df: DataFrame, first: int, last: int, ts: str = "ts") -> DataFrame:
     return df.where(F.hour(ts).between(first, last))
+
+
+def tag_quality(df: DataFrame, **conditions: Column) -> DataFrame:
+    """Labels degraded rows in ``tags``; no row is left out."""
+    return df.withColumn("tags", quality_tags(**conditions))
+
+
+def valid_patrol(patrols: DataFrame, no_fly: DataFrame) -> DataFrame:
+    """Patrols (patrol_id, polygon) that neither overlap a no-fly polygon nor lie in one."""
+    a, b = F.col("polygon"), F.col("_other")
+    inside = lambda ring, area: F.exists(ring, lambda q: point_in_polygon(q["lat"], q["lng"], area))
+    at = lambda ring, i: F.get(ring, i % F.size(ring))
+
+    def cross(i: Column, j: Column) -> Column:
+        p, q, u, v = at(a, i), at(a, i + 1), at(b, j), at(b, j + 1)
+        return crosses(p["lng"], p["lat"], q["lng"], q["lat"], u["lng"], u["lat"], v["lng"], v["lat"])
+
+    touch = F.exists(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.exists(F.sequence(F.lit(0), F.size(b) - 1), lambda j: cross(i, j)))
+    boxes = {**box_of(F.col("polygon"))}
+    left = patrols.withColumns({f"_p_{k}": v for k, v in boxes.items()})
+    right = no_fly.select(F.col("polygon").alias("_other")).withColumns({f"_n_{k}": v for k, v in box_of(F.col("_other")).items()})
+    near = (F.col("_p_min_lat") <= F.col("_n_max_lat")) & (F.col("_n_min_lat") <= F.col("_p_max_lat")) & (F.col("_p_min_lng") <= F.col("_n_max_lng")) & (F.col("_n_min_lng") <= F.col("_p_max_lng"))
+    bad = left.join(right, near & (inside(a, b) | inside(b, a) | touch), "left_semi").select("patrol_id")
+    return patrols.join(bad, "patrol_id", "left_anti")

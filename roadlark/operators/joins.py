@@ -152,3 +152,16 @@ def compare_scenarios(a: DataFrame, b: DataFrame, keys: Sequence[str], value: st
 
 def attach_rider(dets: DataFrame, crops: DataFrame) -> DataFrame:
     return dets.join(crops, (dets["frame_no"] == crops["frame_no"]) & (dets["det_id"] == crops["parent_det_id"])).drop(crops["frame_no"])
+
+
+def wet_pothole(masks: DataFrame, least_iou: float = 0.1, factor: float = 0.5) -> DataFrame:
+    """Masks with ``waterlogged`` and a confidence lowered for potholes that overlap standing water of their frame."""
+    water = masks.where("anomaly_type = 'waterlogging'").select("session_id", "frame_no", F.col("box").alias("_water"))
+    wet = masks.where("anomaly_type = 'pothole'").join(water, ["session_id", "frame_no"]).where(geo.iou(F.col("box"), F.col("_water")) >= least_iou)
+    out = masks.join(wet.select("det_id").distinct().withColumn("_wet", F.lit(True)), "det_id", "left").withColumn("waterlogged", F.coalesce("_wet", F.lit(False)))
+    return out.withColumn("confidence", F.when(F.col("waterlogged"), F.col("confidence") * factor).otherwise(F.col("confidence"))).drop("_wet")
+
+
+def attach_road_class(anomalies: DataFrame, zones: DataFrame) -> DataFrame:
+    """Anomalies with the road class of their zone and whether a school or hospital is near."""
+    return anomalies.join(zones.select("zone_id", "road_class", "near_school"), "zone_id", "left").withColumn("near_school", F.coalesce("near_school", F.lit(False)))

@@ -140,3 +140,15 @@ def with_dynamic_zones(stream: DataFrame, read_zones, handle, checkpoint: str):
         handle(join_zones(batch, read_zones()), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start(stream: DataFrame, sink: str, checkpoint: str, *, trigger: str = "100 milliseconds", mode: str = "append", **options: str):
+    """Starts a stream at the push cadence; micro-batches make it a floor, not a promise."""
+    return stream.writeStream.format(sink).options(**options).outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+
+
+def fan_out(streams: dict[str, DataFrame], handle, checkpoint: str) -> list:
+    """One query for each push event; ``handle(batch, number)`` gets JSON payloads."""
+    from roadlark.sources.sinks import payloads
+
+    return [payloads(kind, rows).writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/{kind}").trigger(availableNow=True).start() for kind, rows in streams.items()]

@@ -217,3 +217,17 @@ def test_tracking(spark):
     assert last["next_lat"] == pytest.approx(17 + 1e-5 * 30, abs=2e-6)
     values = spark.createDataFrame([(i, 1.0 + i % 3 * 0.1) for i in range(50)] + [(99, 50.0)], "k long, v double")
     assert [r["k"] for r in tracking.robust_outliers(values, ("v",), "k").where("is_outlier").collect()] == [99]
+
+
+def test_patrols_and_wet_potholes(spark):
+    ring = "array<struct<lng:double,lat:double>>"
+    move = lambda dx, dy: [(x + dx, y + dy) for x, y in SQUARE]
+    patrols = spark.createDataFrame([(1, move(0.0, 0.0)), (2, move(5.0, 5.0)), (3, [(-9.0, -9.0), (20.0, -9.0), (20.0, -8.5), (-9.0, -8.5)])], f"patrol_id long, polygon {ring}")
+    no_fly = spark.createDataFrame([(move(1.0, 0.5),), ([(4.0, 4.0), (9.0, 4.0), (9.0, 9.0), (4.0, 9.0)],)], f"polygon {ring}")
+    assert [r["patrol_id"] for r in filters.valid_patrol(patrols, no_fly).collect()] == [3]
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    masks = spark.createDataFrame([(1, "s", 1, "pothole", 0.8, (0.0, 0.0, 10.0, 10.0)), (2, "s", 1, "waterlogging", 0.8, (5.0, 0.0, 15.0, 10.0)), (3, "s", 2, "pothole", 0.8, (0.0, 0.0, 10.0, 10.0))], f"det_id long, session_id string, frame_no int, anomaly_type string, confidence double, box {box}")
+    got = {r["det_id"]: (r["waterlogged"], r["confidence"]) for r in joins.wet_pothole(masks).collect()}
+    assert got == {1: (True, 0.4), 2: (False, 0.8), 3: (False, 0.8)}
+    tagged = filters.tag_quality(masks, wet=F.col("anomaly_type") == "waterlogging").collect()
+    assert [r["tags"] for r in tagged] == [[], ["wet"], []]
