@@ -11,7 +11,7 @@ In high dimensions random vectors are all about as far apart, and no bound can d
 block pairs: work is then quadratic in the number of blocks, in matrix products.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing and are their own component; repeated vectors link
+non-finite components, or have no vec_id, link with nothing and are their own component; repeated vectors link
 with each other; repeated vec_ids are one vector when equal; an empty table gives an empty
 table.
 """
@@ -154,7 +154,7 @@ def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     v = F.col(embedding).cast("array<double>")
     squares = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (squares > 0) & (squares < F.lit(float("inf")))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(kind).alias("u"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(kind).alias("u"), (F.coalesce(usable, F.lit(False)) & F.col(vec_id).isNotNull()).alias("usable"))
     identity = F.md5(F.concat_ws(",", F.col("u").cast("array<string>")).cast("binary"))
     known = scratch.save(rows.where("usable").withColumn("dim", F.size("u")).withColumn("hash", identity).select("vec_id", "hash", "dim", "u"), "known")
     points = known.groupBy("hash").agg(F.min("vec_id").alias("point"), F.count_distinct("vec_id").alias("times"), F.first("u").alias("u"), F.first("dim").alias("dim"))

@@ -386,6 +386,9 @@ def test_cover_tree(spark):
         assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out} == {(i, links[i], u.root(i), u.root(i) == i) for i, _ in rows}
         assert len(out) == len(rows)
     assert covertree.links(frame.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [1.0, 0.01], "x")], "vec_id long, embedding array<double>, hash string")
+    out = collections.Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.links(nameless).collect())
+    assert out == {(None, 0, None): 1, (1, 1, 1): 2, (2, 1, 1): 1}
 
 
 # 10 mixing
