@@ -478,11 +478,11 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
         mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
         mixed = scratch.save(named.join(mixed_cells, "cell", "left_semi"), f"mixed{each}")
         allowed = scratch.save(_tree_pairs(mixed, points, each), f"allowed{each}")
-        for more_each in (each, 32 * each, 1024 * each, 1 << 30):
+        for more_each in (each, 256 * each, 1 << 30):
             step += 1
             fresh = scratch.save(_best_untested(allowed.where("a <> b"), tested, labels, more_each), f"fresh{step}")
-            if fresh.isEmpty():
-                continue
+            if fresh.isEmpty():  # the best of all untested pairs would be first for both its nodes
+                break
             more = _verified(docs, fresh, points, scratch, f"links{step}", "_text")
             tested = scratch.save(tested.unionByName(fresh), f"tested{step}")
             if more.isEmpty():
@@ -491,7 +491,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
             labels = scratch.save(components(links, scratch, f"labels{step}-"), f"labels{step}")
         if allowed.where("a = b").isEmpty():
             break
-        each *= 256  # pairs were left out: look again at the cells that are still mixed
+        each = 1 << 30  # pairs were left out: look again at the cells that are still mixed
     named = points.join(labels, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     final = scratch.save(named.join(least, "label").select("node", "component_id", "copies"), "final")
