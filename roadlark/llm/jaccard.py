@@ -406,16 +406,42 @@ def _top(group: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, cells: list[np.ndarray], cell: int) -> np.ndarray:
+    """Whether the nodes of each pair also share a cell of a smaller name, which then yields the pair. ``cells`` are sorted."""
+    earlier = [c[: int(np.searchsorted(c, cell))] for c in cells]
+    sizes = np.array([len(c) for c in earlier], np.int64)
+    out = np.zeros(len(a), bool)
+    if not sizes.sum():
+        return out
+    names, rank = np.unique(np.concatenate(earlier), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    known = np.repeat(np.arange(len(cells)), sizes) * len(names) + rank
+    fewer = sizes[a] <= sizes[b]
+    x, y = np.where(fewer, a, b), np.where(fewer, b, a)
+    for at in range(0, len(x), 1 << 15):
+        own = slice(at, at + (1 << 15))
+        count = sizes[x[own]]
+        ends = np.cumsum(count)
+        if not ends[-1]:
+            continue
+        of_pair = np.repeat(np.arange(len(count)), count)
+        asked = rank[np.repeat(starts[x[own]] - (ends - count), count) + np.arange(ends[-1])] + y[own][of_pair] * len(names)
+        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        out[own] = np.bincount(of_pair, known[place] == asked, len(count)) > 0
+    return out
+
+
 def _tree_pairs(cells: DataFrame, points: DataFrame, each: int) -> DataFrame:
     """(a, b, bound) of pairs of different components that the R-trees of large cells allow.
 
-    Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds
+    A pair comes from the first cell that both nodes share. Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds
     come, as long as the other node has as few; a row with a = b tells that others were left.
     """
+    among = cells.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("in_cells"))  # as many as a prefix has shingles at most
     sized = cells.groupBy("cell").agg(F.count("*").alias("m"))
     placed = cells.join(sized, "cell").withColumn("blocks", F.ceil(F.col("m") / 2048).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points.select("node", "n", "counts"), "node")
-    dealt = dealt.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "counts")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points.select("node", "n", "counts").join(among, "node"), "node")
+    dealt = dealt.select("cell", "in_cells", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "counts")
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
@@ -431,6 +457,8 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, each: int) -> DataFrame:
             keep = possible(sizes[a], sizes[b], bound)
             out.append(np.stack([a[keep], b[keep], bound[keep]], 1))
         a, b, bound = (np.concatenate(out) if out else np.empty((0, 3), np.int64)).T
+        first = ~_met_before(a, b, [np.array(c, np.int64) for c in frame["in_cells"]], int(frame["cell"].iloc[0]))
+        a, b, bound = a[first], b[first], bound[first]
         keep = np.maximum(_top(a, labels[b], bound), _top(b, labels[a], bound)) < each
         found = pd.DataFrame({"a": np.minimum(nodes[a], nodes[b])[keep], "b": np.maximum(nodes[a], nodes[b])[keep], "bound": bound[keep]})
         if not keep.all():
