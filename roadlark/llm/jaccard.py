@@ -42,7 +42,7 @@ GROUPS = 64
 FREQUENT, MAX_FREQUENT = 64, 1_000_000
 #: Frequencies are counted for the lower part of the hash space, where prefixes end.
 COUNTED = np.uint64(int(0.4 * 2**64))
-SMALL_CELL, SALT_NODES, FLUSH = 4, 4096, 1 << 19
+SMALL_CELL, SALT_NODES, BLOCK, FLUSH = 4, 4096, 2048, 1 << 19
 MET = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("a", "b", "top")]])
 BITS = np.uint64(16)  # shingles are ordered and matched by their upper 48 bits
 
@@ -110,36 +110,41 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, shared: np.ndarray) -> np.ndarray
 
 
 class CountTree:
-    """R-tree over group counts, packed by size and then by counts; boxes keep upper corners and sizes."""
+    """R-tree over group counts, packed by cell, size and counts; boxes keep upper corners, sizes and cells."""
 
     LEAF, FAN = 16, 8
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((counts[:, 1], counts[:, 0], sizes // max(1, int(sizes.max(initial=1)) // 16)))
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, cells: np.ndarray | None = None):
+        cells = np.zeros(len(sizes), np.int64) if cells is None else cells
+        # sets of one class of sizes are those that may link
+        order = np.lexsort((counts[:, 1], counts[:, 0], (np.log(np.maximum(sizes, 1)) / np.log(4 / 3)).astype(np.int64), cells))
         self.order = order
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         top, low, high, step = counts[order], sizes[order], sizes[order], self.LEAF
-        self.levels.append((top, low, high))
+        first = last = cells[order]
+        self.levels = [(top, low, high, first, last)]
         while len(top) > 1:
             at = np.arange(0, len(top), step)
             top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            self.levels.append((top, low, high))
+            first, last = first[at], np.maximum.reduceat(last, at)
+            self.levels.append((top, low, high, first, last))
             step = self.FAN
 
     def _step(self, level: int) -> int:
         return self.LEAF if level == 0 else self.FAN
 
     def pairs(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(positions, positions, bound) of pairs that their boxes and counts allow."""
+        """(positions, positions, bound) of pairs of one cell that their boxes and counts allow."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
             if len(a) > most:
                 stack += [(level, a[k : k + most], b[k : k + most]) for k in range(0, len(a), most)]
                 continue
-            top, low, high = self.levels[level]
+            top, low, high, first, last = self.levels[level]
+            fits = (first[a] <= last[b]) & (first[b] <= last[a]) & (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
+            a, b = a[fits], b[fits]
             bound = overlap_bound(top[a], top[b])
-            fits = (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a]) & (7 * np.minimum(bound, np.minimum(high[a], high[b])).astype(np.int64) >= 3 * (low[a] + low[b]))
+            fits = 7 * np.minimum(bound, np.minimum(high[a], high[b])).astype(np.int64) >= 3 * (low[a] + low[b])
             a, b, bound = a[fits], b[fits], bound[fits]
             if level == 0:
                 fits = (a < b) & possible(low[a], low[b], bound)
@@ -406,16 +411,15 @@ def _top(group: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, cells: list[np.ndarray], cell: int) -> np.ndarray:
-    """Whether the nodes of each pair also share a cell of a smaller name, which then yields the pair. ``cells`` are sorted."""
-    earlier = [c[: int(np.searchsorted(c, cell))] for c in cells]
+def _met_before(a: np.ndarray, b: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+    """Whether the rows of each pair also share one of the cells before theirs, which then yields the pair."""
     sizes = np.array([len(c) for c in earlier], np.int64)
     out = np.zeros(len(a), bool)
     if not sizes.sum():
         return out
     names, rank = np.unique(np.concatenate(earlier), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    known = np.repeat(np.arange(len(cells)), sizes) * len(names) + rank
+    known = np.sort(np.repeat(np.arange(len(earlier)), sizes) * len(names) + rank)
     fewer = sizes[a] <= sizes[b]
     x, y = np.where(fewer, a, b), np.where(fewer, b, a)
     for at in range(0, len(x), 1 << 15):
@@ -431,24 +435,41 @@ def _met_before(a: np.ndarray, b: np.ndarray, cells: list[np.ndarray], cell: int
     return out
 
 
+def _largest_cells(cells: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``cells`` (cell, node, label, and their size m) but for those whose nodes all lie in one larger cell, which meets them too.
+
+    A cell is compared with the four largest cells of each of its nodes; what that misses stays.
+    """
+    sized = scratch.save(cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell"), f"{name}-sized")
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("m", "cell")), False), 1, 4)  # a node has as many cells as a prefix shingles at most
+    larger = sized.groupBy("node").agg(largest.alias("largest"))
+    held = sized.join(larger, "node").select("cell", "m", F.explode("largest").alias("in")).where("in.m > m")
+    within = held.groupBy("cell", "m", F.col("in.cell").alias("in")).agg(F.count("*").alias("shared")).where("shared = m").select("cell").distinct()
+    return scratch.save(sized.join(within, "cell", "left_anti"), name)
+
+
 def _tree_pairs(cells: DataFrame, points: DataFrame, each: int) -> DataFrame:
     """(a, b, bound) of pairs of different components that the R-trees of large cells allow.
 
-    A pair comes from the first cell that both nodes share. Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds
+    Cells of up to ``BLOCK`` nodes share a tree with others, larger ones are cut into blocks and
+    have a tree for each pair of these. A pair comes from the first cell that both nodes share.
+    Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds
     come, as long as the other node has as few; a row with a = b tells that others were left.
     """
-    among = cells.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("in_cells"))  # as many as a prefix has shingles at most
-    sized = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    placed = cells.join(sized, "cell").withColumn("blocks", F.ceil(F.col("m") / 2048).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    trees = n_tasks(cells.sparkSession, cells.count(), BLOCK)
+    in_cells = F.collect_list("cell")  # as many as a prefix has shingles at most
+    among = cells.groupBy("node").agg(in_cells.alias("in_cells"))
+    placed = cells.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("tree", F.when(F.col("blocks") > 1, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(trees))))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points.select("node", "n", "counts").join(among, "node"), "node")
-    dealt = dealt.select("cell", "in_cells", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "counts")
+    dealt = dealt.select("blocks", "tree", "cell", F.expr("filter(in_cells, c -> c < cell)").alias("earlier"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "counts")
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        nodes, labels, block = (frame[c].to_numpy(np.int64) for c in ("node", "label", "block"))
+        nodes, labels, block, cell = (frame[c].to_numpy(np.int64) for c in ("node", "label", "block", "cell"))
         points_, sizes = Points(list(frame["counts"])), frame["n"].to_numpy(np.int64)
         out = []
-        for a, b, _ in CountTree(points_.coarse, sizes).pairs():
+        for a, b, _ in CountTree(points_.coarse, sizes, cell).pairs():
             keep = labels[a] != labels[b]
             if i != j:
                 keep &= block[a] != block[b]
@@ -457,15 +478,16 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, each: int) -> DataFrame:
             keep = possible(sizes[a], sizes[b], bound)
             out.append(np.stack([a[keep], b[keep], bound[keep]], 1))
         a, b, bound = (np.concatenate(out) if out else np.empty((0, 3), np.int64)).T
-        first = ~_met_before(a, b, [np.array(c, np.int64) for c in frame["in_cells"]], int(frame["cell"].iloc[0]))
+        first = ~_met_before(a, b, [np.asarray(c, np.int64) for c in frame["earlier"]])
         a, b, bound = a[first], b[first], bound[first]
-        keep = np.maximum(_top(a, labels[b], bound), _top(b, labels[a], bound)) < each
+        keep = np.maximum(_top(nodes[a], labels[b], bound), _top(nodes[b], labels[a], bound)) < each
         found = pd.DataFrame({"a": np.minimum(nodes[a], nodes[b])[keep], "b": np.maximum(nodes[a], nodes[b])[keep], "bound": bound[keep]})
         if not keep.all():
             found.loc[len(found)] = [0, 0, 0]
         return found.astype("int64")
 
-    return dealt.groupBy("cell", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
+    # a bucket of small cells and a large cell may have one number, but not one count of blocks
+    return dealt.groupBy("blocks", "tree", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
 
 
 def _best_untested(allowed: DataFrame, tested: DataFrame, labels: DataFrame, each: int) -> DataFrame:
@@ -504,7 +526,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     while True:
         named = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"))
         mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-        mixed = scratch.save(named.join(mixed_cells, "cell", "left_semi"), f"mixed{each}")
+        mixed = _largest_cells(named.join(mixed_cells, "cell", "left_semi"), scratch, f"mixed{each}")
         allowed = scratch.save(_tree_pairs(mixed, points, each), f"allowed{each}")
         for more_each in (each, 256 * each, 1 << 30):
             step += 1
