@@ -108,8 +108,9 @@ def timeline(events: DataFrame, keys: Sequence[str] = ("session_id",), order: Se
     return events.withColumn("seen", F.count("*").over(w))
 
 
-def zone_versions(history: DataFrame, key: str = "zone_id", t: str = "t") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(t)
+def zone_versions(history: DataFrame, key: str = "zone_id", t: str = "t", tie: str | None = None) -> DataFrame:
+    """Each version holds until the next; versions of one moment follow in the order of ``tie``."""
+    w = Window.partitionBy(key).orderBy(*([t, tie] if tie else [t]))
     return history.withColumns({"valid_from": F.col(t), "valid_to": F.lead(t).over(w)})
 
 
@@ -130,6 +131,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return df.withColumn(name, (F.rank() if ties else F.row_number()).over(w))
 
 
-def severity_trend(dets: DataFrame, keys: Sequence[str], t: str = "t", severity: str = "severity") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(t, severity)
+def severity_trend(dets: DataFrame, keys: Sequence[str], t: str = "t", severity: str = "severity", tie: str | None = None) -> DataFrame:
+    """Change from the detection before; detections of one moment follow by severity, then by ``tie``."""
+    w = Window.partitionBy(*keys).orderBy(t, severity, *([tie] if tie else []))
     return dets.withColumn("severity_change", F.col(severity) - F.lag(severity).over(w)).withColumn("seen_so_far", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -74,8 +74,8 @@ def anomaly_upsert(spark, sf_dir):
 
 @query(f"with {S} select det_id, t, zone_id, round(severity - lag(severity) over (partition by anomaly_type, zone_id order by t, severity), 6) as severity_change from (select det_id, anomaly_type, zone_id, t, max(severity) as severity from s group by all) where det_id % 7 = 1")
 def severity_trend(spark, sf_dir):
-    d = scored(spark, sf_dir).groupBy("det_id", "anomaly_type", "zone_id", "t").agg(F.max("severity").alias("severity")).where("det_id % 7 = 1")
-    return win.severity_trend(d, ["anomaly_type", "zone_id"]).select("det_id", "t", "zone_id", F.round("severity_change", 6).alias("severity_change"))
+    d = scored(spark, sf_dir).groupBy("det_id", "anomaly_type", "zone_id", "t").agg(F.max("severity").alias("severity"))
+    return win.severity_trend(d, ["anomaly_type", "zone_id"], tie="det_id").select("det_id", "t", "zone_id", F.round("severity_change", 6).alias("severity_change"))
 
 
 @query(f"with {V}, {A} select zone_id, count(*) as n, sum(case when kind = 'violation' then 1 else 0 end)::bigint as n_violations from (select zone_id, 'violation' as kind from v union all select zone_id, 'anomaly' from a) group by all")
