@@ -1,9 +1,11 @@
 """Quality rules by cross-document line frequency. DataFrame functions only.
 
-Lines that very many documents of a host share are navigation, notices or other
+Lines that many documents of a host share are navigation, notices or other
 boilerplate. Lines are normalised and hashed, the distinct documents of each
-(host, line) are counted, lines above the host's limit are removed, and documents
-that lose nearly all of their words that way are rejected.
+(host, line) are counted, lines above the limit are removed, and documents
+that lose nearly all of their words that way are rejected. The limit is a number of
+documents, the same for each host: that many texts which differ elsewhere and agree in
+a whole line show a template, and further texts of the host without it prove nothing against that.
 
 Defined cases: a null text counts as empty (all counts 0, rejected for having few
 words); a null host is a host of its own; equal texts of a host count as one
@@ -93,11 +95,11 @@ def normal_lines(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), count(x).cast("long").alias("line_words")))
 
 
-def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source", share: float = 0.1, least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(lines of each distinct text, lines above their host's limit).
+def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source", least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(lines of each distinct text, lines above the limit).
 
-    A line is above the limit when more than ``share`` of the host's distinct texts and more
-    than ``least`` of them hold it.
+    A line is above the limit when more than ``least`` distinct texts of its host hold it,
+    however many texts the host has.
     """
     keyed = docs.select(_host(host), _text_hash(text), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     each = (
@@ -105,15 +107,7 @@ def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source",
         .groupBy("_host", "_th", "x.line")
         .agg(F.sum("x.line_words").alias("line_words"), F.count("*").alias("n"))
     )
-    hosts = keyed.groupBy("_host", "_th").count().groupBy("_host").agg(F.count("*").alias("texts"))
-    above = (
-        each.groupBy("_host", "line")
-        .agg(F.count("*").alias("in_texts"))
-        .where(F.col("in_texts") > least)
-        .join(hosts, "_host")
-        .where(F.col("in_texts") > share * F.col("texts"))
-        .select("_host", "line", "in_texts")
-    )
+    above = each.groupBy("_host", "line").agg(F.count("*").alias("in_texts")).where(F.col("in_texts") > least)
     return each, above
 
 
@@ -130,7 +124,6 @@ def score(
     *,
     text: str = "text",
     host: str = "source",
-    share: float = 0.1,
     least: int = 20,
     min_left: float = 0.3,
     min_words: int = 50,
@@ -141,7 +134,7 @@ def score(
     Columns of ``docs`` with these names are replaced. A document is depleted, and not kept,
     when less than ``min_left`` of its words stand outside removed lines.
     """
-    each, above = frequent_lines(docs, text=text, host=host, share=share, least=least)
+    each, above = frequent_lines(docs, text=text, host=host, least=least)
     # the word counts of a text's copies add up in `line_words`; each copy holds its share
     lost = each.join(above, ["_host", "line"]).withColumn("own", F.col("line_words")).groupBy("_host", "_th").agg(F.sum("own").alias("_lost"), F.max("in_texts").alias("max_line_texts"))
     copies = docs.groupBy(_host(host), _text_hash(text)).agg(F.count("*").alias("_copies"))
@@ -173,7 +166,7 @@ def score(
     )
 
 
-def clean(docs: DataFrame, *, text: str = "text", host: str = "source", share: float = 0.1, least: int = 20, **rules) -> DataFrame:
+def clean(docs: DataFrame, *, text: str = "text", host: str = "source", least: int = 20, **rules) -> DataFrame:
     """The documents that ``score`` keeps, without the lines above the limits; columns as in ``docs``.
 
     Texts without such a line stay as they are. Verdicts are made without carrying texts along;
@@ -181,10 +174,10 @@ def clean(docs: DataFrame, *, text: str = "text", host: str = "source", share: f
     """
     scratch = Scratch(docs.sparkSession, "quality")
     slim = docs.select(F.col(text).alias("text"), F.col(host).alias("source"))
-    _, above = frequent_lines(slim, share=share, least=least)
+    _, above = frequent_lines(slim, least=least)
     above = scratch.save(above, "above")
     keyed = slim.withColumns({"_host": _host("source"), "_th": _text_hash("text")})
-    verdict = score(slim.withColumns({"verdict_host": _host("source"), "verdict_th": _text_hash("text")}), share=share, least=least, **rules).where("kept")
+    verdict = score(slim.withColumns({"verdict_host": _host("source"), "verdict_th": _text_hash("text")}), least=least, **rules).where("kept")
     verdict = verdict.select(F.col("verdict_host").alias("_host"), F.col("verdict_th").alias("_th")).distinct()
     held = (
         keyed.select("_host", "_th", F.explode(F.transform(normal_lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: x["line"])).alias("line"))
