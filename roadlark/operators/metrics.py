@@ -46,13 +46,23 @@ def tracking_metrics(matched: DataFrame, t: str = "t") -> DataFrame:
     return out.withColumn("mota", 1 - (F.col("misses") + F.col("false_alarms") + F.col("switches")) / F.col("truths")).withColumn("switch_rate", F.col("switches") / F.col("truths")).withColumn("continuity", 1 - F.col("misses") / F.col("truths"))
 
 
+#: Tasks among which the distinct values of a rank correlation are dealt.
+RANK_BUCKETS = 256
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation, ties at their mean rank. Ranks come from the counts of equal values, so
-    only distinct values are ordered."""
+    """Rank correlation, ties at their mean rank. Ranks come from the counts of equal values:
+    sums within buckets of the value's range, plus what the buckets before hold."""
 
     def ranked(frame: DataFrame, c: str) -> DataFrame:
         sums = frame.groupBy(c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c))
+        value = F.col(c).cast("double")
+        bounds = sums.select(value.alias("v")).approxQuantile("v", [k / RANK_BUCKETS for k in range(1, RANK_BUCKETS)], 0.2 / RANK_BUCKETS)
+        edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>")
+        sums = sums.withColumn("_b", F.size(F.filter(edges, lambda e: e <= value)))
+        held = {r["_b"]: r["n"] for r in sums.groupBy("_b").agg(F.sum("n").alias("n")).collect()}
+        before = F.array(*[F.lit(sum(n for b, n in held.items() if b < k)).cast("long") for k in range(RANK_BUCKETS)])
+        upto = F.get(before, F.col("_b")) + F.sum("n").over(Window.partitionBy("_b").orderBy(c))
         return frame.join(sums.select(c, (upto - (F.col("n") - 1) / 2).alias(f"_r_{c}")), c)
 
     return ranked(ranked(df.select(x, y), x), y).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count("*").alias("n"))

@@ -75,3 +75,19 @@ def test_rbac_zone_scope_reads_all_customers(spark, tmp_path):
     frame = catalog.queries()["rbac_zone_scope"](spark, str(tmp_path))
     assert {r["event_id"] for r in frame.collect()} == {i for i in range(100) if i // 2 * 7919 % 23 == 57 % 25 % 23}
     assert "% 50" not in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_spearman_orders_in_buckets(spark):
+    from roadlark.operators import metrics
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, 3000)
+    y = x * 50 + rng.integers(0, 3000, 3000)
+    rank = lambda v: np.array([(np.searchsorted(np.sort(v), a) + np.searchsorted(np.sort(v), a, "right") + 1) / 2 for a in v])
+    frame = metrics.spearman(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x long, y long"), "x", "y")
+    got = frame.first()
+    assert got["n"] == 3000 and abs(got["rho"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(_b" in plan and "windowspecdefinition(x" not in plan and "windowspecdefinition(y" not in plan
+    none = metrics.spearman(spark.createDataFrame([], "x long, y long"), "x", "y").first()
+    assert none["n"] == 0 and none["rho"] is None
