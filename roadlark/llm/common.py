@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +50,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext.getCheckpointDir():
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="roadlark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -69,21 +75,70 @@ class Scratch:
         frame.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Only for a table that no returned DataFrame still reads."""
+    def drop(self, name: str = "") -> None:
+        """Deletes a table, or all of this scratch; only what no returned DataFrame still reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        place = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        place = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         place.getFileSystem(conf).delete(place, True)
 
 
-def python_tasks(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
-    """Readies a session for Python in tasks: ships the package, and bounds what an Arrow batch
-    holds, so that long texts don't add up in a worker."""
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables in the shared folder; for a caller whose results are written."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "roadlark-*")) or []:
+        files.delete(found.getPath(), True)
+
+
+@contextlib.contextmanager
+def arrow_limits(spark: SparkSession, rows: int = 512, size: str = "8m") -> Iterator[None]:
+    """Bounds what an Arrow batch holds, so that long texts don't add up in a Python worker, and
+    ships the package. The session's own limits come back at the end, so what runs Python must
+    be written inside the block."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def trim() -> None:
+    """Gives freed memory of this Python worker back, which else keeps it for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def n_tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` rows: enough for the input, at least what the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """These names, with as many ``_`` at the end as keep them apart from the columns of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed_columns(docs: DataFrame, *named: str, renamed: tuple[str, ...]) -> DataFrame:
+    """The columns ``named``, as ``renamed``, and all columns of ``docs`` in one struct ``row``.
+
+    Names used inside an operator then never meet those of the caller; ``unpacked`` undoes it.
+    """
+    return docs.select(*[F.col(f"`{n}`").alias(r) for n, r in zip(named, renamed, strict=True)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(packed: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``row``; ``changed`` ones from elsewhere."""
+    return packed.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])

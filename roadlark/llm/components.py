@@ -7,7 +7,7 @@ to the shared folder, so lineage stays short and a lost executor costs one step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roadlark.llm.common import Scratch
@@ -31,21 +31,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "components", most_steps: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """Columns ``node`` and ``component`` (the smallest node reachable), for each node with an edge.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type; loops and repeats are allowed.
+    Steps go on until one changes nothing.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = scratch.save(now, f"{name}0"), None
-    for step in range(1, most_steps):
-        now = scratch.save(_small_star(_large_star(now)), f"{name}{step}")
-        # count and checksum tell whether a step changed anything
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if step > 1:
-            scratch.drop(f"{name}{step - 1}")
-        if state == before:
-            break
-        before = state
+    now = scratch.save(now, f"{name}0")
+    state = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")]
+    after, before, step = tuple(now.agg(*state).first()), None, 0
+    while after[0] and after != before:
+        # count and checksum, taken while a step is written, tell whether it changed anything
+        before, step, seen = after, step + 1, Observation()
+        now = scratch.save(_small_star(_large_star(now)).observe(seen, *state), f"{name}{step}")
+        after = (seen.get["n"], seen.get["sum"])
+        scratch.drop(f"{name}{step - 1}")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

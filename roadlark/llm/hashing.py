@@ -131,3 +131,12 @@ def set_id(hashes: np.ndarray) -> int:
     sums = mix(sums + np.array([0, len(hashes)], np.uint64))
     x = int(mix(sums[:1] * _STEPS[1] + sums[1:])[0]) or 1
     return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def set_ids(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit identities of many sets: the runs of ``values`` from ``first`` on."""
+    values = values.astype(np.uint64)
+    if not len(first):
+        return values
+    sums, crossed = np.add.reduceat(mix(values), first), np.bitwise_xor.reduceat(mix(values + _ODD), first)
+    return mix(mix(sums) * _STEPS[1] + mix(crossed + sizes.astype(np.uint64)))

@@ -1,24 +1,30 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 A text is its set of distinct 5-word shingles; two texts link when 100 * intersection >= 75 *
-union. Equal sets are one node. Every shingle belongs to one of ``GROUPS`` or more groups by hash,
-and a node is the point of its group counts: two sets share at most the sum over groups of the
-smaller count, and two boxes of points at most the sum of their smaller upper corners.
-
-Who meets whom: in one global order of the shingles (rare ones first, by hash; frequent ones
-after them, by frequency), two sets that link share one of the first n - ceil(3n/4) + 1. The
-nodes that share such a shingle are a cell. Small cells yield their pairs at once. In a large
-cell every node is first paired with the cell's smallest one; where that leaves a cell with
-several components, an R-tree over its points finds the pairs of different components that
-their counts still allow, and these are tried, best bounds first, until none is left. So no
-link between different texts is lost and copies are never expanded into all pairs.
-
-Pairs that survive the bound are verified on the shingle sets. Sets are compared by 64-bit
-hashes.
+union. Equal sets are one node. Shingles belong to one of ``GROUPS`` or more groups by hash, and a
+node is the point of its group counts: two sets share at most the sum over groups of the smaller
+count, and two boxes of points at most the sum of their smaller upper corners.
+
+1. One pass over the texts. Every shingle is counted over all documents. Only shingles of two
+   documents or more can be shared, so a node's recurring shingles are all that it is compared
+   by, and its points count these alone.
+2. Shingles are ordered by frequency, rare ones first. Two sets that link share one of the first
+   n - ceil(3n/4) + 1 in that order; a set whose unique shingles fill that prefix links with
+   nothing and goes. The nodes that share a prefix shingle are a cell; a cell within a larger one is
+   dropped, and one of a very frequent shingle is dealt in salted parts.
+3. An R-tree over the points of each cell yields the pairs that boxes and counts allow. First
+   each node tries its partner of the highest bound and its cell's node of the most partners.
+   While a cell then still holds several components, its tree yields the pairs of different
+   ones; these are tried, best bounds first, until none is left.
+
+Pairs that survive the bound are verified on the recurring shingles. No link between different
+texts is lost, and copies are never expanded into all pairs. Words and sets are compared by 64-bit,
+shingles by 48-bit hashes.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; repeated
 rows and equal texts link; a component of rows without doc_id has none; an empty table gives
-an empty table.
+an empty table. A partition of ``docs`` must yield its rows in one order whenever it is
+recomputed, as a scan of files does.
 """
 
 from __future__ import annotations
@@ -29,32 +35,34 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlark.llm.common import Scratch, n_tasks, python_tasks, row_key
+from roadlark.llm.common import Scratch, arrow_limits, n_tasks, packed_columns, row_key, trim, unpacked
 from roadlark.llm.components import components
-from roadlark.llm.hashing import distinct, mix, set_id, shingle_sets
+from roadlark.llm.hashing import mix, set_id, set_ids, shingle_sets
 
 GROUPS = 64
-#: Shingles in at least so many sets are frequent; more where there are over MAX_FREQUENT of them.
-FREQUENT, MAX_FREQUENT = 64, 1_000_000
-#: Frequencies are counted for the lower part of the hash space, where prefixes end.
-COUNTED = np.uint64(int(0.4 * 2**64))
-SMALL_CELL, SALT_NODES, BLOCK, FLUSH = 4, 4096, 2048, 1 << 19
-MET = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("a", "b", "top")]])
-BITS = np.uint64(16)  # shingles are ordered and matched by their upper 48 bits
-
-
-def group_counts(hashes: np.ndarray) -> bytes:
-    """Shingles in each group. Larger sets have more groups, a power of two for one to two
-    shingles a group; folding the upper half of the groups onto the lower gives fewer. 255
-    stands for that many or more."""
+#: A range of shingles holds those of about so many bytes of text; a task writes its postings in runs of FLUSH.
+RANGE_BYTES, FLUSH, FLUSH_DOCS = 8 << 20, 1 << 20, 1 << 16
+#: Documents that a task remembers, to send equal texts once; others are merged later.
+REMEMBERED = 1 << 16
+#: Cells of shingles in more documents are dealt in parts of about so many.
+SALT_NODES = 4096
+#: Nodes that meet in one R-tree from one side.
+BLOCK = 1024
+ALL = 1 << 30
+
+
+def group_counts(shingles: np.ndarray, n: int) -> bytes:
+    """Recurring shingles of a set of ``n`` in each group. Larger sets have more groups, a power of
+    two; folding the upper half of the groups onto the lower gives fewer. 255 stands for that many or more."""
     groups = GROUPS
-    while groups * 2 < len(hashes):
+    while groups * 2 < n:
         groups *= 2
-    return np.minimum(np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
 def _fold(rows: np.ndarray, groups: int) -> np.ndarray:
@@ -96,7 +104,7 @@ class Points:
         for length in np.unique(fewer).tolist():
             place, m = self.rows[length]
             pairs = np.flatnonzero((fewer == length) & (more <= 2 * length))
-            step = max(1, (1 << 23) // length)
+            step = max(1, (1 << 22) // length)
             for at in range(0, len(pairs), step):
                 own = pairs[at : at + step]
                 out[own] = overlap_bound(m[place[a[own]]], m[place[b[own]]])
@@ -132,7 +140,7 @@ class CountTree:
     def _step(self, level: int) -> int:
         return self.LEAF if level == 0 else self.FAN
 
-    def pairs(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(self, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(positions, positions, bound) of pairs of one cell that their boxes and counts allow."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -163,241 +171,240 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Upper 48 bits of 64-bit values."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Rising unsigned values: the first one and 32-bit gaps, or all in 64 bits where a gap is wider."""
+    gaps = np.diff(values)
+    if len(gaps) and int(gaps.max()) >> 32:
+        return values.astype("<u8").tobytes()
+    return values[:1].astype("<u8").tobytes() + gaps.astype("<u4").tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def unpack(raw: bytes, count: int) -> np.ndarray:
+    if len(raw) == 8 * count:
+        return np.frombuffer(raw, "<u8")
+    return np.cumsum(np.concatenate([np.frombuffer(raw[:8], "<u8"), np.frombuffer(raw[8:], "<u4").astype(np.uint64)]), dtype=np.uint64)
 
 
-def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
-    return (mix(values) % np.uint64(ranges)).astype(np.int64)
+def _cuts(rising: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of ``ranges`` equal parts of the 48-bit values begins in ``rising``, and the end."""
+    edges = np.array([(k << 48) // ranges for k in range(1, ranges)], np.uint64)
+    return np.r_[0, np.searchsorted(rising, edges), len(rising)]
 
 
-def _by_range(values: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    own = _range_of(values, ranges)
-    order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(ranges + 1))
-    for r in range(ranges):
-        if cuts[r] < cuts[r + 1]:
-            yield r, order[cuts[r] : cuts[r + 1]]
+def _rows(schema: pa.Schema, size: int, **given) -> pa.RecordBatch:
+    """A batch of ``size`` rows with the given columns, nulls in the others."""
+    return pa.RecordBatch.from_arrays([x if isinstance(x := given.get(f.name), pa.Array) else pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for f in schema], schema=schema)
 
 
-def frequent_shingles(docs: DataFrame, ranges: int, scratch: Scratch, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, frequencies), sorted, of at most MAX_FREQUENT frequent shingles."""
+#: kind 0: a document; 1: postings of a run in one range; 2: the nodes of a run.
+SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("run", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+COUNTED = pa.schema([SENT.field(k) for k in range(1, len(SENT))])
+#: kind 0: a node with its point and recurring shingles; 1: prefix postings in one range.
+CHOSEN = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("part", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+MEMBER = pa.schema([(c, pa.int64()) for c in ("cell", "node", "top")])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            values = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            times = np.diff(np.r_[first, len(values)]).astype("<u4")
-            values = values[first]
-            for r, own in _by_range(values, ranges):
-                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "shingles": pa.array([_packed(values[own])], pa.binary()), "times": pa.array([times[own].tobytes()], pa.binary())})
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
-        for batch in batches:
-            for _, own in shingle_sets(batch.column(text)):
-                own_id = set_id(own)
-                if own_id in seen:
-                    continue
-                if len(seen) < FLUSH:
-                    seen.add(own_id)
-                low = own[: int(np.searchsorted(own, COUNTED))] >> BITS << BITS
-                held.append(low)
-                size += len(low)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
 
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([_unpacked(x) for x in frame["shingles"]])
-        times = np.concatenate([np.frombuffer(x, "<u4") for x in frame["times"]])
-        order = np.argsort(values)
-        values = values[order]
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        sums = np.add.reduceat(times[order].astype(np.int64), first)
-        often = sums >= FREQUENT
-        return pd.DataFrame({"shingle": values[first][often].astype(np.int64), "times": sums[often]})
-
-    parts = docs.select(text).mapInArrow(count, "range int, shingles binary, times binary")
-    found = scratch.save(parts.groupBy("range").applyInPandas(total, "shingle long, times long"), "frequent")
-    least = FREQUENT
-    while found.where(F.col("times") >= least).count() > MAX_FREQUENT:
-        least *= 2
-    rows = found.where(F.col("times") >= least).toPandas()
-    values, times = rows["shingle"].to_numpy(np.int64).astype(np.uint64), rows["times"].to_numpy(np.int64)
-    order = np.argsort(values)
-    return values[order], times[order]
-
-
-def _meetings(docs: DataFrame, ranges: int, frequent: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
-    """Rows of three kinds: nodes of documents (0), pairs of small cells and star pairs (1), members of large cells (2)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT entries
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = shared.value
-        seen: set[int] = set()
-        keys, owners, parents, size = [], [], [], 0
+def _posted(docs: DataFrame, ranges: int) -> DataFrame:
+    """Documents, runs of nodes, and all postings (shingle, document of the run) by range of shingles."""
 
-        def rows(ranges_, key=None, doc=None, node=None, n=None, counts=None, cells=None, nodes=None, tops=None) -> pa.RecordBatch:
-            count = len(ranges_)
-            given = {"range": (ranges_, pa.int32()), "row_key": (key, pa.int64()), "doc_id": (doc, pa.int64()), "node": (node, pa.int64()), "n": (n, pa.int32()), "counts": (counts, pa.binary()), "cells": (cells, pa.binary()), "nodes": (nodes, pa.binary()), "tops": (tops, pa.binary())}
-            return pa.RecordBatch.from_pydict({k: pa.array(v if v is not None else [None] * count, t) for k, (v, t) in given.items()})
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        seen: set[int] = set()
+        part, runs, total = TaskContext.get().partitionId(), 0, 0
+        held, nodes, sizes, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cells, nodes, tops = (np.concatenate(x) for x in (keys, owners, parents))
-            for r, own in _by_range(cells, ranges):
-                salted = tops[own]
-                yield rows([r], cells=[_packed(cells[own])], nodes=[nodes[own].tobytes()], tops=[_packed(salted) if salted.any() else None])
+            nonlocal runs
+            both = np.sort(np.concatenate(held))  # 48 bits of the shingle, 16 of the document's place
+            shingles, places = both >> np.uint64(16), (both & np.uint64(FLUSH_DOCS - 1)).astype("<u2")
+            cuts, run = _cuts(shingles, ranges), (part << 31) + runs
+            runs += 1
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(cuts[r], cuts[r + 1])
+                yield _rows(SENT, 1, part=[r], kind=[1], run=[run], x=[pack(shingles[own])], y=[places[own].tobytes()])
+            yield _rows(SENT, 1, part=[run % ranges], kind=[2], run=[run], x=[np.array(nodes, "<i8").tobytes()], y=[np.array(sizes, "<u4").tobytes()])
+            for own in (held, nodes, sizes):
+                own.clear()
 
         for batch in batches:
-            row_keys, doc_ids = batch.column("_key").to_pylist(), batch.column("_id").to_pylist()
-            nodes, ns, vectors = [], [], []
-            for _, own in shingle_sets(batch.column(text)):
+            ids, ns = [], []
+            for _, own in shingle_sets(batch.column("_text")):
                 node = set_id(own)
-                nodes.append(node)
+                ids.append(node)
                 ns.append(len(own))
-                vectors.append(group_counts(own))
                 if not len(own) or node in seen:
                     continue
-                if len(seen) < FLUSH:
+                if len(seen) < REMEMBERED:
                     seen.add(node)
-                k = prefix_length(len(own))
-                short = own >> BITS << BITS
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, short), len(often) - 1)
-                    is_often = often[at] == short
-                    light = short[~is_often][:k]
-                    heavy, weight = short[is_often], times[at[is_often]]
-                    order = np.lexsort((heavy, weight))[: k - len(light)]
-                    heavy, weight = heavy[order], weight[order]
-                else:
-                    light, heavy, weight = short[:k], short[:0], times[:0]
-                salts = -(-weight // SALT_NODES)
-                wide = salts > 1
-                cell = np.where(wide, mix(heavy + np.uint64(1) + (np.uint64(node % (1 << 64)) % np.maximum(salts, 1).astype(np.uint64))) >> BITS << BITS, heavy)
-                own_cells = np.concatenate([light, cell])
-                keys.append(own_cells)
-                owners.append(np.full(len(own_cells), node, np.int64))
-                parents.append(np.concatenate([np.zeros(len(light), np.uint64), np.where(wide, heavy, np.uint64(0))]))
-                size += len(own_cells)
-            yield rows([int(x) for x in _range_of(np.array(nodes, np.int64).astype(np.uint64), ranges)] if nodes else [], row_keys, doc_ids, nodes, ns, vectors)
-            if size >= FLUSH:
-                yield from flush()
-                keys, owners, parents, size = [], [], [], 0
+                held.append((own >> np.uint64(16) << np.uint64(16)) + np.uint64(len(nodes)))
+                nodes.append(node)
+                sizes.append(len(own))
+                size += len(own)
+                if size >= FLUSH or len(nodes) == FLUSH_DOCS:
+                    yield from flush()
+                    size = 0
+            m = len(ids)
+            yield _rows(SENT, m, part=((total + np.arange(m)) * 7919 + part) % ranges, kind=np.zeros(m, np.int32), row_key=batch.column("_key"), doc_id=batch.column("_id"), node=ids, n=ns)
+            total += m
         if size:
             yield from flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        def rows(kind: int, size: int, **given) -> pa.Table:
-            given["kind"] = np.full(size, kind, np.int32)
-            return pa.table([pa.array(given[f.name], f.type) if isinstance(given.get(f.name), np.ndarray) else given.get(f.name, pa.nulls(size, f.type)) for f in MET], schema=MET)
-
-        is_node = pc.is_valid(table["node"])
-        nodes_of = table.filter(is_node)
-        out = [rows(0, len(nodes_of), **{c: nodes_of[c] for c in ("row_key", "doc_id", "node", "n", "counts")})]
-        posts = table.filter(pc.invert(is_node)).select(["cells", "nodes", "tops"]).to_pylist()
-        if posts:
-            cells = np.concatenate([_unpacked(x["cells"]) for x in posts])
-            nodes = np.concatenate([np.frombuffer(x["nodes"], np.int64) for x in posts])
-            tops = np.concatenate([_unpacked(x["tops"]) if x["tops"] is not None else np.zeros(len(x["cells"]) // 6, np.uint64) for x in posts])
-            order = np.lexsort((nodes, cells))
-            cells, nodes, tops = cells[order], nodes[order], tops[order]
-            new = np.r_[True, (cells[1:] != cells[:-1]) | (nodes[1:] != nodes[:-1])]
-            cells, nodes, tops = cells[new], nodes[new], tops[new]
-            first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            many = np.diff(np.r_[first, len(cells)])
-            pairs = [np.empty((0, 2), np.int64)]
-            for size in range(2, SMALL_CELL + 1):
-                at = first[(many == size) & (tops[first] == 0)]
-                pairs += [np.stack([nodes[at + i], nodes[at + j]], 1) for i in range(size) for j in range(i + 1, size)]
-            members, seen = [], set()
-            for at, size in zip(first, many, strict=True):
-                if size > SMALL_CELL or tops[at]:
-                    own = nodes[at : at + size]
-                    name = own.tobytes() + (cells[at].tobytes() if tops[at] else b"")
-                    if name in seen:  # the same nodes share many shingles; once is enough
-                        continue
-                    seen.add(name)
-                    pairs.append(np.stack([np.full(size - 1, own[0]), own[1:]], 1))
-                    members.append((np.full(size, cells[at]).astype(np.int64) if tops[at] else np.full(size, set_id(own.astype(np.uint64))), own, np.full(size, tops[at]).astype(np.int64)))
-            found = np.unique(np.concatenate(pairs), axis=0)
-            out.append(rows(1, len(found), a=found[:, 0], b=found[:, 1]))
-            if members:
-                cell, own, top = (np.concatenate(x) for x in zip(*members, strict=True))
-                out.append(rows(2, len(own), a=cell, b=own, top=top))
+        trim()
+
+    keyed = docs.select(row_key("doc_id", "_text").alias("_key"), F.col("doc_id").cast("long").alias("_id"), "_text")
+    return keyed.mapInArrow(post, _ddl(SENT))
+
+
+def _recurring(posted: DataFrame) -> DataFrame:
+    """Of the postings those whose shingle two documents or more have, with its frequency, by run."""
+
+    def count(table: pa.Table) -> pa.Table:
+        rest = table.filter(pc.not_equal(table["kind"], 1)).select(COUNTED.names)
+        posts = table.filter(pc.equal(table["kind"], 1)).select(["run", "x", "y"])
+        out = [rest.cast(COUNTED)]
+        if len(posts):
+            runs = np.unique(posts["run"].to_numpy())
+            places = [np.frombuffer(y.as_py(), "<u2") for y in posts["y"]]
+            shingles = np.concatenate([unpack(x.as_py(), len(y)) for x, y in zip(posts["x"], places, strict=True)])
+            run = np.repeat(np.searchsorted(runs, posts["run"].to_numpy()).astype(np.int32), [len(y) for y in places])
+            places = np.concatenate(places)
+            order = np.argsort(shingles)
+            shingles = shingles[order]
+            first = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
+            times = np.repeat(np.diff(np.r_[first, len(shingles)]), np.diff(np.r_[first, len(shingles)]))
+            often = times > 1
+            order, shingles, times = order[often], shingles[often], times[often].astype("<u4")
+            by_run = np.argsort(run[order], kind="stable")
+            run, places, shingles, times = run[order][by_run], places[order][by_run], shingles[by_run], times[by_run]
+            cuts = np.searchsorted(run, np.arange(len(runs) + 1))
+            some = np.flatnonzero(np.diff(cuts)).tolist()
+            parts = [slice(cuts[k], cuts[k + 1]) for k in some]
+            out.append(pa.Table.from_batches([_rows(COUNTED, len(some), kind=np.ones(len(some), np.int32), run=runs[some], x=[pack(shingles[p]) for p in parts], y=[places[p].tobytes() for p in parts], z=[times[p].tobytes() for p in parts])]))
+        trim()
         return pa.concat_tables(out)
 
-    keyed = docs.select(row_key("doc_id", text).alias("_key"), F.col("doc_id").cast("long").alias("_id"), text)
-    schema = "range int, row_key long, doc_id long, node long, n int, counts binary, cells binary, nodes binary, tops binary"
-    out = "kind int, row_key long, doc_id long, node long, n int, counts binary, a long, b long, top long"
-    return keyed.mapInArrow(spread, schema).groupBy("range").applyInArrow(meet, out)
-
-
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs whose sizes and group counts allow 75 %."""
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            if len(frame):
-                counts, m = [*frame["counts_a"], *frame["counts_b"]], len(frame)
-                bound = Points(counts).bound(np.arange(m), np.arange(m, 2 * m))
-                yield frame.loc[possible(frame["n_a"].to_numpy(np.int64), frame["n_b"].to_numpy(np.int64), bound), ["a", "b"]]
+    return posted.groupBy("part").applyInArrow(count, _ddl(COUNTED))
+
+
+def _chosen(counted: DataFrame, ranges: int) -> DataFrame:
+    """Nodes whose prefix reaches recurring shingles, and the postings of these prefixes by range."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        names = table.filter(pc.equal(table["kind"], 2)).to_pylist()[0]
+        posts = table.filter(pc.equal(table["kind"], 1)).select(["x", "y", "z"])
+        nodes, sizes = np.frombuffer(names["x"], "<i8"), np.frombuffer(names["y"], "<u4").astype(np.int64)
+        if not len(posts):
+            return pa.table({f.name: pa.nulls(0, f.type) for f in CHOSEN}, schema=CHOSEN)
+        places = [np.frombuffer(y.as_py(), "<u2") for y in posts["y"]]
+        shingles = np.concatenate([unpack(x.as_py(), len(y)) for x, y in zip(posts["x"], places, strict=True)])
+        place, times = np.concatenate(places), np.concatenate([np.frombuffer(z.as_py(), "<u4") for z in posts["z"]])
+        order = np.lexsort((shingles, times, place))
+        place, times, shingles = place[order], times[order], shingles[order]
+        cuts = np.searchsorted(place, np.arange(len(nodes) + 1))
+        many = np.diff(cuts)
+        wanted = sizes - -(-3 * sizes // 4) + 1 - (sizes - many)  # what the unique shingles leave of the prefix
+        kept = np.flatnonzero(wanted > 0)
+        sets = [np.sort(shingles[cuts[k] : cuts[k + 1]]) for k in kept]
+        out = [_rows(CHOSEN, len(kept), kind=np.zeros(len(kept), np.int32), node=nodes[kept], n=sizes[kept].astype(np.int32), k=many[kept].astype(np.int32), x=[group_counts(s, int(sizes[k])) for s, k in zip(sets, kept, strict=True)], y=[pack(s) for s in sets])]
+        if len(kept):
+            at = np.repeat(cuts[kept] - np.r_[0, np.cumsum(wanted[kept])[:-1]], wanted[kept]) + np.arange(wanted[kept].sum())
+            cell, owner, salts = shingles[at], np.repeat(nodes[kept], wanted[kept]), -(-times[at].astype(np.int64) // SALT_NODES)
+            salted = salts > 1
+            salt = owner.astype(np.uint64) % np.maximum(salts, 1).astype(np.uint64)
+            top = np.where(salted, cell, np.uint64(0))
+            cell = np.where(salted, mix(cell * np.uint64(0x9E3779B97F4A7C15) + salt + np.uint64(1)) >> np.uint64(16), cell)
+            order = np.argsort(cell)
+            cell, owner, top = cell[order], owner[order], top[order]
+            edges = _cuts(cell, ranges)
+            parts = [(r, slice(edges[r], edges[r + 1])) for r in np.flatnonzero(np.diff(edges)).tolist()]
+            out.append(_rows(CHOSEN, len(parts), kind=np.ones(len(parts), np.int32), part=[r for r, _ in parts], x=[pack(cell[p]) for _, p in parts], y=[owner[p].tobytes() for _, p in parts], z=[top[p].tobytes() if top[p].any() else None for _, p in parts]))
+        trim()
+        return pa.Table.from_batches(out)
+
+    return counted.where("kind > 0").groupBy("run").applyInArrow(choose, _ddl(CHOSEN))
+
+
+def _members(chosen: DataFrame) -> DataFrame:
+    """(cell, node, top) of the cells of two nodes or more; ``top`` is the shingle of a salted cell, else 0.
+
+    Cells of the same nodes have the same name, wherever they came up.
+    """
 
-    side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-    fits = F.expr("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
-    return sized.mapInPandas(check, "a long, b long")
+    def meet(table: pa.Table) -> pa.Table:
+        cells = np.concatenate([unpack(x.as_py(), len(y.as_py()) // 8) for x, y in zip(table["x"], table["y"], strict=True)])
+        nodes = np.concatenate([np.frombuffer(y.as_py(), "<i8") for y in table["y"]])
+        tops = np.concatenate([np.frombuffer(z.as_py(), "<u8") if z.is_valid else np.zeros(len(y.as_py()) // 8, np.uint64) for y, z in zip(table["y"], table["z"], strict=True)])
+        order = np.lexsort((nodes, cells))
+        cells, nodes, tops = cells[order], nodes[order], tops[order]
+        new = np.r_[True, (cells[1:] != cells[:-1]) | (nodes[1:] != nodes[:-1])]
+        cells, nodes, tops = cells[new], nodes[new], tops[new]
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        sizes = np.diff(np.r_[first, len(cells)])
+        sums, names = set_ids(nodes, first, sizes), cells[first]
+        names = np.where(tops[first] > 0, names, sums)
+        wanted = np.flatnonzero((sizes > 1) | (tops[first] > 0))
+        _, some = np.unique(names[wanted], return_index=True)
+        wanted = wanted[some]
+        sizes = sizes[wanted]
+        at = np.repeat(first[wanted] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        trim()
+        return pa.table([np.repeat(names[wanted], sizes).astype(np.int64), nodes[at], tops[at].astype(np.int64)], schema=MEMBER)
+
+    return chosen.where("kind = 1").select("part", "x", "y", "z").groupBy("part").applyInArrow(meet, _ddl(MEMBER)).distinct()
+
+
+def _largest_cells(members: DataFrame) -> DataFrame:
+    """``members`` with the cell's size m, but for cells whose nodes all lie in one larger cell, which meets them too.
+
+    A cell is compared with the four largest cells of each of its nodes; what that misses stays,
+    and so do salted parts.
+    """
+    sized = members.join(members.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("m", "cell")), False), 1, 4)  # a node has as many cells as a prefix shingles at most
+    larger = sized.where("top = 0").groupBy("node").agg(largest.alias("largest"))
+    held = sized.where("top = 0").join(larger, "node").select("cell", "m", F.explode("largest").alias("in")).where("in.m > m or (in.m = m and in.cell > cell)")
+    within = held.groupBy("cell", "m", F.col("in.cell").alias("in")).agg(F.count("*").alias("shared")).where("shared = m").select("cell").distinct()
+    return sized.join(within, "cell", "left_anti")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, scratch: Scratch, name: str, text: str) -> DataFrame:
-    """Pairs (a, b) that link. Fetches the sets of the nodes involved, and no others."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points.select("node", "row_key"), "node")
-    wanted = scratch.save(wanted, f"{name}-wanted")
-    # one bit for each of 2^23 hash values: a filter of fixed size, before the exact join
-    bits = wanted.select((F.pmod("row_key", F.lit(1 << 23))).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toPandas()
-    table = np.zeros(1 << 17, np.int64)
-    table[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+def _first_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
+    """For each node of a cell its allowed partner of the highest bound, and the cell's node of the most partners if allowed.
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            h = np.mod(keys, 1 << 23)
-            hit = np.flatnonzero((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
-            if len(hit):
-                own = batch.column(1).take(pa.array(hit))
-                for k, hashes in shingle_sets(own):
-                    yield pa.RecordBatch.from_pydict({"row_key": pa.array([keys[hit[k]]], pa.int64()), "hashes": pa.array([hashes.astype("<u8").tobytes()], pa.binary())})
-
-    sets = docs.select(row_key("doc_id", text), text).mapInArrow(fetch, "row_key long, hashes binary")
-    sets = sets.join(wanted, "row_key").select("node", "hashes").dropDuplicates(["node"])
-    sets = scratch.save(sets, f"{name}-sets")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            keep = []
-            for x, y in zip(frame["x"], frame["y"], strict=True):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.sort(np.concatenate([a, b]))
-                shared_ = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared_ >= 75 * (len(both) - shared_))
-            yield frame.loc[keep, ["a", "b"]]
+    Cells share trees in buckets of about ``BLOCK`` nodes; a larger cell is cut into blocks.
+    """
+    trees = n_tasks(members.sparkSession, members.count(), BLOCK)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    block = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(F.lit(0))
+    named = members.select(F.xxhash64("cell", block).alias("cell"), "node")
+    dealt = named.withColumn("tree", F.pmod("cell", F.lit(trees))).join(points.select("node", "n", "counts"), "node").select("tree", "cell", "node", "n", "counts")
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
-    links = scratch.save(links, name)
-    scratch.drop(f"{name}-sets")
-    return links
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, cells, sizes = (frame[c].to_numpy(np.int64) for c in ("node", "cell", "n"))
+        points_ = Points(list(frame["counts"]))
+        out = [np.empty((0, 3), np.int64)]
+        for a, b, _ in CountTree(points_.coarse, sizes, cells).pairs():
+            bound = points_.bound(a, b)
+            keep = possible(sizes[a], sizes[b], bound)
+            out.append(np.stack([a[keep], b[keep], bound[keep]], 1))
+        x, y, bound = np.concatenate(out).T
+        x, y, bound = np.r_[x, y], np.r_[y, x], np.r_[bound, bound]
+        order = np.lexsort((nodes[y], -bound, x))
+        best = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(x) else order
+        partners = np.bincount(x, minlength=len(nodes))
+        by_cell = np.lexsort((nodes, -partners, cells))
+        hubs = np.zeros(len(nodes), bool)
+        hubs[by_cell[np.r_[True, cells[by_cell][1:] != cells[by_cell][:-1]]]] = True
+        chosen = np.r_[best, np.flatnonzero(hubs[x])]
+        a, b = nodes[x[chosen]], nodes[y[chosen]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        trim()
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return dealt.groupBy("tree").applyInPandas(find, "a long, b long")
 
 
 def _top(group: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -411,83 +418,60 @@ def _top(group: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
-    """Whether the rows of each pair also share one of the cells before theirs, which then yields the pair."""
-    sizes = np.array([len(c) for c in earlier], np.int64)
-    out = np.zeros(len(a), bool)
-    if not sizes.sum():
-        return out
-    names, rank = np.unique(np.concatenate(earlier), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    known = np.sort(np.repeat(np.arange(len(earlier)), sizes) * len(names) + rank)
-    fewer = sizes[a] <= sizes[b]
-    x, y = np.where(fewer, a, b), np.where(fewer, b, a)
-    for at in range(0, len(x), 1 << 15):
-        own = slice(at, at + (1 << 15))
-        count = sizes[x[own]]
-        ends = np.cumsum(count)
-        if not ends[-1]:
-            continue
-        of_pair = np.repeat(np.arange(len(count)), count)
-        asked = rank[np.repeat(starts[x[own]] - (ends - count), count) + np.arange(ends[-1])] + y[own][of_pair] * len(names)
-        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        out[own] = np.bincount(of_pair, known[place] == asked, len(count)) > 0
-    return out
-
-
-def _largest_cells(cells: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``cells`` (cell, node, label, and their size m) but for those whose nodes all lie in one larger cell, which meets them too.
-
-    A cell is compared with the four largest cells of each of its nodes; what that misses stays.
+def _mixed_cells(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(cell, node, label, major, m, minor) of cells with nodes of several components.
+
+    Salted parts are one cell again, but nothing is grouped by it before its parts are: per part
+    and label there is one row, and these make the cell's sums. ``major`` tells the nodes of the
+    cell's largest component; ``m`` and ``minor`` count those and the others.
     """
-    sized = scratch.save(cells.join(cells.groupBy("cell").agg(F.count("*").alias("m")), "cell"), f"{name}-sized")
-    largest = F.slice(F.sort_array(F.collect_list(F.struct("m", "cell")), False), 1, 4)  # a node has as many cells as a prefix shingles at most
-    larger = sized.groupBy("node").agg(largest.alias("largest"))
-    held = sized.join(larger, "node").select("cell", "m", F.explode("largest").alias("in")).where("in.m > m")
-    within = held.groupBy("cell", "m", F.col("in.cell").alias("in")).agg(F.count("*").alias("shared")).where("shared = m").select("cell").distinct()
-    return scratch.save(sized.join(within, "cell", "left_anti"), name)
+    named = scratch.save(members.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"), F.when(F.col("top") != 0, F.col("top")).otherwise(F.col("cell")).alias("whole")), f"{name}-named")
+    parts = named.groupBy("whole", "cell", "label").agg(F.count("*").alias("k"))
+    by_label = parts.groupBy("whole", "label").agg(F.sum("k").alias("k"))
+    whole = by_label.groupBy("whole").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    sums = parts.select("whole", "cell").distinct().join(whole, "whole").select("cell", F.col("most.label").alias("main"), F.col("most.k").alias("m"), (F.col("all") - F.col("most.k")).alias("minor"))
+    return scratch.save(named.join(sums, "cell").select(F.col("whole").alias("cell"), "node", "label", (F.col("label") == F.col("main")).alias("major"), "m", "minor"), name)
 
 
-def _tree_pairs(cells: DataFrame, points: DataFrame, each: int) -> DataFrame:
-    """(a, b, bound) of pairs of different components that the R-trees of large cells allow.
+def _mixed_pairs(mixed: DataFrame, points: DataFrame, each: int) -> DataFrame:
+    """(a, b, bound) of pairs of different components that the R-trees of mixed cells allow.
 
-    Cells of up to ``BLOCK`` nodes share a tree with others, larger ones are cut into blocks and
-    have a tree for each pair of these. A pair comes from the first cell that both nodes share.
-    Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds
-    come, as long as the other node has as few; a row with a = b tells that others were left.
+    Small cells share a tree. In larger ones the nodes of the largest component and the others
+    are cut into blocks apart; every two blocks have a tree, but for two of the largest component.
+    Of the pairs of a node with one foreign component the ``each`` ones of the highest bounds come,
+    as long as the other node has as few; a row with a = b tells that others were left.
     """
-    trees = n_tasks(cells.sparkSession, cells.count(), BLOCK)
-    in_cells = F.collect_list("cell")  # as many as a prefix has shingles at most
-    among = cells.groupBy("node").agg(in_cells.alias("in_cells"))
-    placed = cells.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("tree", F.when(F.col("blocks") > 1, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(trees))))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(points.select("node", "n", "counts").join(among, "node"), "node")
-    dealt = dealt.select("blocks", "tree", "cell", F.expr("filter(in_cells, c -> c < cell)").alias("earlier"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "counts")
+    trees = n_tasks(mixed.sparkSession, mixed.count(), BLOCK)
+    large = F.col("m") + F.col("minor") > BLOCK
+    p, q = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("minor") / BLOCK).cast("int")
+    hashed = F.xxhash64("node")
+    block = F.when(~large, F.lit(0)).when(F.col("major"), F.pmod(hashed, p)).otherwise(p + F.pmod(hashed, q)).cast("int")
+    others = F.when(~large, F.array(F.lit(0))).when(F.col("major"), F.sequence(p, p + q - 1)).otherwise(F.sequence(F.lit(0), p + q - 1))
+    placed = mixed.select(F.when(large, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(trees))).alias("tree"), large.alias("large"), "cell", "node", "label", block.alias("block"), F.explode(others).alias("other"))
+    dealt = placed.join(points.select("node", "n", "counts"), "node").select("large", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cell", "block", "node", "label", "n", "counts")
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        across = frame["i"].iloc[0] != frame["j"].iloc[0]
         nodes, labels, block, cell = (frame[c].to_numpy(np.int64) for c in ("node", "label", "block", "cell"))
         points_, sizes = Points(list(frame["counts"])), frame["n"].to_numpy(np.int64)
-        out = []
+        out = [np.empty((0, 3), np.int64)]
         for a, b, _ in CountTree(points_.coarse, sizes, cell).pairs():
             keep = labels[a] != labels[b]
-            if i != j:
+            if across:
                 keep &= block[a] != block[b]
             a, b = a[keep], b[keep]
             bound = points_.bound(a, b)
             keep = possible(sizes[a], sizes[b], bound)
             out.append(np.stack([a[keep], b[keep], bound[keep]], 1))
-        a, b, bound = (np.concatenate(out) if out else np.empty((0, 3), np.int64)).T
-        first = ~_met_before(a, b, [np.asarray(c, np.int64) for c in frame["earlier"]])
-        a, b, bound = a[first], b[first], bound[first]
+        a, b, bound = np.concatenate(out).T
         keep = np.maximum(_top(nodes[a], labels[b], bound), _top(nodes[b], labels[a], bound)) < each
-        found = pd.DataFrame({"a": np.minimum(nodes[a], nodes[b])[keep], "b": np.maximum(nodes[a], nodes[b])[keep], "bound": bound[keep]})
+        found = pd.DataFrame({"a": np.minimum(nodes[a], nodes[b])[keep], "b": np.maximum(nodes[a], nodes[b])[keep], "bound": bound[keep]}).drop_duplicates()
         if not keep.all():
             found.loc[len(found)] = [0, 0, 0]
+        trim()
         return found.astype("int64")
 
-    # a bucket of small cells and a large cell may have one number, but not one count of blocks
-    return dealt.groupBy("blocks", "tree", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
+    return dealt.groupBy("large", "tree", "i", "j").applyInPandas(find, "a long, b long, bound long").distinct()
 
 
 def _best_untested(allowed: DataFrame, tested: DataFrame, labels: DataFrame, each: int) -> DataFrame:
@@ -502,65 +486,87 @@ def _best_untested(allowed: DataFrame, tested: DataFrame, labels: DataFrame, eac
     return fresh.withColumn("r", rank).where(F.col("r") <= each).select("a", "b")
 
 
+def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link, by their recurring shingles and sizes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, k, m, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "k_a", "k_b", "n_a", "n_b")), strict=True):
+                shared = len(np.intersect1d(unpack(x, k), unpack(y, m), assume_unique=True))
+                keep.append(100 * shared >= 75 * (n_a + n_b - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    side = lambda c, h: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("k").alias(f"k_{c}"), F.col("shingles").alias(h))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "k_a", "k_b", "n_a", "n_b").mapInArrow(compare, "a long, b long")
+
+
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, component_id, n_copies (documents of its shingle set)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    python_tasks(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    ranges = n_tasks(spark, docs.count(), 4096)
-    frequent = frequent_shingles(docs, ranges, scratch, "_text")
-    met = scratch.save(_meetings(docs, ranges, frequent, "_text"), "met")
-    nodes = met.where("kind = 0").select("row_key", "doc_id", "node", "n", "counts")
-    points = scratch.save(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count("*").alias("copies")), "points")
-    # cells of the same nodes have the same name, wherever they came up
-    members = met.where("kind = 2").select(F.col("a").alias("cell"), F.col("b").alias("node"), F.col("top")).distinct()
-    # cells that were salted meet again by their smallest members
+    with arrow_limits(spark):
+        labels, counted = _components(docs, scratch)
+    nodes = counted.where("kind = 0").select("row_key", "doc_id", "node", "n")
+    groups = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    named = groups.join(labels, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("label"))
+    named = scratch.save(named, "groups")
+    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    final = scratch.save(named.join(least, "label").select("node", "component_id", "copies"), "final")
+    found = nodes.where("n > 0").join(final, "node").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
+    blank = nodes.where("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    return found.unionByName(blank)
+
+
+def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of nodes that link, and the table that holds the documents (kind 0)."""
+    spark = docs.sparkSession
+    ranges = n_tasks(spark, docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0, RANGE_BYTES)
+    counted = scratch.save(_recurring(_posted(docs, ranges)), "counted")
+    chosen = scratch.save(_chosen(counted, ranges), "chosen")
+    members = scratch.save(_largest_cells(scratch.save(_members(chosen), "cells")), "members")
+    points = chosen.where("kind = 0").select("node", "n", "k", F.col("x").alias("counts"), F.col("y").alias("shingles"))
+    points = scratch.save(points.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "points")
+    # the parts of a salted cell meet by their smallest nodes
     tops = members.where("top <> 0").groupBy("top", "cell").agg(F.min("node").alias("node"))
     top_pairs = tops.join(tops.groupBy("top").agg(F.min("node").alias("least")), "top").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs = met.where("kind = 1").select("a", "b").unionByName(top_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = scratch.save(_bounded(pairs, points), "tested0")
-    links = _verified(docs, tested, points, scratch, "links0", "_text")
+    tested = scratch.save(_first_pairs(members, points).unionByName(top_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested0")
+    links = scratch.save(_verified(tested, points), "links0")
     labels = scratch.save(components(links, scratch, "labels0-"), "labels0")
-    cells = members.select(F.when(F.col("top") != 0, F.col("top")).otherwise(F.col("cell")).alias("cell"), "node").distinct()
     step, each = 0, 4
     while True:
-        named = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("label"))
-        mixed_cells = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-        mixed = _largest_cells(named.join(mixed_cells, "cell", "left_semi"), scratch, f"mixed{each}")
-        allowed = scratch.save(_tree_pairs(mixed, points, each), f"allowed{each}")
-        for more_each in (each, 256 * each, 1 << 30):
+        mixed = _mixed_cells(members, labels, scratch, f"mixed{each}")
+        if mixed.isEmpty():
+            break
+        allowed = scratch.save(_mixed_pairs(mixed, points, each), f"allowed{each}")
+        for more_each in (each, 256 * each, ALL):
             step += 1
             fresh = scratch.save(_best_untested(allowed.where("a <> b"), tested, labels, more_each), f"fresh{step}")
             if fresh.isEmpty():  # the best of all untested pairs would be first for both its nodes
                 break
-            more = _verified(docs, fresh, points, scratch, f"links{step}", "_text")
             tested = scratch.save(tested.unionByName(fresh), f"tested{step}")
+            more = scratch.save(_verified(fresh, points), f"links{step}")
             if more.isEmpty():
                 continue
             links = scratch.save(links.unionByName(more), f"all{step}")
             labels = scratch.save(components(links, scratch, f"labels{step}-"), f"labels{step}")
         if allowed.where("a = b").isEmpty():
             break
-        each = 1 << 30  # pairs were left out: look again at the cells that are still mixed
-    named = points.join(labels, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    final = scratch.save(named.join(least, "label").select("node", "component_id", "copies"), "final")
-    found = nodes.where("n > 0").join(final, "node").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
-    blank = nodes.where("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
-    return found.unionByName(blank)
+        each = ALL  # pairs were left out: look again at the cells that are still mixed
+    return labels, counted
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each component, the one of the smallest doc_id; columns as in ``docs``.
 
-    Documents without shingles or without doc_id all stay, but for repeats of one row.
+    Documents without shingles or without doc_id all stay, but for repeats of one row (equal
+    doc_id and text).
     """
     scratch = Scratch(docs.sparkSession, "keep")
     joined = join(docs, text=text, doc_id=doc_id)
     stay = joined.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = scratch.save(stay.groupBy(F.col("row_key").alias("_key")).agg(F.count("*").alias("_rows")), "stay")
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
+    stay = scratch.save(stay.groupBy("row_key").agg(F.count("*").alias("rows")), "stay")
+    keyed = packed_columns(docs, doc_id, text, renamed=("doc_id", "body")).select(row_key("doc_id", "body").alias("row_key"), "row").join(stay, "row_key")
     # repeats of one row are few; only they go through a distinct of whole rows
-    single = keyed.join(stay.where("_rows = 1"), "_key", "left_semi")
-    repeated = keyed.join(stay.where("_rows > 1"), "_key", "left_semi").dropDuplicates(["_key"])
-    return single.unionByName(repeated).select(*docs.columns)
+    kept = keyed.where("rows = 1").unionByName(keyed.where("rows > 1").dropDuplicates(["row_key"]))
+    return unpacked(kept, docs)
