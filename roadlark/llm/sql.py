@@ -28,8 +28,7 @@ raw as (select k, unnest(string_split(t, chr(10))) as x from d),
 dup as (select k, count(*) - count(distinct x) as n from raw where regexp_matches(x, '[^\x20\x09-\x0D]') group by k),
 lines as (select k, source, t, trim(regexp_replace(unnest(string_split(lower(t), chr(10))), '[ \t\x0B\f\r]+', ' ', 'g')) as x from d),
 freq as (select source, x, count(distinct t) as n from lines where x <> '' group by all),
-hosts as (select source, count(distinct t) as texts from d group by all),
-above as (select freq.source, freq.x from freq join hosts on freq.source is not distinct from hosts.source where n > 20 and n > 0.1e0 * texts),
+above as (select source, x from freq where n > 20),
 lost as (select k, sum(len(string_split(lines.x, ' '))) as n from lines join above on lines.source is not distinct from above.source and lines.x = above.x group by k),
 f as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
   cast(coalesce(dup.n, 0) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as n_removed_words
