@@ -7,7 +7,8 @@ that global order whose sizes fit into the budget.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is the last
 source; repeated rows are separate documents that follow each other; an empty table gives an
-empty mix; a source without words has target 0. Reruns agree: the shuffle is a hash.
+empty mix; a source without words has target 0 and no finish time, and nothing of it is taken.
+Reruns agree: the shuffle is a hash.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlark.llm.common import Scratch, n_words, row_key
+from roadlark.llm.common import Scratch, free_names, n_words, row_key
 
 #: Sources are few and named by people; beyond this the list would not be a mixing table.
 MAX_SOURCES = 100_000
 CYCLE = (3.0, 1.0, 2.0)
 UNIT = 1 << 30
+#: Buckets of a source whose sums are added up in one window.
+BLOCK = 1024
 
 
 def water_fill(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
@@ -53,16 +56,16 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     buckets = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / bucket_rows)).cast("long")
     share = F.shiftright(F.col("turn"), 34) + F.lit(UNIT // 2)  # 0 to UNIT-1, rising with the turn
     queued = slim.join(F.broadcast(table), slim["source"].eqNullSafe(table["name"])).withColumn("bucket", F.floor(share * buckets / UNIT).cast("long"))
-    before = (
-        queued.groupBy("place", "bucket")
-        .agg(F.sum("size").alias("held"))
-        .withColumn("before", F.sum("held").over(Window.partitionBy("place").orderBy("bucket")) - F.col("held"))
-        .drop("held")
-    )
+    # sums before each bucket in two levels: within blocks of BLOCK buckets, and over the blocks of a source
+    held = queued.groupBy("place", "bucket").agg(F.sum("size").alias("held")).withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    blocks = held.groupBy("place", "block").agg(F.sum("held").alias("held"))
+    blocks = blocks.select("place", "block", (F.sum("held").over(Window.partitionBy("place").orderBy("block")) - F.col("held")).alias("earlier"))
+    inner = F.sum("held").over(Window.partitionBy("place", "block").orderBy("bucket")) - F.col("held")
+    before = held.withColumn("inner", inner).join(blocks, ["place", "block"]).select("place", "bucket", (F.col("inner") + F.col("earlier")).alias("before"))
     order = Window.partitionBy("place", "bucket").orderBy("turn", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     within = queued.withColumn("cum", F.sum("size").over(order)).join(before, ["place", "bucket"])
     queue = scratch.save(within.select("doc_id", "row_key", "source", "size", "source_size", "target", (F.col("before") + F.col("cum")).alias("cum")), "queue")
-    finish = [((F.col("cum") + turn * F.col("source_size")) / F.col("target")).alias(f"finish{turn}") for turn in range(epochs)]
+    finish = [F.try_divide(F.col("cum") + turn * F.col("source_size"), F.col("target")).alias(f"finish{turn}") for turn in range(epochs)]
     timed = queue.select("*", *finish)
     cut = _cut(timed, epochs, budget_share)
     in_mix = sum((F.coalesce(F.col(f"finish{e}") <= F.lit(cut), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
@@ -112,9 +115,10 @@ def _cut(timed: DataFrame, epochs: int, budget_share: float, parts: int = 2048,
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it; columns as in ``docs``."""
     names = {k: options.get(k, k) for k in ("doc_id", "source", "text")}
-    plan = mix(docs, **options).where("n_taken > 0").select(F.col("row_key").alias("_key"), "n_taken")
+    key, taken, rows, turn = free_names(docs, "key", "taken", "rows", "turn")
+    plan = mix(docs, **options).where("n_taken > 0").groupBy(F.col("row_key").alias(key))
     # repeated rows share a key; what the mix takes of them is dealt to them evenly, rounded up
-    plan = plan.groupBy("_key").agg(F.sum("n_taken").alias("n_taken"), F.count("*").alias("_n"))
-    keyed = docs.withColumn("_key", row_key(names["doc_id"], names["source"], names["text"]))
-    turns = keyed.join(plan, "_key").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n_taken") / F.col("_n")).cast("int")))))
-    return turns.select(*docs.columns)
+    plan = plan.agg(F.sum("n_taken").alias(taken), F.count("*").alias(rows))
+    keyed = docs.withColumn(key, row_key(names["doc_id"], names["source"], names["text"]))
+    each = F.greatest(F.lit(1), F.ceil(F.col(taken) / F.col(rows)).cast("int"))
+    return keyed.join(plan, key).withColumn(turn, F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
