@@ -28,7 +28,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spelled(F.col("found")).alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spelled(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def op4_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
