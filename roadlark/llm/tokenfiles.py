@@ -3,8 +3,8 @@
 Documents are range-sorted by id; each partition encodes its texts with the tokenizers
 library, appends the end id, serialises every document's ids as little-endian unsigned 32-bit
 integers and compresses each document on its own against one shared zstandard dictionary,
-which is trained on serialised id arrays. Up to ``SHARD_DOCS`` documents make one shard
-record, a row of a Parquet dataset:
+which is trained on serialised id arrays. Up to ``SHARD_DOCS`` documents, or ``SHARD_BYTES`` of
+frames, make one shard record, a row of a Parquet dataset:
 
     part, number      place in the global order
     docs, ids         how many documents and ids it holds
@@ -38,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import python_tasks
+from roadlark.llm.common import Scratch, arrow_limits, trim
 from roadlark.llm.hashing import IS_BLANK, SEGMENT, distinct, mix, powers, texts
 
 SHARD_DOCS = 512
 SHARD_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
-#: The dictionary is fitted on at most so many documents, each of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
+#: The dictionary is fitted on whole documents of the lowest hashes: at most so many, of so many bytes of text together.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16 << 20, 64 << 10
 CACHE_PIECES = 1_000_000
 #: How byte-level vocabularies write the space.
 SPACE_LETTER = "\u0120"
@@ -190,10 +190,20 @@ _CODES = np.random.default_rng(4711).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def train_dictionary(docs: DataFrame, vocab_json: str, *, text: str, doc_id: str) -> bytes:
-    """Shared dictionary from a hash sample of about SAMPLE_DOCS documents; empty where they are too few to train on."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
-    hashed = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(doc_id).alias("h"))
-    rows = hashed.where(F.col("t").isNotNull() & (F.pmod("h", F.lit(every)) == 0)).limit(2 * SAMPLE_DOCS).collect()
+    """Shared dictionary from a bounded sample of whole documents; empty where they are too few to train on.
+
+    The sample is the SAMPLE_DOCS non-null texts of the lowest hashes, as far as they fit in
+    SAMPLE_BYTES together, so it depends on no order of tasks.
+    """
+    slim = docs.where(F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.octet_length(text).alias("size"))
+    lowest = slim.orderBy("h", "size").limit(SAMPLE_DOCS).collect()  # a bounded top-k: each task sends its own SAMPLE_DOCS
+    total, wanted = 0, set()
+    for r in lowest:
+        if r["h"] not in wanted and total + r["size"] <= SAMPLE_BYTES:
+            total += r["size"]
+            wanted.add(r["h"])
+    hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"))
+    rows = hashed.where(F.col("h").isin(*wanted)).dropDuplicates(["h"]).collect() if wanted else []
     rows.sort(key=lambda r: (r["h"], r["t"]))
     arrays = LibraryEncoder(vocab_json).encode([r["t"] for r in rows])
     try:
@@ -210,10 +220,9 @@ def _dictionary(raw: bytes, level: int | None = None) -> zstandard.ZstdCompressi
     return found
 
 
-def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 1, docs_per_part: int = 16384) -> None:
+def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", end: int = 2, level: int = 1, part_bytes: int = 56 << 20) -> None:
     """Writes ``path/shards`` and ``path/dictionary``."""
     spark = docs.sparkSession
-    python_tasks(spark, rows=2048)
     with open(vocab_file, encoding="utf-8") as f:
         vocab_json = f.read()
     raw = train_dictionary(docs, vocab_json, text=text, doc_id=doc_id)
@@ -222,11 +231,13 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
     shared = spark.sparkContext.broadcast((vocab_json, raw))  # bounded: a tokenizer file and 64 KiB
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         vocab, dictionary = shared.value
         encoder = LibraryEncoder(vocab)
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, level))
         part, number, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, int, bytes]] = []
+        size = 0
 
         def record() -> pa.RecordBatch:
             nonlocal number, first
@@ -247,17 +258,22 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
             keys = batch.column(doc_id).to_pylist()
             for key, ids in zip(keys, encoder.encode_column(batch.column(text), end), strict=True):
                 held.append((key, len(ids) // 4, press.compress(ids)))
-                if len(held) == SHARD_DOCS or sum(len(b) for _, _, b in held[-1:]) >= SHARD_BYTES:
+                size += len(held[-1][2])
+                if len(held) == SHARD_DOCS or size >= SHARD_BYTES:
                     yield record()
+                    size = 0
         if held:
             yield record()
 
-    n = docs.count()
     # large parts: a task asks the library once for each piece, and words repeat
-    parts = max(-(-n // docs_per_part), min(8, -(-n // 1024)), 1)
-    ordered = docs.select(F.col(doc_id).cast("long").alias(doc_id), text).repartitionByRange(parts, F.col(doc_id).asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col(doc_id).asc_nulls_first(), F.crc32(F.col(text).cast("binary")))
-    ordered.mapInArrow(records, RECORD).write.mode("overwrite").parquet(f"{path}/shards")
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    parts = max(-(-(size or 0) // part_bytes), min(8, -(-n // 1024)), 1)
+    # rows of one doc_id, or without one, are dealt by their text
+    order = [F.col(doc_id).asc_nulls_first(), F.col("text_hash")]
+    ordered = docs.select(F.col(doc_id).cast("long").alias(doc_id), text, F.xxhash64(text).alias("text_hash")).repartitionByRange(parts, *order)
+    ordered = ordered.sortWithinPartitions(*order).select(doc_id, text)
+    with arrow_limits(spark, rows=2048):
+        ordered.mapInArrow(records, RECORD).write.mode("overwrite").parquet(f"{path}/shards")
 
 
 RECORD_SCHEMA = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("docs", pa.int32()), ("ids", pa.int64()), ("first_id", pa.int64()), ("dictionary", pa.string()), *[(c, pa.binary()) for c in ("doc_ids", "null_ids", "lengths", "offsets", "payload")]])
@@ -293,7 +309,6 @@ def _read_dictionary(spark: SparkSession, path: str) -> bytes:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    python_tasks(spark, rows=8)
     raw = spark.sparkContext.broadcast(_read_dictionary(spark, path))
     shards = spark.read.parquet(f"{path}/shards")
     # one number per part, of which there are as many as write tasks
@@ -308,12 +323,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(shard.bytes_at(k)) for k in range(record["docs"])]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.nulls), pa.array(starts), pa.array(shard.lengths.astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with arrow_limits(spark, rows=8):
+        return Scratch(spark, "tokens").save(shards.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long"), "read")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """doc_id and ids of the named documents; reads their shards and opens their frames only."""
-    python_tasks(spark, rows=8)
     raw = spark.sparkContext.broadcast(_read_dictionary(spark, path))
     wanted = sorted(set(doc_ids))
 
@@ -325,4 +340,5 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                 if len(hits):
                     yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[hits]), pa.array([shard.ids_at(k).astype(np.int64) for k in hits], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return spark.read.parquet(f"{path}/shards").mapInArrow(rows, "doc_id long, ids array<long>")
+    with arrow_limits(spark, rows=8):
+        return Scratch(spark, "tokens").save(spark.read.parquet(f"{path}/shards").mapInArrow(rows, "doc_id long, ids array<long>"), "lookup")
