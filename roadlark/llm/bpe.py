@@ -3,9 +3,10 @@
 Texts are cut into pretokens; the distinct ones of a block of texts become one array of
 symbols with links to the next and previous symbol. The index lists, for each rank of a
 mergeable pair, all positions where the pair stands. Ranks are taken in ascending order, in
-spans: every pretoken applies its lowest rank of the span, which removes the merged symbols
+spans of ``SPAN`` of them: every pretoken applies its lowest rank of the span, which removes the merged symbols
 and lists the two pairs that came up beside each merge under their own ranks. A pair made by
-a merge always ranks after it, so this is the order in which single texts would merge.
+a merge always ranks after it (``Merges`` refuses a file in which one could belong to an
+earlier span), so this is the order in which single texts would merge.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; the
 end-of-text marker inside a text becomes its own id; repeated rows get equal results; an
@@ -22,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from roadlark.llm.common import python_tasks
+from roadlark.llm.common import Scratch, arrow_limits, trim
 from roadlark.llm.pretokens import END_OF_TEXT, pretokens
 
 SPAN = 1024
 NONE = np.int32(np.iinfo(np.int32).max)
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 CACHE_WORDS = 400_000
 
 
@@ -51,6 +52,10 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        maker = np.full(max(vocab.values()) + 1, -1, np.int64)  # the last rank that makes each symbol
+        np.maximum.at(maker, self.made, np.arange(len(pairs)))
+        if (np.maximum(maker[keys >> 32], maker[keys & 0xFFFFFFFF]) // SPAN > np.arange(len(pairs)) // SPAN).any():
+            raise ValueError("a merge makes a pair of an earlier span of ranks")
         self.byte_ids = np.array([vocab[c] for c in letters], np.int32)
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.pieces = [b""] * (max(*vocab.values(), *self.special.values()) + 1)
@@ -206,48 +211,32 @@ def decode(merges: Merges, ids: np.ndarray) -> str:
     return b"".join(map(merges.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encoded(docs: DataFrame, vocab_file: str, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry`` and ``ids`` (array of int)."""
+def round_trip(docs: DataFrame, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, is_lossless; ``with_ids`` adds ids (array of int)."""
     spark = docs.sparkSession
-    python_tasks(spark)
     with open(vocab_file, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a tokenizer file: 2 MB, whatever the corpus
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "is_lossless", *["ids"] * with_ids]
+    step = 256  # rows of a batch that goes back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Merges(shared.value))
-        for table, texts in blocks(batches, text):
-            ids = encoder.encode(texts)
-            for at in range(0, len(ids), 256):
-                part = ids[at : at + 256]
-                offsets = np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))
-                own = table.select(list(carry)).slice(at, len(part)).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*carry, "ids"])
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", ids array<int>"
-    return docs.select(*carry, text).mapInArrow(run, schema)
-
-
-def round_trip(docs: DataFrame, vocab_file: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, is_lossless."""
-    spark = docs.sparkSession
-    python_tasks(spark)
-    with open(vocab_file, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         merges = Merges(shared.value)
         encoder = Encoder(merges)
         for table, texts in blocks(batches, text):
-            out: list[tuple] = []
-            for given, ids in zip(texts, encoder.encode(texts), strict=True):
-                again = decode(merges, ids)
-                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == given))
-            columns = [pa.array(x) for x in zip(*out, strict=True)]
-            ids_column = table.column(doc_id).combine_chunks()
-            ids_column = ids_column.chunk(0) if isinstance(ids_column, pa.ChunkedArray) else ids_column
-            yield pa.RecordBatch.from_arrays([ids_column, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "is_lossless"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean")
+            encoded, keys = encoder.encode(texts), table.column(doc_id).combine_chunks()
+            for at in range(0, len(texts), step):
+                part, out = encoded[at : at + step], []
+                for given, ids in zip(texts[at : at + step], part, strict=True):
+                    again = decode(merges, ids)
+                    out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == given))
+                columns = [pa.array(x) for x in zip(*out, strict=True)]
+                if with_ids:
+                    offsets = np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part))))
+                own = keys.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own, *columns], names=names)
+
+    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean" + ", ids array<int>" * with_ids
+    with arrow_limits(spark):
+        return Scratch(spark, "bpe").save(docs.select(doc_id, text).mapInArrow(run, schema), "round-trip")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import Scratch, n_tasks, python_tasks
+from roadlark.llm.common import Scratch, n_tasks, arrow_limits
 from roadlark.llm.components import components
 
 #: Radii of the nets; the last level is the points themselves.
@@ -147,7 +147,7 @@ class Forest:
 def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, block_points: int = 4096, cell_points: int = 65536, seed: int = 5) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (whether it is its component's smallest)."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "covertree")
-    python_tasks(spark, rows=4096)
+    arrow_limits(spark, rows=4096)
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
     kind = dict(vectors.dtypes)[embedding]
     kind = kind if kind == "array<float>" else "array<double>"

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import Scratch, n_tasks, python_tasks
+from roadlark.llm.common import Scratch, arrow_limits, n_tasks
 from roadlark.llm.hashing import SEGMENT, mix, texts, word_hashes, word_spans
 
 CLASSES, PREVIOUS, SKIPPED, PAIRS = 64, 128, 64, 2048
@@ -304,9 +304,13 @@ def train(tables: Tables, counts: tuple[DataFrame, DataFrame], steps: int = 12)
 
 def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    scratch = Scratch(docs.sparkSession, "maxent")
+    with arrow_limits(docs.sparkSession):
+        return scratch.save(_score(docs, scratch, text, doc_id), "scored")
+
+
+def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
-    python_tasks(spark)
-    scratch = Scratch(spark, "maxent")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("held_out", held_out(F.col("doc_id")))
     ranges = n_tasks(spark, docs.count(), 8192)
     words = word_counts(docs, ranges, scratch)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlark.llm.common import Scratch, n_tasks, n_words, python_tasks
+from roadlark.llm.common import Scratch, n_tasks, n_words, arrow_limits
 
 
 def _place(vectors: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -43,7 +43,6 @@ def shard(docs: DataFrame, *, shards: int = 8, text: str = "text", doc_id: str =
     ``weights`` are those of bytes, tokens and rows in the dot product.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "shard")
-    python_tasks(spark, rows=4096)
     body = F.col(text)
     slim = scratch.save(
         docs.select(
@@ -98,7 +97,8 @@ def shard(docs: DataFrame, *, shards: int = 8, text: str = "text", doc_id: str =
         .select("bucket", "group", "bytes", "tokens", "rows", "sum_bytes", "sum_tokens", "sum_rows")
         .mapInPandas(pack, "group string, shard int")
     )
-    packed = scratch.save(packed, "packed")
+    with arrow_limits(spark, rows=4096):
+        packed = scratch.save(packed, "packed")
     whole, cuts = (placed.where(c).withColumnRenamed("shard", n) for c, n in (("piece < 0", "whole"), ("piece >= 0", "split")))
     at = (
         slim.join(F.broadcast(whole.drop("piece")), "group", "left")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import python_tasks
+from roadlark.llm.common import Scratch, arrow_limits, trim
 from roadlark.llm.hashing import SEGMENT, mix, powers, texts
 
 WINDOW, TOP, DIMENSIONS, BUCKETS = 3, 3, 8, 1 << 17
@@ -224,7 +224,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: st
 def score(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
-    python_tasks(spark)
     shared = spark.sparkContext.broadcast(fit(*training_sample(docs, labels, text=text, doc_id=doc_id, label=label)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,5 +231,6 @@ def score(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(shared.value.scores(batch.column("_text")))], names=["doc_id", "held_out", "score"])
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("_text"))
-    scored = keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double")
+    with arrow_limits(spark):
+        scored = Scratch(spark, "toxicity").save(keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double"), "scored")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
