@@ -19,6 +19,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+from tests.llm.conftest import prose
+
+
 def by_text(rows, *columns):
     return collections.Counter(tuple(r[c] for c in columns) for r in rows)
 
@@ -95,7 +98,9 @@ def test_jaccard_large_families(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(jaccard, "SALT_NODES", 16)
-    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "FLUSH", 4096)
+    monkeypatch.setattr(jaccard, "RANGE_BYTES", 1 << 14)
     rng = random.Random(5)
     word = lambda: f"w{rng.randint(0, 5000)}"
     passage = [word() for _ in range(40)]
@@ -110,17 +115,26 @@ def test_jaccard_large_families(spark, monkeypatch):
         for _ in range(rng.choice([1, 2, 4, 6])):
             base[rng.randrange(150)] = word()
         rows.append((2000 + i, " ".join(base)))
-    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    rows += [(5000 + i, rows[0][1]) for i in range(70)] + [(6000 + i, " \n") for i in range(50)] + [(7000 + i, " ".join(passage)) for i in range(3)]
+    path = Scratch(spark, "t").path("docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    out = jaccard.join(spark.read.parquet(path)).collect()
     assert by_text(out, "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_rising_values_pack():
+    for values in ([], [5], [1, 2, 1 << 47], [3, 3 + (1 << 20)], sorted(np.random.default_rng(2).integers(0, 1 << 48, 500).tolist())):
+        x = np.array(values, np.uint64)
+        assert jaccard.unpack(jaccard.pack(x), len(x)).tolist() == values
+
+
 def test_bound_is_never_too_low():
     rng = np.random.default_rng(0)
     for _ in range(50):
         a = rng.integers(0, 1 << 62, rng.integers(5, 900), dtype=np.uint64)
         b = np.unique(np.r_[a[: rng.integers(1, len(a))], rng.integers(0, 1 << 62, 40, dtype=np.uint64)])
         a = np.unique(a)
-        p = jaccard.Points([jaccard.group_counts(a), jaccard.group_counts(b)])
+        p = jaccard.Points([jaccard.group_counts(a, len(a)), jaccard.group_counts(b, len(b))])
         bound = p.bound(np.array([0]), np.array([1]))[0]
         assert bound == 0 or bound >= len(np.intersect1d(a, b))
         assert jaccard.overlap_bound(p.coarse[:1], p.coarse[1:])[0] >= len(np.intersect1d(a, b))
@@ -193,6 +207,41 @@ def test_disclosing_terms_go(spark):
     assert "Zanzarella" not in texts[900] and "<EMAIL>" in texts[0] and texts[100] == rows[6][1]
 
 
+def test_secrets_go_and_words_stay(spark):
+    import random
+
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(5)]
+    rows = [(i, f'{prose(i, 200)} token = "{k}" {prose(900 + i, 30)}') for i, k in enumerate(keys)]
+    rows += [(100 + i, f"{prose(3000 + i, 150)} internationalisations silverwindowgarden2024 eveningmarketrivers") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["s"] for r in pii.spans(docs).select("doc_id", pii.spelled("found").alias("s")).collect()}
+    for i, k in enumerate(keys):
+        at = rows[i][1].index(k)
+        assert out[i] == f"term:{at}:{at + 40}"
+    assert all(out[100 + i] == "" for i in range(60))
+
+
+def test_near_terms_against_a_plain_loop():
+    import random
+
+    rng = random.Random(7)
+    text = " ".join(rng.choice(["a.b@c.example", "1.2.3.4", "word", "x7", "naïve", "42", "+1 (555) 123-4567"]) for _ in range(400))
+    spans = pii.base_spans(text)
+    data = np.frombuffer(text.encode(), np.uint8)
+    place = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+    a, b, h = pii._terms(data, np.zeros(1, np.int64))
+    free = [k for k in range(len(a)) if not any(a[k] < place[e] and b[k] > place[s] for s, e, _ in spans)]
+    entity = lambda s, e, k: int.from_bytes(hashlib.blake2b(f"{pii.KINDS[k]}:{text[s:e].lower()}".encode(), digest_size=8).digest(), "little", signed=True)
+    want = set()
+    for s, e, k in spans:
+        before = [x for x in free if a[x] < place[s]][-pii.NEAR :]
+        after = [x for x in free if a[x] >= place[s]][: pii.NEAR]
+        want |= {(entity(s, e, k), int(h[x].astype(np.int64))) for x in before + after}
+    found = pii._near_terms(text, spans)
+    assert {(e, t) for e, t in zip(found[0].tolist(), found[1].tolist())} == want
+
+
 # 4 language model
 
 
@@ -292,6 +341,35 @@ def test_token_files(spark, odd, odd_rows, none):
     assert tokenfiles.read(spark, path + "0").count() == 0
 
 
+def test_records_are_bounded_and_the_dictionary_is_reproducible(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 2000)
+    rows = [(i // 3 if i % 5 else None, prose(i, 200)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    paths = [Scratch(spark, "t").path(f"bounded{k}") for k in range(2)]
+    for path, given in zip(paths, (docs, docs.repartition(5)), strict=True):
+        tokenfiles.write(given, path, byte_bpe_file())
+    records = spark.read.parquet(f"{paths[0]}/shards").collect()
+    assert len(records) > 20 and all(len(r["payload"]) < 2000 + 1500 for r in records)
+    assert tokenfiles._read_dictionary(spark, paths[0]) == tokenfiles._read_dictionary(spark, paths[1])
+    one, two = (by_text(tokenfiles.read(spark, p).collect(), "doc_id", "start", "n_tokens", "ids_crc32") for p in paths)
+    assert one == two and sum(one.values()) == 300
+
+
+def test_merges_of_an_earlier_span_are_refused():
+    import json
+
+    letters = bpe.byte_letters()
+    tokens = [*letters, "ab", "abc"]
+    file = {"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [["ab", "c"], *[["a", "b"]] * 1]}, "added_tokens": [{"content": "<|endoftext|>", "id": 300}]}
+    bpe.Merges(json.dumps(file))  # one span holds both
+    bpe.SPAN, span = 1, bpe.SPAN
+    try:
+        with pytest.raises(ValueError):
+            bpe.Merges(json.dumps(file))
+    finally:
+        bpe.SPAN = span
+
+
 def test_library_encoder_on_random_texts():
     import random
 
@@ -360,6 +438,23 @@ def test_frequent_lines(spark):
     assert 101 not in texts and "About" not in texts[0] and texts[200] == rows[-1][1]
 
 
+def test_colliding_windows(spark, monkeypatch):
+    """Six bits of hash collide in every text; the counts stay those of the words."""
+    import random
+
+    monkeypatch.setattr(quality, "POSITION_BITS", 58)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n)), "s") for i, n in enumerate([3, 4, 5, 23, 40, 80, 300])]
+    out = {r["doc_id"]: r["n_repeat_words"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {i: brute_quality(t)[4] for i, t, _ in rows}
+
+
+def test_repeats_of_a_long_text(spark):
+    text = " ".join(f"w{i * 7919 % 400_000}" for i in range(1_000_000))
+    out = quality.score(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert (out["n_words"], out["n_repeat_words"]) == (1_000_000, 1_000_000)
+
+
 # 9 cover tree
 
 
@@ -425,6 +520,46 @@ def test_mixture_meets_targets_and_reruns_agree(spark):
     assert all(many[d] * len(rows[d][1].split()) == t for d, t in one.items())
 
 
+def brute_taken(spark, docs, budget_share=1.5, epochs=2):
+    """The queue, played one document at a time."""
+    rows = mixing.mix(docs).collect()
+    keys = {(r["doc_id"], r["source"], r["t"]): r["k"] for r in docs.select("doc_id", "source", "text", mixing.row_key("doc_id", "source", "text").alias("rk")).selectExpr("doc_id", "source", "text as t", "xxhash64(rk, 11) as k").collect()}
+    turn = {(d, s): k for (d, s, _), k in keys.items()}
+    queue, done = [], collections.Counter()
+    for source in {r["source"] for r in rows}:
+        # by the upper 30 bits of the shuffle (its bucket), then by the whole of it
+        own = sorted((r for r in rows if r["source"] == source), key=lambda r: (turn[r["doc_id"], source], r["doc_id"]))
+        cum = 0
+        for _ in range(epochs):
+            for r in own:
+                cum += r["size"]
+                if r["target"]:
+                    queue.append((cum / r["target"], r["doc_id"], r["size"]))
+    left = budget_share * sum(r["size"] for r in rows)
+    for _, same in __import__("itertools").groupby(sorted(q for q in queue if q[2]), key=lambda q: q[0]):
+        same = list(same)
+        if sum(q[2] for q in same) > left:
+            break
+        for _, doc, size in same:
+            left -= size
+            done[doc] += size
+    return {r["doc_id"]: done[r["doc_id"]] for r in rows}, {r["doc_id"]: r["taken"] for r in rows}
+
+
+def test_mixture_against_a_played_queue(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    rows = [(i, prose(i, 5 + i * 13 % 40), ["a", "b", None, "c"][i % 7 % 4]) for i in range(900)] + [(2000 + i, " ", "wordless") for i in range(5)] + [(3000, None, "null text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = brute_taken(spark, docs)
+    assert got == want and sum(want.values()) > 0
+    assert all(got[2000 + i] == 0 for i in range(5))
+
+
+def test_mixture_without_words(spark):
+    docs = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert [(r["taken"], r["target"]) for r in mixing.mix(docs).collect()] == [(0, 0.0)] * 2 and mixing.mixed(docs).count() == 0
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 100], [1, 1], 110, 2.0) == [20.0, 90.0]
     assert mixing.water_fill([], [], 0, 2.0) == [] and mixing.water_fill([0, 5], [1, 1], 7.5, 2.0) == [0.0, 7.5]
