@@ -34,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and is_lossless of each document of the mix."""
-    return bpe.round_trip(docs, byte_bpe_file())
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, is_lossless and ids (what a trainer reads) of each document of the mix."""
+    return bpe.round_trip(docs, byte_bpe_file(), with_ids=True)
 
 
 STAGES = [
