@@ -506,8 +506,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     with arrow_limits(spark):
-        labels, counted = _components(docs, scratch)
-    nodes = counted.where("kind = 0").select("row_key", "doc_id", "node", "n")
+        labels, nodes = _components(docs, scratch)
     groups = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     named = groups.join(labels, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("label"))
     named = scratch.save(named, "groups")
@@ -519,14 +518,20 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of nodes that link, and the table that holds the documents (kind 0)."""
+    """(node, component) of nodes that link, and the documents: row_key, doc_id, node, n."""
     spark = docs.sparkSession
     ranges = n_tasks(spark, docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0, RANGE_BYTES)
     counted = scratch.save(_recurring(_posted(docs, ranges)), "counted")
+    nodes = scratch.save(counted.where("kind = 0").select("row_key", "doc_id", "node", "n"), "nodes")
     chosen = scratch.save(_chosen(counted, ranges), "chosen")
+    scratch.drop("counted")
     members = scratch.save(_largest_cells(scratch.save(_members(chosen), "cells")), "members")
-    points = chosen.where("kind = 0").select("node", "n", "k", F.col("x").alias("counts"), F.col("y").alias("shingles"))
-    points = scratch.save(points.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "points")
+    # points lie in buckets of their node, so that no later join deals them again
+    points = chosen.where("kind = 0").select("node", "n", "k", F.col("x").alias("counts"), F.col("y").alias("shingles")).repartition(ranges, "node")
+    points = points.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    points = scratch.save_bucketed(points, "points", "node", ranges)
+    for done in ("chosen", "cells"):
+        scratch.drop(done)
     # the parts of a salted cell meet by their smallest nodes
     tops = members.where("top <> 0").groupBy("top", "cell").agg(F.min("node").alias("node"))
     top_pairs = tops.join(tops.groupBy("top").agg(F.min("node").alias("least")), "top").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -553,7 +558,8 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
         if allowed.where("a = b").isEmpty():
             break
         each = ALL  # pairs were left out: look again at the cells that are still mixed
-    return labels, counted
+    scratch.drop_table("points")
+    return labels, nodes
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
