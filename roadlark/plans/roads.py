@@ -99,7 +99,7 @@ d as (select c.a as event_id, c.vtype, l.cluster_id, 'core' as role from core c
 
 def clustered(spark, sf_dir):
     v = violations(spark, sf_dir)
-    return clustering.dbscan(v, most_lat=17.7)
+    return clustering.dbscan(v)
 
 
 @query(f"with recursive {DB} select event_id, vtype, cluster_id, role from d")

@@ -147,7 +147,7 @@ def test_duplicates_between_sessions(spark):
     step = 1 / geo.METRES_PER_DEGREE
     rows = [(1, 0, "a", 0, 0.0, 0.0, 0.7, "flagged"), (2, 1, "a", 5, 9.9 * step, 0.0, 0.9, "flagged"), (3, 1, "a", 6, 0.0, 0.0, 0.9, "flagged"), (4, 1, "b", 0, 0.0, 0.0, 0.9, "flagged"), (5, 1, "a", 0, 10.1 * step, 0.0, 0.9, "flagged")]
     ev = spark.createDataFrame(rows, cols)
-    pairs = joins.cross_session_dups(ev, most_lat=1)
+    pairs = joins.cross_session_dups(ev)
     assert [(r["event_id"], r["event_id_b"]) for r in pairs.collect()] == [(1, 2)]
     assert {r["event_id"]: r["status"] for r in joins.keep_best(ev, pairs).collect()}[1] == "duplicate"
 
@@ -167,12 +167,12 @@ def test_dbscan_border_tie_and_order(spark):
     want = {(i, 1, "core") for i in (1, 2, 3)} | {(i, 11, "core") for i in (11, 12, 13)} | {(20, 1, "border")}
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, "event_id long, vtype string, lat double, lng double")
-        got = clustering.dbscan(df, metres=50.0, least=8, most_lat=1)
+        got = clustering.dbscan(df, metres=50.0, least=8)
         assert got.count() == 0
         # the middle point sees all seven, each end only four
-        got = {(r["event_id"], r["cluster_id"], r["role"]) for r in clustering.dbscan(df, metres=50.0, least=4, most_lat=1).collect()}
+        got = {(r["event_id"], r["cluster_id"], r["role"]) for r in clustering.dbscan(df, metres=50.0, least=4).collect()}
         assert got == {(i, 1, "core") for i in (1, 2, 3, 11, 12, 13, 20)}
-        got = {(r["event_id"], r["cluster_id"], r["role"]) for r in clustering.dbscan(df.where("event_id <> 20").unionByName(df.where("event_id = 20").withColumn("lng", F.lit(45 * step))), metres=44.9, least=3, most_lat=1).collect()}
+        got = {(r["event_id"], r["cluster_id"], r["role"]) for r in clustering.dbscan(df.where("event_id <> 20").unionByName(df.where("event_id = 20").withColumn("lng", F.lit(45 * step))), metres=44.9, least=3).collect()}
         assert got == want - {(20, 1, "border")}
 
 
