@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadlark.plans import events, roads, tracks  # noqa: F401  they register their queries
+from roadlark.plans import events, inspections, roads, tracks  # noqa: F401  they register their queries
 from roadlark.plans.registry import QUERIES, SQL
 
 

@@ -72,7 +72,7 @@ def anomaly_upsert(spark, sf_dir):
     return ano.upsert(part(0), part(1), ["anomaly_type", "zone_id"]).withColumn("severity", F.round("severity", 6))
 
 
-@query(f"with {S} select det_id, t, zone_id, round(severity - lag(severity) over (partition by anomaly_type, zone_id order by t, severity), 6) as severity_change from (select det_id, anomaly_type, zone_id, t, max(severity) as severity from s group by all) where det_id % 7 = 1")
+@query(f"with {S} select det_id, t, zone_id, round(severity - lag(severity) over (partition by anomaly_type, zone_id order by t, round(severity, 9), det_id), 6) as severity_change from (select det_id, anomaly_type, zone_id, t, max(severity) as severity from s group by all)")
 def severity_trend(spark, sf_dir):
     d = scored(spark, sf_dir).groupBy("det_id", "anomaly_type", "zone_id", "t").agg(F.max("severity").alias("severity"))
     return win.severity_trend(d, ["anomaly_type", "zone_id"], tie="det_id").select("det_id", "t", "zone_id", F.round("severity_change", 6).alias("severity_change"))

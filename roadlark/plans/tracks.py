@@ -175,7 +175,7 @@ def heading_difference(spark, sf_dir):
     return p.select("track_id", "k", kinematics.ang_diff(F.col("heading"), F.lit(350.0)).alias("off_north"))
 
 
-@query("with e as (select vec_id, label, embedding from embeddings where vec_id < 200), q as (select a.vec_id as track_id, b.vec_id as track_id_new, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as r from e a join e b on b.vec_id - a.vec_id between 1 and 5 where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.1e0) select track_id, track_id_new, similarity from q where r = 1")
+@query("with e as (select vec_id, label, embedding from embeddings), q as (select a.vec_id as track_id, b.vec_id as track_id_new, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as r from e a, range(1, 6) r(d) join e b on b.vec_id = a.vec_id + d where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.1e0) select track_id, track_id_new, similarity from q where r = 1")
 def reid_cosine_match(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     lost = e.select(F.col("vec_id").alias("track_id"), F.col("vec_id").cast("double").alias("t_end"), F.col("embedding").alias("vec"))
