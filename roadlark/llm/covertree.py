@@ -2,13 +2,17 @@
 
 Vectors are scaled to length 1, so cosine >= c is distance <= sqrt(2 - 2c). Equal vectors are
 one point with a multiplicity. Points are dealt to cells around pivots and cells are cut into
-blocks; each block gets a cover tree: nested nets whose radii halve from level to level, each
-node with the exact radius of what it covers. Every pair of blocks is one task, which walks
-both trees at once from the coarsest level, drops node pairs by their covering radii and
-computes the cosines of what is left in double precision. A task returns link counts and a spanning forest, never all pairs.
-
-In high dimensions random vectors are all about as far apart, and no bound can drop their
-block pairs: work is then quadratic in the number of blocks, in matrix products.
+blocks. A cell's covering radius is the exact distance of its furthest point from its pivot; a point meets
+the blocks of another cell only where its distance from that pivot is at most the reach and the
+cell's radius, so pairs of blocks that are too far apart are never dealt. Each block gets a
+cover tree: nested nets whose radii halve from level to level until they no longer thin the points out, each node
+with the exact radius of what it covers. Every pair of blocks is one task, which walks both trees at
+once from the coarsest level, drops node pairs by their covering radii and computes the cosines
+of what is left in double precision. A task returns link counts and a spanning forest, never all pairs.
+
+In high dimensions random vectors are all about as far apart, and no bound can drop their block
+pairs: rows sent and work are then quadratic in the number of blocks. Clustered vectors, as real
+embeddings are, meet near cells only.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components, or have no vec_id, link with nothing and are their own component; repeated vectors link
@@ -25,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import Scratch, n_tasks, arrow_limits
+from roadlark.llm.common import Scratch, arrow_limits, trim
 from roadlark.llm.components import components
 
-#: Radii of the nets; the last level is the points themselves.
-LEVELS = (0.5, 0.25)
+#: Radii of the coarsest and the finest net; the last level is the points themselves.
+COARSEST, FINEST = 1.0, 1 / 64
 SLACK = 1e-9
 TILE = 1024
 
@@ -52,9 +56,13 @@ class CoverTree:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.children: list[list[np.ndarray]] = []
         net, owners = np.empty(0, np.int64), []
-        for radius in LEVELS:
+        radius = COARSEST
+        while radius >= FINEST:
             net = self._extend(net, radius)
+            if owners and 2 * len(net) > len(points):  # hardly thinner than the points themselves
+                break
             owners.append(self._owner(net))
+            radius /= 2
         # a node belongs whole to one parent: a point's centre is that of its centre one level down
         for level in range(len(owners) - 2, -1, -1):
             owners[level] = owners[level][owners[level + 1]]
@@ -73,6 +81,13 @@ class CoverTree:
             self.children.append(np.split(pairs[:, 1], np.cumsum(np.bincount(pairs[:, 0], minlength=len(centres)))[:-1]))
         self.levels.append((np.arange(len(points)), np.zeros(len(points))))
 
+    def below(self, level: int, node: int) -> np.ndarray:
+        """Nodes of the next level that this one covers; a point covers itself."""
+        return self.children[level][node] if level < len(self.children) else np.array([node])
+
+    def at(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.levels[min(level, len(self.levels) - 1)]
+
     def _extend(self, net: np.ndarray, radius: float) -> np.ndarray:
         """Greedy net that contains the given one: every point has a centre within the radius."""
         chosen = list(net)
@@ -103,8 +118,8 @@ def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.nd
     """Positions (in a, in b) of all pairs of points within ``reach``, and maybe some beyond it."""
 
     def walk(level: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        (centres_a, cover_a), (centres_b, cover_b) = a.levels[level], b.levels[level]
-        last = level + 1 == len(a.levels)
+        (centres_a, cover_a), (centres_b, cover_b) = a.at(level), b.at(level)
+        last = level + 1 >= max(len(a.levels), len(b.levels))
         for at in range(0, len(left), TILE):
             rows = left[at : at + TILE]
             gap = _distances(a.points[centres_a[rows]], b.points[centres_b[right]])
@@ -115,11 +130,11 @@ def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.nd
                 continue
             if len(i) > 0.1 * gap.size:  # hardly any pair dropped: go down with all of them at once
                 if len(i):
-                    yield from walk(level + 1, np.concatenate([a.children[level][x] for x in np.unique(rows[i])]), np.concatenate([b.children[level][x] for x in np.unique(right[j])]))
+                    yield from walk(level + 1, np.concatenate([a.below(level, x) for x in np.unique(rows[i])]), np.concatenate([b.below(level, x) for x in np.unique(right[j])]))
             else:
                 for x in np.unique(i):
                     partners = right[j[i == x]]
-                    yield from walk(level + 1, a.children[level][rows[x]], np.concatenate([b.children[level][y] for y in partners]))
+                    yield from walk(level + 1, a.below(level, rows[x]), np.concatenate([b.below(level, y) for y in partners]))
 
     if len(a.points) and len(b.points):
         yield from walk(0, np.arange(len(a.levels[0][0])), np.arange(len(b.levels[0][0])))
@@ -144,10 +159,9 @@ class Forest:
             self.kept.append((x, y))
 
 
-def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, block_points: int = 4096, cell_points: int = 65536, seed: int = 5) -> DataFrame:
+def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, block_points: int = 4096, cell_points: int = 4096, seed: int = 5) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (whether it is its component's smallest)."""
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "covertree")
-    arrow_limits(spark, rows=4096)
+    scratch = Scratch(vectors.sparkSession, "covertree")
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
     kind = dict(vectors.dtypes)[embedding]
     kind = kind if kind == "array<float>" else "array<double>"
@@ -160,7 +174,8 @@ def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     points = known.groupBy("hash").agg(F.min("vec_id").alias("point"), F.count_distinct("vec_id").alias("times"), F.first("u").alias("u"), F.first("dim").alias("dim"))
     points = scratch.save(points, "points")
     n = points.count()
-    edges, counts = _block_links(points, n, reach, cosine, block_points, cell_points, seed, scratch)
+    with arrow_limits(vectors.sparkSession, rows=4096):
+        edges, counts = _block_links(_dealt(points, n, reach, block_points, cell_points, seed, scratch), cosine, reach, scratch)
     joined = points.select(F.col("point").alias("node"), "hash", "times").join(components(edges, scratch), "node", "left").join(counts, "node", "left")
     per_point = joined.select("hash", F.coalesce("component", "node").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"))
     found = known.select("vec_id", "hash").join(per_point, "hash").select("vec_id", "n_links", "component_id")
@@ -168,9 +183,10 @@ def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     return found.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _block_links(points: DataFrame, n: int, reach: float, cosine: float, block_points: int, cell_points: int, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _dealt(points: DataFrame, n: int, reach: float, block_points: int, cell_points: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(left, right, block, point, times, u): the points that each pair of blocks has to compare."""
     spark = points.sparkSession
-    # pivots: a bounded hash sample; they only decide where a point is dealt to
+    # pivots: a bounded hash sample; they decide where a point is dealt to, and what it can't reach
     wanted = min(1024, max(1, n // cell_points))
     sample = points.orderBy(F.xxhash64("hash", F.lit(seed))).limit(wanted).select("u", "dim").collect()
     by_dim: dict[int, np.ndarray] = {}
@@ -179,34 +195,55 @@ def _block_links(points: DataFrame, n: int, reach: float, cosine: float, block_p
     pivots = spark.sparkContext.broadcast(by_dim)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for frame in batches:
-            cell = np.zeros(len(frame), np.int64)
+            cell, far = np.zeros(len(frame), np.int64), np.full(len(frame), 2.0)
             for dim, own in frame.groupby("dim"):
                 near = pivots.value.get(dim)
                 if near is not None:
-                    cell[frame.index.get_indexer(own.index)] = (_unit(own["u"]) @ near.T).argmax(1)
-            yield frame.assign(cell=cell)
+                    at, gap = frame.index.get_indexer(own.index), _distances(_unit(own["u"]), near)
+                    cell[at], far[at] = gap.argmin(1), gap.min(1)
+            yield frame.assign(cell=cell, far=far)
 
-    dealt = points.mapInPandas(deal, f"hash string, point long, times long, u {dict(points.dtypes)['u']}, dim int, cell long")
-    dealt = scratch.save(dealt.select("point", "times", "u", "dim", "cell"), "dealt")
+    kind = dict(points.dtypes)["u"]
+    dealt = points.mapInPandas(deal, f"hash string, point long, times long, u {kind}, dim int, cell long, far double")
+    dealt = scratch.save(dealt.select("point", "times", "u", "dim", "cell", "far"), "dealt")
     # large cells are cut by hash, so that no block outgrows a task
-    cells = {(r["dim"], r["cell"]): r["n"] for r in dealt.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}  # at most the pivots and a cell for each length
-    names, first = [], {}
-    for (dim, cell), size in sorted(cells.items()):
-        first[dim, cell] = (len(names), -(-size // block_points))
-        names += [dim] * first[dim, cell][1]
-    table = spark.createDataFrame([(d, c, a, k) for (d, c), (a, k) in first.items()], "dim int, cell long, first int, parts int")
-    blocked = dealt.join(F.broadcast(table), ["dim", "cell"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts"))).cast("int")).select("point", "times", "u", "block", "dim")
-    # each unordered pair of blocks of one dimension is dealt by the table of blocks alone
-    spans = {d: (names.index(d), names.index(d) + names.count(d)) for d in set(names)}
-    span = spark.createDataFrame([(d, a, b) for d, (a, b) in spans.items()], "dim int, low int, high int")
-    dealt_pairs = (
-        blocked.join(F.broadcast(span), "dim")
-        .withColumn("other", F.explode(F.sequence(F.col("low"), F.col("high") - 1)))
-        .select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "point", "times", "u")
-    )
+    cells = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # at most the pivots and a cell for each length
+    blocks, first = 0, {}
+    for r in sorted(cells):
+        first[r["dim"], r["cell"]] = (blocks, -(-r["n"] // block_points), r["radius"])
+        blocks += first[r["dim"], r["cell"]][1]
+    table = spark.createDataFrame([(d, c, a, k) for (d, c), (a, k, _) in first.items()], "dim int, cell long, first int, parts int")
+    blocked = dealt.join(F.broadcast(table), ["dim", "cell"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts"))).cast("int")).select("point", "times", "u", "block", "dim", "cell")
+    spans = spark.sparkContext.broadcast(first)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
+        for frame in batches:
+            others: list[np.ndarray] = [np.empty(0, np.int32)] * len(frame)
+            for dim, own in frame.groupby("dim"):
+                known = [(c, a, k, r) for (d, c), (a, k, r) in spans.value.items() if d == dim]
+                hit = np.ones((len(own), len(known)), bool)
+                if dim in pivots.value:
+                    cells = np.array([c for c, *_ in known], np.int64)
+                    gap = _distances(_unit(own["u"]), pivots.value[dim])
+                    hit = (gap[:, cells] <= reach + np.array([r for *_, r in known]) + SLACK) | (cells == own["cell"].to_numpy(np.int64)[:, None])
+                blocks_of = [np.arange(a, a + k, dtype=np.int32) for _, a, k, _ in known]
+                for place, row in zip(frame.index.get_indexer(own.index).tolist(), hit, strict=True):
+                    others[place] = np.concatenate([blocks_of[x] for x in np.flatnonzero(row)])
+            yield frame.assign(others=others)[["point", "times", "u", "block", "others"]]
+
+    sent = blocked.mapInPandas(spread, f"point long, times long, u {kind}, block int, others array<int>")
+    sent = sent.withColumn("other", F.explode("others"))
+    return sent.select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "point", "times", "u")
+
+
+def _block_links(dealt_pairs: DataFrame, cosine: float, reach: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    spark = dealt_pairs.sparkSession
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
+        trim()
         left, right = frame["left"].iloc[0], frame["right"].iloc[0]
         frame = frame.sort_values("point", ignore_index=True)
         sides = [frame[frame["block"] == k] for k in ((left,) if left == right else (left, right))]
@@ -231,8 +268,7 @@ def _block_links(points: DataFrame, n: int, reach: float, cosine: float, block_p
         edges = pd.DataFrame([(ids[x], ids[y], 0) for x, y in forest.kept], columns=["a", "b", "linked"], dtype="int64")
         return pd.concat([edges, pd.DataFrame({"a": ids[some], "b": ids[some], "linked": linked[some]})], ignore_index=True)
 
-    pairs = len(names) * (len(names) + 1) // 2
-    found = dealt_pairs.repartition(n_tasks(spark, pairs, 2), "left", "right").groupBy("left", "right").applyInPandas(link, "a long, b long, linked long")
+    found = dealt_pairs.groupBy("left", "right").applyInPandas(link, "a long, b long, linked long")
     found = scratch.save(found, "found")
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
     return found.where("a <> b").select("a", "b"), counts

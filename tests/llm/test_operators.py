@@ -486,6 +486,21 @@ def test_cover_tree(spark):
     assert out == {(None, 0, None): 1, (1, 1, 1): 2, (2, 1, 1): 1}
 
 
+def test_far_blocks_never_meet(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 24))
+    rows = [(i, (centres[i % 6] + rng.normal(0, 0.05, 24)).astype(np.float32).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    points = frame.selectExpr("cast(vec_id as string) as hash", "vec_id as point", "1L as times", "embedding as u", "24 as dim")
+    scratch = Scratch(spark, "t")
+    dealt = covertree._dealt(points.select("hash", "point", "times", "u", "dim"), 600, float(np.sqrt(0.2)), 50, 20, 5, scratch)
+    blocks = dealt.select("block").distinct().count()
+    pairs = dealt.select("left", "right").distinct().count()
+    assert pairs < 0.6 * blocks * (blocks + 1) / 2 and dealt.count() < 0.6 * 600 * blocks
+    out = covertree.links(frame, block_points=50, cell_points=20).collect()
+    assert {r["component_id"] for r in out} == set(range(6)) and all(r["n_links"] == 99 for r in out)
+
+
 # 10 mixing
 
 
