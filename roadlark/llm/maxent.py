@@ -11,8 +11,13 @@ one unknown word.
 Counts cover all training texts: word counts, and how often each outcome follows each hashed
 history. The gradient of the log-likelihood needs nothing else, so training repeats
 distributed gradient steps over these tables, whose size the model fixes and not the corpus.
-Scoring works on arrays of a batch's tokens. Counts of the ``HEAD_WORDS`` most frequent words are
-broadcast (a fixed bound); all rarer words are looked up in the count table by hash range.
+On top of that every pair of tokens seen twice or more, the second one a head word, is an
+n-gram feature of its own. Given the first token and the class, the words' weights meet those
+of no other first token, so each hash range takes its gradient steps by itself; this table
+grows with the corpus and stays in Spark. Scoring works on arrays of a batch's tokens. Counts of
+the ``HEAD_WORDS`` most frequent words are broadcast (a fixed bound); all rarer words and all pairs
+are looked up by hash range. Pairs after a frequent token are spread over several ranges,
+which hold copies of its weights.
 
 Words are compared by 64-bit hashes. Defined cases: a null or empty text is its end token; a
 null doc_id is training text; repeated rows are scored alike; without training tokens base
@@ -39,6 +44,7 @@ OUTCOMES = MODEL_WORDS + CLASSES  # words, then each class's rest
 END = np.uint64(0x5EED5EED5EED5EED)
 START = np.uint64(0x0DD0BEEF0DD0BEEF)
 FLUSH = 1 << 21
+RANGE_TOKENS, BLOCK = 1 << 21, 1 << 12  # pairs a range, documents a block of sums
 LOG10 = float(np.log(10.0))
 
 
@@ -70,10 +76,16 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         row = to
 
 
-def histories(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed previous token and token before it; START before a text."""
+def before(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Previous token; START before a text."""
     previous = np.r_[START, hashes[:-1]]
     previous[bounds[:-1]] = START
+    return previous
+
+
+def histories(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed previous token and token before it; START before a text."""
+    previous = before(hashes, bounds)
     skipped = np.r_[START, previous[:-1]]
     skipped[bounds[:-1]] = START
     return (mix(previous) % np.uint64(PREVIOUS)).astype(np.int64), (mix(skipped ^ START) % np.uint64(SKIPPED)).astype(np.int64)
@@ -165,7 +177,7 @@ class Tables:
         index = np.full(len(words), -1, np.int32)
         index[:MODEL_WORDS] = np.arange(min(MODEL_WORDS, len(words)))
         order = np.argsort(words)
-        self.words, self.times, self.index = words[order], times[order], index[order]
+        self.words, self.times, self.index, self.kinds = words[order], times[order], index[order], kinds[order]
         self.model_classes = np.zeros(MODEL_WORDS, np.uint8)
         self.model_classes[: min(MODEL_WORDS, len(kinds))] = kinds[:MODEL_WORDS]
         self.n_model = min(MODEL_WORDS, len(words))
@@ -181,6 +193,126 @@ class Tables:
         return np.where(hit, self.times[at], 0), np.where(hit & (index >= 0), index, rest)
 
 
+    def codes(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Place of each token in the head; -1 - class outside it."""
+        outside = -1 - classes.astype(np.int32)
+        if not len(self.words):
+            return outside
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1).astype(np.int32)
+        return np.where(self.words[at] == hashes, at, outside)
+
+    def class_of(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes >= 0, self.kinds[np.maximum(codes, 0)], -1 - codes).astype(np.int64) if len(self.kinds) else (-1 - codes).astype(np.int64)
+
+
+def pair_keys(previous: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return mix(previous + mix(codes.astype(np.int64).view(np.uint64)))
+
+
+class Spread:
+    """Ranges of (previous token, class); a previous token of several ranges' tokens has copies in as many."""
+
+    def __init__(self, tables: Tables, n_tokens: int, ranges: int, per_range: int = RANGE_TOKENS):
+        self.tables, self.ranges, self.per_range = tables, max(ranges, -(-n_tokens // per_range)), per_range
+
+    def copies(self, previous: np.ndarray) -> np.ndarray:
+        own = np.where(previous == START, END, previous)  # as many starts as ends
+        times, _ = self.tables.find(own, np.zeros(len(previous), np.uint8))
+        return np.minimum(1 + times // self.per_range * 2, self.ranges)
+
+    def range_of(self, previous: np.ndarray, classes: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        first = (pair_keys(previous, -1 - classes) % np.uint64(self.ranges)).astype(np.int64)
+        return (first + salt) % self.ranges
+
+
+def _cut(own: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The values of each range that ``own`` names, in their order."""
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    for a, b in zip(first, np.r_[first[1:], len(own)], strict=True):
+        yield int(own[a]), tuple(x[order[a:b]] for x in values)
+
+
+def _packed(r: int, previous: np.ndarray, codes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "previous": pa.array([previous.tobytes()], pa.binary()), "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()), "amounts": pa.array([values.tobytes()], pa.binary())})
+
+
+def _unpacked(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("previous", np.uint64), ("codes", "<i4"), ("amounts", kind)))
+
+
+def pair_weights(docs: DataFrame, tables: Tables, word_logs: np.ndarray, spread: Spread, scratch: Scratch, steps: int = 12, rate: float = 0.7, decay: float = 1.0) -> DataFrame:
+    """Weights of the pairs seen twice or more, as packed rows by range: (previous, code, weight), and for each
+    (previous, class) of such a pair (previous, -1 - class, minus the log of its norm), all in log10.
+
+    ``word_logs`` are log10 probabilities of the outcomes within their classes, before the words'
+    shares in their class's rest.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((tables, word_logs, spread))
+    schema = "range int, previous binary, codes binary, amounts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _, to = shared.value
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            previous, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, at, times = np.unique(pair_keys(previous, codes), return_index=True, return_counts=True)
+            for r, (p, c, n) in _cut((mix(keys) % np.uint64(to.ranges)).astype(np.int64), previous[at], codes[at], times.astype("<u4")):
+                yield _packed(r, p, c, n)
+
+        for batch in batches:
+            for _, hashes, classes, bounds in tokens(batch.column("_text")):
+                held.append((before(hashes, bounds), own.codes(hashes, classes)))
+                size += len(hashes)
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    def whole(batches_table: pa.Table) -> pa.Table:
+        own, _, to = shared.value
+        previous, codes, times = _unpacked(batches_table, "<u4")
+        keys, at, back = np.unique(pair_keys(previous, codes), return_index=True, return_inverse=True)
+        n = np.bincount(back, times, len(keys)).astype("<i8")
+        previous, codes = previous[at], codes[at]
+        # a pair seen once is no feature, and counts for its class only
+        codes = np.where((codes >= 0) & (n >= 2), codes, -1 - own.class_of(codes)).astype("<i4")
+        place = to.range_of(previous, own.class_of(codes))
+        return pa.Table.from_batches([_packed(r, *x) for r, x in _cut(place, previous, codes, n)])
+
+    def fit(table: pa.Table) -> pa.Table:
+        own, logs, to = shared.value
+        previous, codes, times = _unpacked(table, "<i8")
+        classes = own.class_of(codes)
+        group, at, back = np.unique(pair_keys(previous, -1 - classes), return_index=True, return_inverse=True)
+        total = np.bincount(back, times, len(group))
+        real = np.flatnonzero(codes >= 0)
+        p, c, n, g = previous[real], codes[real], times[real].astype(float), back[real]
+        outcome = np.where(own.index[c] >= 0, own.index[c], MODEL_WORDS + own.kinds[c].astype(np.int64))
+        base = 10.0 ** (logs[(mix(p) % np.uint64(PREVIOUS)).astype(np.int64), outcome] + np.where(own.index[c] >= 0, 0.0, np.log10(own.times[c] + 0.5)))
+        unseen = np.maximum(1.0 - np.bincount(g, base, len(group)), 1e-9)
+        w = np.zeros(len(real))
+        for _ in range(steps):
+            each = base * np.exp(w)
+            expected = total[g] * each / (unseen + np.bincount(g, each, len(group)))[g]
+            w += rate * np.clip((n - expected - decay * w) / (expected + decay), -2.0, 2.0)
+        w = w.astype("<f4").astype(float)
+        norm = unseen + np.bincount(g, base * np.exp(w), len(group))
+        used = np.flatnonzero(np.bincount(g, minlength=len(group)))
+        p, c, w, kind = np.r_[p, previous[at][used]], np.r_[c, -1 - classes[at][used]], np.r_[w, -np.log(norm[used])] / LOG10, np.r_[classes[real], classes[at][used]]
+        copies = to.copies(p)
+        each = np.repeat(np.arange(len(p)), copies)
+        salt = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+        rows = [_packed(r, *x) for r, x in _cut(to.range_of(p[each], kind[each], salt), p[each], c[each].astype("<i4"), w[each].astype("<f4"))]
+        return pa.Table.from_batches(rows or [_packed(0, np.empty(0, np.uint64), np.empty(0, "<i4"), np.empty(0, "<f4"))])
+
+    pairs = docs.where("not held_out").select("_text").mapInArrow(count, schema)
+    return scratch.save(pairs.groupBy("range").applyInArrow(whole, schema).groupBy("range").applyInArrow(fit, schema), "pairs")
+
+
 def history_counts(docs: DataFrame, tables: Tables, scratch: Scratch, parts: int = 16) -> tuple[DataFrame, DataFrame]:
     """(class counts per pair of hashed histories, outcome counts per previous token), as bytes of int64 arrays."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)
@@ -302,14 +434,14 @@ def train(tables: Tables, counts: tuple[DataFrame, DataFrame], steps: int = 12)
     return model
 
 
-def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession, "maxent")
     with arrow_limits(docs.sparkSession):
-        return scratch.save(_score(docs, scratch, text, doc_id), "scored")
+        return scratch.save(_score(docs, scratch, text, doc_id, range_tokens), "scored")
 
 
-def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFrame:
+def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, range_tokens: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("held_out", held_out(F.col("doc_id")))
     ranges = n_tasks(spark, docs.count(), 8192)
@@ -337,12 +469,27 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFra
     class_logs = np.stack([model.class_logs(p) for p in range(PREVIOUS)]) / LOG10
     word_logs = np.stack([model.word_logs(p) for p in range(PREVIOUS)]) / LOG10
     word_logs[:, MODEL_WORDS:] -= np.log10(rest_mass)  # plus log10(c + 0.5) of the word itself
-    shared = spark.sparkContext.broadcast((tables, class_logs.astype(np.float32), np.where(np.isfinite(word_logs), word_logs, 0).astype(np.float32)))
+    word_logs = np.where(np.isfinite(word_logs), word_logs, 0).astype(np.float32)
+    spread = Spread(tables, n, int(spark.conf.get("spark.sql.shuffle.partitions")), range_tokens)
+    pairs = pair_weights(docs, tables, word_logs, spread, scratch)
+    shared = spark.sparkContext.broadcast((tables, class_logs.astype(np.float32), word_logs))
     norm = float(np.log10(n + 0.5 * (v + 1)))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, log_class, log_word = shared.value
-        uid, held, size = TaskContext.get().partitionId() << 40, [], 0
+        task = TaskContext.get().partitionId()
+        uid, held, followed, size, n_pairs, turn = task << 40, [], [], 0, 0, task
+
+        def flush_pairs() -> Iterator[pa.RecordBatch]:
+            previous, codes, owners = (np.concatenate(x) for x in zip(*followed, strict=True))
+            keys, at, back, times = np.unique(pair_keys(previous, codes), return_index=True, return_inverse=True, return_counts=True)
+            owners = owners[np.argsort(back, kind="stable")]
+            previous, codes, first = previous[at], codes[at], np.cumsum(times) - times
+            low = int(owners.min())
+            place = spread.range_of(previous, own.class_of(codes), turn % spread.copies(previous))
+            for r, (p, c, n_, f) in _cut(place, previous, codes, times, first):
+                who = owners[np.repeat(f - np.cumsum(n_) + n_, n_) + np.arange(n_.sum())] - low
+                yield _rows(3, range=[ranges + r], uid=[low], words=[p.tobytes()], codes=[c.astype("<i4").tobytes()], times=[n_.astype("<u4").tobytes()], owners=[who.astype("<u4").tobytes()])
 
         def flush() -> Iterator[pa.RecordBatch]:
             asked, owners = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -361,6 +508,11 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFra
                 count = len(bounds) - 1
                 ids = uid + np.arange(count)
                 uid += count
+                followed.append((before(hashes, bounds), own.codes(hashes, classes), np.repeat(ids, np.diff(bounds))))
+                n_pairs += len(hashes)
+                if n_pairs >= FLUSH:
+                    yield from flush_pairs()
+                    followed, n_pairs, turn = [], 0, turn + 1
                 part = [batch.column(c).slice(row, count) for c in ("doc_id", "held_out")]
                 # a document's row goes to any range; its lookups are spread by word
                 yield _rows(0, range=(ids % ranges).tolist(), uid=ids, doc_id=part[0], held_out=part[1], n_tokens=np.diff(bounds), known=sums[2], base=sums[0], score=sums[1])
@@ -372,8 +524,55 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFra
                     held, size = [], 0
         if size:
             yield from flush()
+        if n_pairs:
+            yield from flush_pairs()
+
+    def follow(table: pa.Table) -> pa.Table:
+        """Sums of the weights of a range's pairs by document, packed by block of documents."""
+        asked, known = table.filter(pc.equal(table["kind"], 3)).to_pylist(), table.filter(pc.equal(table["kind"], 4)).to_pylist()
+        known = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["times"], "<f4")) for r in known]
+        if not asked or not known:
+            return LOOKED.empty_table()
+        p, c, w = (np.concatenate(x) for x in zip(*known, strict=True))
+        keys = pair_keys(p, c)
+        order = np.argsort(keys)
+        keys, w = keys[order], w[order].astype(float)
+
+        def weight(wanted: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(wanted))
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, w[at], 0.0)
+
+        out = []
+        for r in asked:  # each of at most a flush's pairs
+            p, c, n_ = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["times"], "<u4")
+            each = weight(pair_keys(p, -1 - shared.value[0].class_of(c))) + np.where(c >= 0, weight(pair_keys(p, c)), 0.0)
+            who, back = np.unique(np.frombuffer(r["owners"], "<u4"), return_inverse=True)
+            sums = np.bincount(back, np.repeat(each, n_), len(who))
+            who = who[sums != 0].astype(np.int64) + r["uid"]
+            for block, (a, b) in _cut(who // BLOCK, who % BLOCK, sums[sums != 0]):
+                out.append((block, a.astype("<u2").tobytes(), b.astype("<f4").tobytes()))
+        columns = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary())]
+        return pa.table([pa.nulls(len(out), f.type) for f in RESULT] + columns, schema=LOOKED)
+
+    def gather(table: pa.Table) -> pa.Table:
+        """One row per document of a block: what its pairs add to its score."""
+        sums, seen = np.zeros(BLOCK), np.zeros(BLOCK, bool)
+        for who, x in zip(table["who"].to_pylist(), table["sums"].to_pylist(), strict=True):
+            who = np.frombuffer(who, "<u2")  # each document once
+            sums[who] += np.frombuffer(x, "<f4")
+            seen[who] = True
+        who = np.flatnonzero(seen)
+        return pa.table({"uid": table["block"][0].as_py() * BLOCK + who, "score": sums[who]})
 
     def look_up(table: pa.Table) -> pa.Table:
+        if len(table) and table["range"][0].as_py() >= ranges:
+            return follow(table)
+        found = counted(table)
+        return pa.table([*found.columns, *[pa.nulls(len(found), f.type) for f in LOOKED if f.name not in RESULT.names]], schema=LOOKED)
+
+    def counted(table: pa.Table) -> pa.Table:
         counts = [r for r in table.filter(pc.equal(table["kind"], 2)).to_pylist()]
         asked = table.filter(pc.equal(table["kind"], 1)).select(["words", "owners"]).to_pylist()
         out = [table.filter(pc.equal(table["kind"], 0)).select(RESULT.names).cast(RESULT)]
@@ -397,7 +596,8 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFra
     kind = dict(docs.dtypes)["doc_id"]
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     RESULT = pa.schema([("uid", pa.int64()), ("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    SENT = pa.schema([("kind", pa.int32()), ("range", pa.int32()), *RESULT, ("words", pa.binary()), ("owners", pa.binary())])
+    LOOKED = pa.schema([*RESULT, ("block", pa.int64()), ("who", pa.binary()), ("sums", pa.binary())])
+    SENT = pa.schema([("kind", pa.int32()), ("range", pa.int32()), *RESULT, *[(c, pa.binary()) for c in ("words", "owners", "codes", "times")]])
 
     def _rows(kind: int, **given) -> pa.RecordBatch:
         size = len(given["range"])
@@ -405,8 +605,13 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFra
         return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if f.name not in given else x if isinstance(x := given[f.name], pa.Array) else pa.array(x, f.type) for f in SENT], schema=SENT)
 
     result = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double"
-    sent = docs.mapInArrow(head, f"kind int, range int, {result}, words binary, owners binary")
-    vocab = words.select(F.lit(2).alias("kind"), "range", *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in result.split(", "))], "words", F.col("times").alias("owners"))
-    found = sent.unionByName(vocab).groupBy("range").applyInArrow(look_up, result)
+    sent = docs.mapInArrow(head, f"kind int, range int, {result}, words binary, owners binary, codes binary, times binary")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in result.split(", "))]
+    nothing = F.lit(None).cast("binary")
+    vocab = words.select(F.lit(2).alias("kind"), "range", *empty, "words", F.col("times").alias("owners"), nothing.alias("codes"), nothing.alias("times"))
+    weights = pairs.select(F.lit(4).alias("kind"), (F.col("range") + ranges).alias("range"), *empty, F.col("previous").alias("words"), nothing.alias("owners"), "codes", F.col("amounts").alias("times"))
+    looked = scratch.save(sent.unionByName(vocab).unionByName(weights).groupBy("range").applyInArrow(look_up, f"{result}, block long, who binary, sums binary"), "looked")
+    followed = looked.where("block is not null").select("block", "who", "sums").groupBy("block").applyInArrow(gather, "uid long, score double")
+    found = looked.where("block is null").select(*RESULT.names).unionByName(followed, allowMissingColumns=True)
     total = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")

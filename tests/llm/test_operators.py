@@ -284,6 +284,46 @@ def test_probabilities_sum_to_one():
     assert np.allclose(sums, 1)
 
 
+def test_pairs_are_features_of_their_own(spark):
+    """Features are all pairs seen twice or more; each (token, class) still sums to one; gradients end near zero."""
+    texts = [prose(i, 50) for i in range(40)] + ["rare words stand here"] * 3 + ["once only " + prose(99, 5)]
+    docs = spark.createDataFrame([(x, False) for x in texts], "_text string, held_out boolean")
+    scratch = Scratch(spark, "pairs")
+    words = maxent.word_counts(docs, 3, scratch)
+    tables = maxent.Tables(maxent._head(words, 0))
+    logs = np.full((maxent.PREVIOUS, maxent.OUTCOMES), -3.0, np.float32)
+    rows = maxent.pair_weights(docs, tables, logs, maxent.Spread(tables, 2000, 4), scratch, steps=200).toPandas()
+    weights, norms = {}, {}
+    for r in rows.itertuples():
+        for p, c, w in zip(np.frombuffer(r.previous, np.uint64), np.frombuffer(r.codes, "<i4"), np.frombuffer(r.amounts, "<f4"), strict=True):
+            (weights if c >= 0 else norms)[(int(p), int(c))] = float(w)
+    hashed, seen, classes = {}, collections.Counter(), collections.Counter()
+    for x in texts:
+        data = np.frombuffer(x.encode(), np.uint8)
+        spans = [m.span() for m in WORD.finditer(x)]
+        own = maxent.word_hashes(data, np.array([a for a, _ in spans]), np.array([b for _, b in spans]))
+        before = int(maxent.START)
+        for h in [*map(int, own), int(maxent.END)]:
+            code = int(np.searchsorted(tables.words, np.uint64(h)))
+            hashed[code] = int(tables.kinds[code])
+            seen[(before, code)] += 1
+            classes[(before, hashed[code])] += 1
+            before = h
+    assert set(weights) == {k for k, n in seen.items() if n >= 2}
+    assert set(norms) == {(p, -1 - hashed[c]) for p, c in weights}
+    for (p, minus), norm in norms.items():
+        own = {c: w for (q, c), w in weights.items() if q == p and hashed[c] == -1 - minus}
+        assert abs((1 - 0.001 * len(own) + sum(0.001 * 10**w for w in own.values())) * 10**norm - 1) < 1e-4
+        for c, w in own.items():
+            assert abs(seen[(p, c)] - classes[(p, -1 - minus)] * 0.001 * 10 ** (w + norm) - w * math.log(10)) < 0.05
+
+
+def test_frequent_pairs_are_spread_without_change(spark):
+    docs = spark.createDataFrame([(i, "the " + " the ".join(prose(i % 7, 40).split())) for i in range(120)] + [(500 + i, "") for i in range(60)], "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["score"] for r in maxent.score(docs, range_tokens=n).collect()} for n in (1 << 21, 256))
+    assert one.keys() == many.keys() and all(abs(one[d] - many[d]) < 1e-3 for d in one)
+
+
 # 5 toxicity
 
 
