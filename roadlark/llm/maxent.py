@@ -234,12 +234,54 @@ def _cut(own: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, tuple[np.n
         yield int(own[a]), tuple(x[order[a:b]] for x in values)
 
 
-def _packed(r: int, previous: np.ndarray, codes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "previous": pa.array([previous.tobytes()], pa.binary()), "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()), "amounts": pa.array([values.tobytes()], pa.binary())})
+def squeeze(x: np.ndarray) -> bytes:
+    """32-bit numbers as compressed planes of their bytes."""
+    planes = np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("previous", np.uint64), ("codes", "<i4"), ("amounts", kind)))
+def expand(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
+def squeeze_words(words: np.ndarray, x: np.ndarray) -> bytes:
+    """Ascending hashes: the places of those in the sorted ``words``, the hashes of the others, and how often each comes."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    own, runs = x[first], np.diff(np.r_[first, len(x)])
+    at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
+    hit = words[at] == own if len(words) else np.zeros(len(own), bool)
+    parts = [squeeze(np.diff(at[hit], prepend=0)), own[~hit].astype("<u8").tobytes(), squeeze(hit), squeeze(runs)]
+    return np.array([len(y) for y in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def expand_words(words: np.ndarray, data: bytes) -> np.ndarray:
+    cuts = 16 + np.cumsum(np.frombuffer(data[:16], "<u4").astype(np.int64))
+    places, others, hit, runs = (data[a:b] for a, b in zip((16, *cuts[:-1]), cuts, strict=True))
+    hit = expand(hit) == 1
+    out = np.empty(len(hit), np.uint64)
+    out[hit] = words[np.cumsum(expand(places))] if hit.any() else 0
+    out[~hit] = np.frombuffer(others, "<u8")
+    return np.repeat(out, expand(runs))
+
+
+def distinct(previous: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the pairs, where each distinct one starts in it)."""
+    order = np.lexsort((codes, previous))
+    previous, codes = previous[order], codes[order]
+    return order, np.flatnonzero(np.r_[True, (previous[1:] != previous[:-1]) | (codes[1:] != codes[:-1])]) if len(order) else np.empty(0, np.int64)
+
+
+def _packed(own: Tables, r: int, previous: np.ndarray, codes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Pairs in ascending order of the previous token; ``values`` are counts below 2^31 or floats of 32 bits."""
+    if values.dtype.kind == "f":
+        values = values.astype("<f4").view("<i4")
+    return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "previous": pa.array([squeeze_words(own.words, previous)], pa.binary()), "codes": pa.array([squeeze(codes)], pa.binary()), "amounts": pa.array([squeeze(values)], pa.binary())})
+
+
+def _unpacked(own: Tables, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([f(x) for x in table[c].to_pylist()]) for c, f in (("previous", lambda x: expand_words(own.words, x)), ("codes", expand), ("amounts", expand)))
 
 
 def pair_weights(docs: DataFrame, tables: Tables, word_logs: np.ndarray, spread: Spread, scratch: Scratch, steps: int = 12, rate: float = 0.7, decay: float = 1.0) -> DataFrame:
@@ -258,9 +300,11 @@ def pair_weights(docs: DataFrame, tables: Tables, word_logs: np.ndarray, spread:
 
         def flush() -> Iterator[pa.RecordBatch]:
             previous, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, at, times = np.unique(pair_keys(previous, codes), return_index=True, return_counts=True)
-            for r, (p, c, n) in _cut((mix(keys) % np.uint64(to.ranges)).astype(np.int64), previous[at], codes[at], times.astype("<u4")):
-                yield _packed(r, p, c, n)
+            order, first = distinct(previous, codes)
+            times, at = np.diff(np.r_[first, len(order)]), order[first]
+            previous, codes = previous[at], codes[at]
+            for r, (p, c, n) in _cut((mix(pair_keys(previous, codes)) % np.uint64(to.ranges)).astype(np.int64), previous, codes, times):
+                yield _packed(own, r, p, c, n)
 
         for batch in batches:
             for _, hashes, classes, bounds in tokens(batch.column("_text")):
@@ -274,18 +318,29 @@ def pair_weights(docs: DataFrame, tables: Tables, word_logs: np.ndarray, spread:
 
     def whole(batches_table: pa.Table) -> pa.Table:
         own, _, to = shared.value
-        previous, codes, times = _unpacked(batches_table, "<u4")
-        keys, at, back = np.unique(pair_keys(previous, codes), return_index=True, return_inverse=True)
-        n = np.bincount(back, times, len(keys)).astype("<i8")
-        previous, codes = previous[at], codes[at]
+        previous, codes, times = _unpacked(own, batches_table)
+        order, first = distinct(previous, codes)
+        n = np.add.reduceat(times[order].astype(np.int64), first)
+        previous, codes = previous[order[first]], codes[order[first]]
         # a pair seen once is no feature, and counts for its class only
         codes = np.where((codes >= 0) & (n >= 2), codes, -1 - own.class_of(codes)).astype("<i4")
         place = to.range_of(previous, own.class_of(codes))
-        return pa.Table.from_batches([_packed(r, *x) for r, x in _cut(place, previous, codes, n)])
+        # counts beyond 31 bits come in several rows
+        parts = [(r, x[0], x[1], x[2]) for r, x in _cut(place, previous, codes, n)]
+        rows = []
+        for r, p, c, m in parts:
+            while len(m):
+                rows.append(_packed(own, r, p, c, np.minimum(m, (1 << 31) - 1)))
+                more = m >= 1 << 31
+                p, c, m = p[more], c[more], m[more] - ((1 << 31) - 1)
+        return pa.Table.from_batches(rows)
 
     def fit(table: pa.Table) -> pa.Table:
         own, logs, to = shared.value
-        previous, codes, times = _unpacked(table, "<i8")
+        previous, codes, times = _unpacked(own, table)
+        order, first = distinct(previous, codes)
+        times = np.add.reduceat(times[order].astype(np.int64), first)
+        previous, codes = previous[order[first]], codes[order[first]]
         classes = own.class_of(codes)
         group, at, back = np.unique(pair_keys(previous, -1 - classes), return_index=True, return_inverse=True)
         total = np.bincount(back, times, len(group))
@@ -303,11 +358,13 @@ def pair_weights(docs: DataFrame, tables: Tables, word_logs: np.ndarray, spread:
         norm = unseen + np.bincount(g, base * np.exp(w), len(group))
         used = np.flatnonzero(np.bincount(g, minlength=len(group)))
         p, c, w, kind = np.r_[p, previous[at][used]], np.r_[c, -1 - classes[at][used]], np.r_[w, -np.log(norm[used])] / LOG10, np.r_[classes[real], classes[at][used]]
+        order = np.argsort(p, kind="stable")
+        p, c, w, kind = p[order], c[order], w[order], kind[order]
         copies = to.copies(p)
         each = np.repeat(np.arange(len(p)), copies)
         salt = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
-        rows = [_packed(r, *x) for r, x in _cut(to.range_of(p[each], kind[each], salt), p[each], c[each].astype("<i4"), w[each].astype("<f4"))]
-        return pa.Table.from_batches(rows or [_packed(0, np.empty(0, np.uint64), np.empty(0, "<i4"), np.empty(0, "<f4"))])
+        rows = [_packed(own, r, *x) for r, x in _cut(to.range_of(p[each], kind[each], salt), p[each], c[each], w[each])]
+        return pa.Table.from_batches(rows or [_packed(own, 0, np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0))])
 
     pairs = docs.where("not held_out").select("_text").mapInArrow(count, schema)
     return scratch.save(pairs.groupBy("range").applyInArrow(whole, schema).groupBy("range").applyInArrow(fit, schema), "pairs")
@@ -482,14 +539,14 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, range_toke
 
         def flush_pairs() -> Iterator[pa.RecordBatch]:
             previous, codes, owners = (np.concatenate(x) for x in zip(*followed, strict=True))
-            keys, at, back, times = np.unique(pair_keys(previous, codes), return_index=True, return_inverse=True, return_counts=True)
-            owners = owners[np.argsort(back, kind="stable")]
-            previous, codes, first = previous[at], codes[at], np.cumsum(times) - times
+            order, first = distinct(previous, codes)
+            times, owners, at = np.diff(np.r_[first, len(order)]), owners[order], order[first]
+            previous, codes = previous[at], codes[at]
             low = int(owners.min())
             place = spread.range_of(previous, own.class_of(codes), turn % spread.copies(previous))
             for r, (p, c, n_, f) in _cut(place, previous, codes, times, first):
                 who = owners[np.repeat(f - np.cumsum(n_) + n_, n_) + np.arange(n_.sum())] - low
-                yield _rows(3, range=[ranges + r], uid=[low], words=[p.tobytes()], codes=[c.astype("<i4").tobytes()], times=[n_.astype("<u4").tobytes()], owners=[who.astype("<u4").tobytes()])
+                yield _rows(3, range=[ranges + r], uid=[low], words=[squeeze_words(own.words, p)], codes=[squeeze(c)], times=[squeeze(n_)], owners=[squeeze(who)])
 
         def flush() -> Iterator[pa.RecordBatch]:
             asked, owners = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -530,7 +587,8 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, range_toke
     def follow(table: pa.Table) -> pa.Table:
         """Sums of the weights of a range's pairs by document, packed by block of documents."""
         asked, known = table.filter(pc.equal(table["kind"], 3)).to_pylist(), table.filter(pc.equal(table["kind"], 4)).to_pylist()
-        known = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["times"], "<f4")) for r in known]
+        own = shared.value[0]
+        known = [(expand_words(own.words, r["words"]), expand(r["codes"]), expand(r["times"]).view("<f4")) for r in known]
         if not asked or not known:
             return LOOKED.empty_table()
         p, c, w = (np.concatenate(x) for x in zip(*known, strict=True))
@@ -546,9 +604,9 @@ def _score(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, range_toke
 
         out = []
         for r in asked:  # each of at most a flush's pairs
-            p, c, n_ = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["times"], "<u4")
-            each = weight(pair_keys(p, -1 - shared.value[0].class_of(c))) + np.where(c >= 0, weight(pair_keys(p, c)), 0.0)
-            who, back = np.unique(np.frombuffer(r["owners"], "<u4"), return_inverse=True)
+            p, c, n_ = expand_words(own.words, r["words"]), expand(r["codes"]), expand(r["times"])
+            each = weight(pair_keys(p, -1 - own.class_of(c))) + np.where(c >= 0, weight(pair_keys(p, c)), 0.0)
+            who, back = np.unique(expand(r["owners"]), return_inverse=True)
             sums = np.bincount(back, np.repeat(each, n_), len(who))
             who = who[sums != 0].astype(np.int64) + r["uid"]
             for block, (a, b) in _cut(who // BLOCK, who % BLOCK, sums[sums != 0]):

@@ -295,7 +295,7 @@ def test_pairs_are_features_of_their_own(spark):
     rows = maxent.pair_weights(docs, tables, logs, maxent.Spread(tables, 2000, 4), scratch, steps=200).toPandas()
     weights, norms = {}, {}
     for r in rows.itertuples():
-        for p, c, w in zip(np.frombuffer(r.previous, np.uint64), np.frombuffer(r.codes, "<i4"), np.frombuffer(r.amounts, "<f4"), strict=True):
+        for p, c, w in zip(maxent.expand_words(tables.words, r.previous), maxent.expand(r.codes), maxent.expand(r.amounts).view("<f4"), strict=True):
             (weights if c >= 0 else norms)[(int(p), int(c))] = float(w)
     hashed, seen, classes = {}, collections.Counter(), collections.Counter()
     for x in texts:
