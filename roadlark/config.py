@@ -56,12 +56,12 @@ IMPACT = {
     "one_way": ("wrong_way", 0.80, 0.89, 0.95),
     "marking": ("lane", 0.40, 0.50, 0.60),
 }
-#: event type, least share of a cluster, recommendation, further measure
+#: event type, least share of a cluster, recommendation, further measure, what must hold for the place
 RECOMMENDATIONS = (
-    ("red_light", 0.40, "signal", "traffic signal"),
-    ("speeding", 0.40, "speed_bump", "speed bump and advisory signage"),
-    ("wrong_way", 0.40, "one_way", "one-way conversion and barriers"),
-    ("lane", 0.50, "signage", "marking refresh and rumble strips"),
-    ("pothole", 0.40, "resurfacing", "priority resurfacing"),
-    ("waterlogging", 0.40, "drainage", "drainage improvement"),
+    ("red_light", 0.40, "signal", "traffic signal", ("at_intersection",)),
+    ("speeding", 0.40, "speed_bump", "speed bump and advisory signage", ("near_school",)),
+    ("wrong_way", 0.40, "one_way", "one-way conversion and barriers", ()),
+    ("lane", 0.50, "signage", "marking refresh and rumble strips", ("multi_lane",)),
+    ("pothole", 0.40, "resurfacing", "priority resurfacing", ("arterial", "mostly_high")),
+    ("waterlogging", 0.40, "drainage", "drainage improvement", ("chronic",)),
 )

@@ -6,18 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlark.config import IMPACT, RECOMMENDATIONS
+from roadlark.config import IMPACT, PROMOTE_SESSIONS, RECOMMENDATIONS
 from roadlark.operators.aggregates import composition, trend
+from roadlark.operators.joins import attach_road_class
 from roadlark.operators.windows import vs_previous
 
 
 def rule_table(spark) -> DataFrame:
-    return spark.createDataFrame([(t, s, r, m) for t, s, r, m in RECOMMENDATIONS], "vtype string, least_share double, rec_type string, measure string")
+    return spark.createDataFrame([(t, s, r, m, list(needs)) for t, s, r, m, needs in RECOMMENDATIONS], "vtype string, least_share double, rec_type string, measure string, needs array<string>")
+
+
+def place_context(dets: DataFrame, zones: DataFrame, key: str, kind: str = "anomaly_type") -> DataFrame:
+    """What rules ask of a place, per key and type: most findings high, on arterial roads or near a school; found in two sessions or more."""
+    most = lambda c: F.count_if(c) * 2 > F.count("*")
+    return (
+        attach_road_class(dets, zones)
+        .groupBy(key, F.col(kind).alias("vtype"))
+        .agg(
+            most(F.col("severity_band") == "high").alias("mostly_high"),
+            most(F.col("road_class") == "arterial").alias("arterial"),
+            most(F.col("near_school")).alias("near_school"),
+            (F.count_distinct("session_id") >= PROMOTE_SESSIONS).alias("chronic"),
+        )
+    )
 
 
 def apply_rules(profiles: DataFrame, rules: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Profiles (key, vtype, n, share) against the rule table: a share strictly above a rule's makes a recommendation."""
-    return profiles.join(F.broadcast(rules), "vtype").where(F.col("share") > F.col("least_share"))
+    """Profiles (key, vtype, n, share) against the rule table: a share strictly above a rule's makes a recommendation.
+
+    What a rule needs of the place is a boolean column of the profiles of that name; null does
+    not hold. Profiles without the column say nothing of it, and the share alone decides.
+    """
+    found = profiles.join(F.broadcast(rules), "vtype").where(F.col("share") > F.col("least_share"))
+    for need in sorted({n for *_, needs in RECOMMENDATIONS for n in needs}):
+        if need in profiles.columns:
+            found = found.where(~F.array_contains("needs", need) | F.coalesce(F.col(need), F.lit(False)))
+    return found.drop("needs")
 
 
 def enforcement_hours(events: DataFrame, key: str, k: int = 1, ts: str = "ts") -> DataFrame:

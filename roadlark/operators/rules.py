@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadlark import config as C
 from roadlark.functions.kinematics import ang_diff
-from roadlark.operators.filters import drop_emergency
+from roadlark.operators.filters import drop_emergency, full_bbox
 from roadlark.operators.joins import asof, suppress_jams
 from roadlark.operators.windows import sustained, zone_visits
 
@@ -35,9 +36,14 @@ def no_parking(points: DataFrame) -> DataFrame:
 
 
 def wrong_way(points: DataFrame) -> DataFrame:
-    """Against the permitted direction for more than 5 frames; leaving in the right direction is a turn, not a violation."""
+    """Against the permitted direction for more than 5 frames; a track whose last heading in the zone is not against it was turning.
+
+    Without a heading at the exit the frames alone decide.
+    """
     own = _of(points, "lane").where("permitted_dir is not null")
-    found = sustained(own, ang_diff(F.col("heading"), F.col("permitted_dir")) > C.WRONG_WAY_DEG, [*KEYS, "permitted_dir"], frames=C.WRONG_WAY_FRAMES)
+    against = lambda c: ang_diff(F.col(c), F.col("permitted_dir")) > C.WRONG_WAY_DEG
+    own = own.withColumn("exit_heading", F.max_by("heading", "t").over(Window.partitionBy(*KEYS)))
+    found = sustained(own, against("heading") & F.coalesce(against("exit_heading"), F.lit(True)), [*KEYS, "permitted_dir"], frames=C.WRONG_WAY_FRAMES)
     return _events(found, "wrong_way", F.col("n_frames"))
 
 
@@ -55,18 +61,23 @@ def red_light(points: DataFrame, signals: DataFrame) -> DataFrame:
     then does not cross on red, because the crossing step lies before that moment.
     """
     own = drop_emergency(_of(points, "stop_line"))
-    from pyspark.sql.window import Window
-
     before = F.lag("offset").over(Window.partitionBy(*KEYS).orderBy("t"))
     crossing = own.withColumn("_before", before).where((F.col("_before") < 0) & (F.col("offset") >= 0))
     found = asof(crossing.drop("_before"), signals, ["zone_id"]).where("state = 'RED'")
     return found.select(F.lit("red_light").alias("rule"), *KEYS, F.col("t").alias("started"), F.col("t").alias("ended"), F.lit(1).cast("long").alias("n_frames"), F.col("offset").cast("double").alias("measured"))
 
 
-def speeding(points: DataFrame) -> DataFrame:
-    """Above the limit for more than 10 frames; speeds are smoothed before, frames with cut boxes left out."""
-    own = points.where("speed_limit is not null").where(F.col("zone_type") == "speed")
-    return _events(sustained(own, F.col("speed") > F.col("speed_limit"), [*KEYS, "speed_limit"], frames=C.SPEEDING_FRAMES), "speeding", F.col("n_frames"))
+def speeding(points: DataFrame, *, frame_size: tuple[float, float] | None = None) -> DataFrame:
+    """Above the limit for more than 10 frames, by the mean speed of a frame and its neighbours.
+
+    With the frame's width and height, points whose ``box`` its edge cuts are left out first.
+    """
+    own = _of(points, "speed").where("speed_limit is not null")
+    if frame_size is not None:
+        own = full_bbox(own, *frame_size)
+    smooth = F.avg("speed").over(Window.partitionBy(*KEYS).orderBy("t").rowsBetween(-1, 1))
+    own = own.withColumn("smooth_speed", F.when(F.col("speed").isNotNull(), smooth))
+    return _events(sustained(own, F.col("smooth_speed") > F.col("speed_limit"), [*KEYS, "speed_limit"], frames=C.SPEEDING_FRAMES), "speeding", F.col("n_frames"))
 
 
 def lane(points: DataFrame) -> DataFrame:

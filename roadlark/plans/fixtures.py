@@ -37,7 +37,7 @@ POINT = {
     "lat": "17.40{d} + script * 0.01{d} + case when k <= 3 then 0.01{d} else (k % 20) * 0.00001{d} end",
     "lng": "78.40{d} + (k % 13) * 0.00001{d}",
     "speed": f"case when script in (0, 6) and {RUN} then 1{{d}} when script = 9 and {RUN} then 4{{d}} when script = 4 and {RUN} then 80{{d}} else 40{{d}} end",
-    "heading": f"case when script = 1 and {RUN} then 180{{d}} when script = 2 then (140 + 10 * variant) * least(greatest(k - 5, 0), 10) / 10{{d}} else 0{{d}} end",
+    "heading": f"case when script = 1 and ({RUN} or variant = 4 and k > 5) then 180{{d}} when script = 2 then (140 + 10 * variant) * least(greatest(k - 5, 0), 10) / 10{{d}} else 0{{d}} end",
     "lane_offset": f"case when script = 5 and {RUN} then 1{{d}} else -1{{d}} end",
     "helmet_conf": "case when script = 7 and k = 10 then (76 + 2 * variant) / 100{d} else 0{d} end",
     "passengers": "case when script = 8 then variant else 1 end",

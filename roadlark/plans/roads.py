@@ -135,6 +135,17 @@ def recommendations(spark, sf_dir):
     return planning.apply_rules(profiles, rules, "zone_id").select("zone_id", "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
 
 
+@query(f"""with {S}, c as (select part // 2 as place, anomaly_type as vtype, count(*) as n, 2 * count(*) filter (severity_band = 'high') > count(*) as mostly_high, 2 * count(*) filter (zone_id % 3 = 0) > count(*) as arterial, count(distinct session_id) >= 2 as chronic from s group by all),
+    f as (select *, n / sum(n) over (partition by place) as share from c) select place, vtype, n, round(share, 6) as share, case vtype when 'pothole' then 'resurfacing' else 'drainage' end as rec_type from f where share > 0.4e0 and ((vtype = 'pothole' and mostly_high and arterial) or (vtype = 'waterlogging' and chronic))""")
+def road_recommendations(spark, sf_dir):
+    """Resurfacing and drainage at the real shares, with what the rules ask of the place; a place is two neighbouring parts."""
+    found = scored(spark, sf_dir).withColumn("place", F.expr("part div 2"))
+    zones = spark.range(23).selectExpr("id as zone_id", "if(id % 3 = 0, 'arterial', 'local') as road_class", "id % 5 = 0 as near_school")
+    profiles = agg.composition(found, "place", "anomaly_type").withColumnRenamed("anomaly_type", "vtype")
+    profiles = profiles.join(planning.place_context(found, zones, "place"), ["place", "vtype"])
+    return planning.apply_rules(profiles, planning.rule_table(spark), "place").select("place", "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
+
+
 @query(f"with {V}, h as (select zone_id, (t // 3600) % 24 as hour, count(*) as n from v group by all) select zone_id, hour, n, r as rank from (select *, row_number() over (partition by zone_id order by n desc, hour) as r from h) where r <= 2")
 def enforcement_hours(spark, sf_dir):
     v = violations(spark, sf_dir).withColumn("hour", F.expr("t div 3600 % 24"))

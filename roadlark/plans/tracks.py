@@ -49,7 +49,10 @@ def no_parking(spark, sf_dir):
     return _out(rules.no_parking(in_zones(spark, sf_dir)))
 
 
-@query(_islands(1, "heading > 150 and heading < 210", "n_frames > 5", "wrong_way", "n_frames"))
+LEFT_AGAINST = "track_id in (select track_id from pz where zone_id = 1 group by track_id having arg_max(heading, t) between 151 and 209)"
+
+
+@query(_islands(1, "heading > 150 and heading < 210", f"n_frames > 5 and {LEFT_AGAINST}", "wrong_way", "n_frames"))
 def wrong_way(spark, sf_dir):
     return _out(rules.wrong_way(in_zones(spark, sf_dir)))
 

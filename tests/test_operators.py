@@ -70,6 +70,36 @@ def test_frame_rules(spark):
     assert rules.wrong_way(frame(spark, [point(zone_type="lane", t=t, heading=150.0) for t in range(9)])).count() == 0
 
 
+def test_wrong_way_judges_the_exit(spark):
+    lane = lambda *headings: frame(spark, [point(zone_type="lane", t=t, heading=h) for t, h in enumerate(headings)])
+    against = [180.0] * 7
+    assert rules.wrong_way(lane(*against, 10.0)).count() == 0
+    assert [r["n_frames"] for r in rules.wrong_way(lane(0.0, *against)).collect()] == [7]
+    assert rules.wrong_way(lane(*against, None)).count() == 1
+
+
+def test_speeding_smooths_and_leaves_cut_boxes_out(spark):
+    own = lambda speeds: frame(spark, [point(zone_type="speed", t=t, speed=s) for t, s in enumerate(speeds)])
+    dip = [70.0] * 6 + [45.0] + [70.0] * 5
+    assert [r["n_frames"] for r in rules.speeding(own(dip)).collect()] == [12]
+    assert rules.speeding(own([40.0, 70.0, 40.0] * 6)).count() == 0
+    assert rules.speeding(own([70.0] * 5 + [None] + [70.0] * 6)).count() == 0
+    box = lambda x2: F.struct(F.lit(5.0).alias("x1"), F.lit(5.0).alias("y1"), x2.alias("x2"), F.lit(9.0).alias("y2"))
+    boxed = own([70.0] * 12).withColumn("box", box(F.when(F.col("t") < 2, 100.0).otherwise(50.0)))
+    assert rules.speeding(boxed).count() == 1 and rules.speeding(boxed, frame_size=(100.0, 100.0)).count() == 0
+
+
+def test_rules_ask_for_the_place(spark):
+    rows = [(1, "pothole", 0.9, True, True, None), (2, "pothole", 0.9, True, False, None), (3, "pothole", 0.9, None, True, True), (4, "waterlogging", 0.41, False, False, True), (5, "waterlogging", 0.40, True, True, True), (6, "waterlogging", 0.9, True, True, None), (7, "wrong_way", 0.5, None, None, None)]
+    profiles = spark.createDataFrame(rows, "cluster_id long, vtype string, share double, arterial boolean, mostly_high boolean, chronic boolean")
+    got = planning.apply_rules(profiles, planning.rule_table(spark))
+    assert sorted((r["cluster_id"], r["rec_type"]) for r in got.collect()) == [(1, "resurfacing"), (4, "drainage"), (7, "one_way")]
+    dets = spark.createDataFrame([(1, "pothole", 0, 7, "high"), (1, "pothole", 1, 7, "high"), (1, "pothole", 1, 8, "low"), (2, "pothole", 0, 8, "high"), (2, "pothole", 0, None, "low")], "place long, anomaly_type string, session_id long, zone_id long, severity_band string")
+    zones = spark.createDataFrame([(7, "arterial", True), (8, "local", None)], "zone_id long, road_class string, near_school boolean")
+    got = {r["place"]: (r["mostly_high"], r["arterial"], r["near_school"], r["chronic"]) for r in planning.place_context(dets, zones, "place").collect()}
+    assert got == {1: (True, True, True, True), 2: (False, False, False, False)}
+
+
 def test_u_turn(spark):
     turn = lambda total: [point(zone_type="u_turn", t=t, heading=total * t / 10) for t in range(11)]
     assert rules.illegal_u_turn(frame(spark, turn(160.0))).count() == 0 and rules.illegal_u_turn(frame(spark, turn(170.0))).count() == 1
