@@ -227,9 +227,11 @@ class Spread:
 
 def _cut(own: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """The values of each range that ``own`` names, in their order."""
+    if not len(own):
+        return
     order = np.argsort(own, kind="stable")
     own = own[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     for a, b in zip(first, np.r_[first[1:], len(own)], strict=True):
         yield int(own[a]), tuple(x[order[a:b]] for x in values)
 

@@ -245,6 +245,22 @@ def test_near_terms_against_a_plain_loop():
 # 4 language model
 
 
+@pytest.mark.parametrize("partitions", ["1", "16"])
+def test_few_repeats(spark, partitions):
+    """Hash ranges without a pair seen twice, and batches without a pair that has a weight."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for texts in (["alpha beta", "gamma delta"], [f"alpha beta gamma w{i}" for i in range(40)], [f"u{i}a u{i}b u{i}c" for i in range(60)], [f"the cat sat on the mat number {i}" for i in range(60)], [None], ["same line"] * 5):
+            out = maxent.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+            assert sorted(r["doc_id"] for r in out) == list(range(len(texts)))
+            for r in out:
+                assert math.isfinite(r["score"]) and r["score"] < 0
+                assert r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_base_score_and_gain(odd, odd_rows, none):
     out = maxent.score(odd).collect()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
