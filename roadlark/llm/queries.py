@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm import bpe, covertree, jaccard, maxent, mixing, pii, quality, sharding, tokenfiles, toxicity
-from roadlark.llm.common import Scratch, documents
+from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tokenfiles, toxicity
+from roadlark.llm.common import Scratch, documents, lower_ascii
 from roadlark.llm.sql import ORACLE
 
 
@@ -64,6 +64,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(*merkle.FIELDS)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    proofs = merkle.prove(docs, changed={"text": tampered})
+    return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "position")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

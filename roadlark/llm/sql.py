@@ -45,4 +45,32 @@ nodes as (select vec_id as id from u), n as (select a, count(*) as c from e grou
 select vec_id, coalesce(n.c, 0) as n_links, component_id, vec_id = component_id as kept from u left join n on n.a = vec_id join component on component.id = vec_id
 """
 
-ORACLE = {"op2_jaccard_join": JACCARD, "op8_quality_rules": QUALITY, "op9_cover_tree": LINKS}
+def _field(x: str) -> str:
+    return f"case when {x} is null then '-' else strlen(cast({x} as varchar)) || ':' || cast({x} as varchar) end"
+
+
+#: Unsigned crc32 of the ASCII text {t}, with the table of its 256 bytes made by rule as crc_table.t.
+CRC_TABLE = "crc_table as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end)) as t)"
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({t}, ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+MERKLE = f"""
+with recursive {CRC_TABLE},
+d as (select row_number() over () as k, *, doc_id is not null and {CRC.format(t="cast(doc_id as varchar)")} % 5 = 0 as tampered from documents, crc_table),
+leaves as (select k, doc_id, dense_rank() over (order by source nulls first) - 1 as tree, sha256({" || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", "text"))}) as leaf,
+  sha256({" || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars"))} || {_field(f"(case when tampered then {LOWER} else text end)")}) as changed from d),
+own as (select k, doc_id, leaf, changed, tree, row_number() over (partition by tree order by doc_id nulls first, leaf, k) - 1 as pos, count(*) over (partition by tree) as total from leaves),
+low as (select tree, 0 as level, pos, leaf as h, total from own union all
+  select tree, level + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (any_value(total) + 15) // 16 from low where total > 1 group by tree, level, pos // 16),
+high as (select -1 as tree, 0 as level, tree as pos, h, count(*) over () as total from low where total = 1 union all
+  select -1, level + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (any_value(total) + 15) // 16 from high where total > 1 group by level, pos // 16),
+node as (select *, string_agg(h, '') over (partition by tree, level, pos // 16 order by pos rows between unbounded preceding and 1 preceding) as l, string_agg(h, '') over (partition by tree, level, pos // 16 order by pos rows between 1 following and unbounded following) as r from (select * from low union all select * from high)),
+walk as (select k, tree, 0 as level, pos, changed as h, '' as proof from own union all
+  select k, case when n.total > 1 then n.tree else -1 end, case when n.total > 1 then n.level + 1 else 0 end, case when n.total > 1 then n.pos // 16 else n.tree end,
+    case when n.total > 1 then sha256(concat(l, walk.h, r)) else walk.h end, case when n.total > 1 then concat(proof, l, r) else proof end
+  from walk join node n on n.tree = walk.tree and n.level = walk.level and n.pos = walk.pos where n.total > 1 or n.tree >= 0),
+done as (select k, walk.h as folded_root, proof, n.h as root from walk join node n on n.tree = walk.tree and n.level = walk.level and n.pos = walk.pos where n.tree = -1 and n.total = 1)
+select doc_id, leaf, low.h as subroot, root, sha256(proof) as proof_sha256, folded_root, folded_root = root as verified, own.pos as position
+from own join done using (k) join low on low.tree = own.tree and low.total = 1
+"""
+
+ORACLE = {"op2_jaccard_join": JACCARD, "op8_quality_rules": QUALITY, "op9_cover_tree": LINKS, "op11_merkle_manifest": MERKLE}

