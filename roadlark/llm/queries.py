@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tokenfiles, toxicity
-from roadlark.llm.common import Scratch, documents, lower_ascii
+from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tandem, tokenfiles, toxicity
+from roadlark.llm.common import Scratch, documents, let, lower_ascii, words
 from roadlark.llm.sql import ORACLE
 
 
@@ -71,6 +71,29 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "position")
 
 
+def _repeated_tail(doc_id: Column, text: Column) -> Column:
+    """The text, of every tenth document with its words from one on repeating in a period; both follow from the id's checksum."""
+    mark = F.crc32(doc_id.cast("string"))
+    g = F.floor(mark / 10)
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(turned, " ")).otherwise(text)
+
+    return F.when(mark % 10 == 0, let(words(text), repeat)).otherwise(text)
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", _repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    best = F.col("strongest")
+    return tandem.runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")], F.floor(F.try_divide(1000 * best["length"], best["period"])).alias("exponent_milli"), F.sha2(tandem.spelled(F.col("runs")), 256).alias("runs_sha256"), "collapsed_sha256", "n_words"
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

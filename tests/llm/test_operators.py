@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tokenfiles, toxicity
+from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tandem, tokenfiles, toxicity
 from roadlark.llm.common import Scratch
 from roadlark.llm.queries import byte_bpe_file
 
@@ -703,3 +703,87 @@ def test_proofs_over_ragged_partitions(spark):
     assert all(hashed(*r["siblings"]) == r["proof_sha256"] for r in got)
     for alone in (rows[:1], rows[:1] * 17):
         assert by_text(proved(spark.createDataFrame(alone, docs.schema), part_rows=2).collect(), *MERKLE) == proofs_of(alone)
+
+
+# 12 periodic runs
+
+
+def runs_of(words, least=6, periods=4):
+    """(start, length, smallest period) of all runs, by comparing each word with the one a period on."""
+    out = []
+    for p in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + p < len(words):
+            j = i
+            while j + p < len(words) and words[j] == words[j + p]:
+                j += 1
+            size = j + p - i
+            if j > i and size >= max(least, periods * p) and not any(all(words[x] == words[x + d] for x in range(i, i + size - d)) for d in range(1, p)):
+                out.append((i, size, p))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def kept_of(words, runs):
+    lost = {i for s, n, p in runs for i in range(s + p, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in lost)
+
+
+def test_all_runs_of_short_texts():
+    """Runs of two periods on, where squares overlap, nest and recur elsewhere in another rotation."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    cases = [list(x) for n in range(1, 9) for x in itertools.product((0, 1), repeat=n)] + [[rng.randint(0, rng.choice([1, 2, 3])) for _ in range(rng.randint(9, 60))] for _ in range(300)]
+    fibonacci = [[1], [1, 0]]
+    for _ in range(8):
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    for words in [*cases, fibonacci[-1], [0] * 300, [0, 1, 2] * 60 + [2, 0, 1] * 60 + [1, 2, 0, 1, 2]]:
+        found = tandem.find_runs(np.array([-1, *words, -2]))
+        assert sorted(zip(*(x.tolist() for x in found)), key=lambda x: (x[0], x[2])) == [(a + 1, b, c) for a, b, c in runs_of(words, 2, 2)], words
+
+
+def test_runs_of_texts(spark, odd, odd_rows, none):
+    import random
+
+    rng = random.Random(9)
+    rows = [(r[0], r[1]) for r in odd_rows]
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            unit = [f"w{rng.randint(0, 5)}" for _ in range(rng.randint(1, 7))]
+            again = unit * rng.randint(1, 7)
+            words += again[: rng.randint(1, len(again))] + [f"x{rng.randint(0, 99)}" for _ in range(rng.randint(0, 3))]
+        rows.append((1000 + i, rng.choice([" ", "\n", " \t "]).join(words)))
+    rows.append((5000, "ha " * 30_000 + "ho hi " * 20_000))
+    out = tandem.runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_text=True).collect()
+    want = collections.Counter()
+    for doc_id, text in rows:
+        words = WORD.findall(text or "")
+        runs = runs_of(words) if doc_id != 5000 else [(0, 30_000, 1), (30_000, 40_000, 2)]
+        best = min(runs, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=None)
+        want[doc_id, len(words), tuple(runs), best, kept_of(words, runs)] += 1
+    assert collections.Counter((r["doc_id"], r["n_words"], tuple(tuple(x) for x in r["runs"]), r["strongest"] and tuple(r["strongest"]), r["collapsed"]) for r in out) == want
+    assert all(hashlib.sha256(r["collapsed"].encode()).hexdigest() == r["collapsed_sha256"] for r in out)
+    assert tandem.runs(odd).count() == len(odd_rows) and tandem.runs(none).count() == 0
+
+
+def test_runs_query(spark, tmp_path, odd, odd_rows):
+    from roadlark.llm.queries import op12_tandem_runs
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    want = collections.Counter()
+    for r in odd_rows:
+        words, h = WORD.findall(r[1] or ""), zlib.crc32(str(r[0]).encode()) if r[0] is not None else 1
+        if h % 10 == 0 and words:
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+        runs = runs_of(words)
+        best = min(runs, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=None)
+        spelled = "".join(f"{a},{b},{c}\n" for a, b, c in runs)
+        want[r[0], len(runs), *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4), hashed(spelled), hashed(kept_of(words, runs))] += 1
+    got = op12_tandem_runs(spark, str(tmp_path)).collect()
+    assert by_text(got, "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256") == want
