@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tandem, tokenfiles, toxicity
+from roadlark.llm import bpe, covertree, jaccard, langid, maxent, merkle, mixing, pii, quality, sharding, tandem, tokenfiles, toxicity
 from roadlark.llm.common import Scratch, documents, let, lower_ascii, words
 from roadlark.llm.sql import ORACLE
 
@@ -94,6 +94,10 @@ def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

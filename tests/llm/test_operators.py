@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from roadlark.llm import bpe, covertree, jaccard, maxent, merkle, mixing, pii, quality, sharding, tandem, tokenfiles, toxicity
+from roadlark.llm import bpe, covertree, jaccard, langid, maxent, merkle, mixing, pii, quality, sharding, tandem, tokenfiles, toxicity
 from roadlark.llm.common import Scratch
 from roadlark.llm.queries import byte_bpe_file
 
@@ -787,3 +787,68 @@ def test_runs_query(spark, tmp_path, odd, odd_rows):
         want[r[0], len(runs), *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4), hashed(spelled), hashed(kept_of(words, runs))] += 1
     got = op12_tandem_runs(spark, str(tmp_path)).collect()
     assert by_text(got, "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256") == want
+
+
+# 13 language identification
+
+
+def test_letter_ngrams(monkeypatch):
+    """Counts of n-grams within a word and its boundaries; the same however a text is cut."""
+    texts = ["Hello, wörld a", "", "12 3", "x", "ab  cd\nabc def", "É", "日本語 ok"]
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        return sum(max(0, len(w) + (0 if n == 1 else 2) - n + 1) for w in words for n in langid.ORDERS)
+
+    found = langid.counts(texts)
+    assert found.sum(1).tolist() == [grams(t) for t in texts]
+    assert (langid.counts(["ab cd"]) == langid.counts(["(cd)"]) + langid.counts(["ab"])).all()
+    again = ["hello wörld again and again, " * 4, "one two"]
+    whole = langid.counts(again)
+    monkeypatch.setattr(langid, "SEGMENT_CHARS", 16)
+    assert (langid.counts(again) == whole).all()
+
+
+def test_machine_is_optimal():
+    """The weights of dual coordinate descent leave no gradient of the squared hinge loss."""
+    rng = np.random.default_rng(2)
+    x = rng.random((40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    signs = np.where(x[:, 0] + 0.2 * rng.random(40) > 0.5, 1.0, -1.0)
+    w = langid.fit([(np.arange(6), r) for r in x], signs, rounds=4000)
+    each = 10.0 * 40 / (2 * np.where(signs > 0, (signs > 0).sum(), (signs < 0).sum()))
+    wide = np.c_[x, np.ones(40)]
+    own = np.r_[w[:6], w[-1]]
+    loss = np.maximum(0, 1 - signs * (wide @ own))
+    assert np.abs(own - 2 * (each * loss * signs) @ wide).max() < 0.05
+
+
+def test_languages(spark):
+    """Held-out accuracy over two families, one language without relatives, and short texts."""
+    import random
+
+    rng = random.Random(3)
+    stems = {"en": "the of ing tion her and", "de": "der die sch ung ein und", "fr": "le la eau que oi est", "es": "el los que ción ar y", "eu": "zk tx kk etx zu aren"}
+    rows = []
+    for i in range(1200):
+        lang = sorted(stems)[i % 5]
+        words = ["".join(rng.choice(stems[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.choice([2, 5, 40]))]
+        rows.append((i, " ".join(words).capitalize() + ".", None if i % 17 == 0 else lang))
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    want = {i: sorted(stems)[i % 5] for i in range(1200)}
+    assert {r["doc_id"]: r["held_out"] for r in out} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in want}
+    held = [r for r in out if r["held_out"]]
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_languages_of_odd_rows(spark, odd, odd_rows, none):
+    out = langid.identify(odd).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r[0] for r in odd_rows)
+    letters = {r[0] for r in odd_rows if any(c.isalpha() for c in r[1] or "")}
+    for r in out:
+        if r["doc_id"] is not None:
+            assert (r["lang_pred"], r["score"]) == (("en", 1.0) if r["doc_id"] in letters else ("und", 0.0))
+    assert langid.identify(none).count() == 0
+    unlearned = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(unlearned).collect()} == {("und", 0.0)}
