@@ -6,6 +6,7 @@ Polygons are arrays of struct<lng, lat> without a repeated last vertex; coordina
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,15 +23,20 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def _edges(polygon: Column) -> Column:
+def edges(polygon: Column) -> Column:
     """Polygon edges as structs of both ends."""
     n = F.size(polygon)
     at = lambda i: F.get(polygon, i)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(i).alias("a"), at((i + 1) % n).alias("b")))
 
 
-def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:
-    """Ray casting to the east; half-open edges, so a shared vertex counts once."""
+def given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def within_edges(lat: Column, lng: Column, ring: Column) -> Column:
+    """Ray casting to the east over a ring's edges; they are half-open, so a shared vertex counts once."""
 
     def hit(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -38,7 +44,11 @@ def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:
         x = a["lng"] + (lat - a["lat"]) / F.when(b["lat"] == a["lat"], F.lit(1.0)).otherwise(b["lat"] - a["lat"]) * (b["lng"] - a["lng"])
         return (spans & (lng < x)).cast("int")
 
-    return F.aggregate(F.transform(_edges(polygon), hit), F.lit(0), lambda s, h: s + h) % 2 == 1
+    return F.aggregate(F.transform(ring, hit), F.lit(0), lambda s, h: s + h) % 2 == 1
+
+
+def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:
+    return within_edges(lat, lng, edges(polygon))
 
 
 def edge_distance(lat: Column, lng: Column, polygon: Column) -> Column:
@@ -53,7 +63,7 @@ def edge_distance(lat: Column, lng: Column, polygon: Column) -> Column:
         t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length)))
         return F.hypot(ax + t * dx, ay + t * dy)
 
-    return F.array_min(F.transform(_edges(polygon), far))
+    return F.array_min(F.transform(edges(polygon), far))
 
 
 def within_buffer(lat: Column, lng: Column, polygon: Column, metres: float) -> Column:
@@ -78,7 +88,7 @@ def iou(a: Column, b: Column) -> Column:
 def centroid(polygon: Column) -> Column:
     """Area centroid as struct<lng, lat>; the vertex mean for flat polygons."""
     cross = lambda e: e["a"]["lng"] * e["b"]["lat"] - e["b"]["lng"] * e["a"]["lat"]
-    total = lambda f: F.aggregate(F.transform(_edges(polygon), f), F.lit(0.0), lambda s, x: s + x)
+    total = lambda f: F.aggregate(F.transform(edges(polygon), f), F.lit(0.0), lambda s, x: s + x)
     area = total(cross) / 2
     mean = lambda c: F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p[c]) / F.size(polygon)
     part = lambda c: total(lambda e: (e["a"][c] + e["b"][c]) * cross(e)) / (6 * area)

@@ -15,23 +15,18 @@ from pyspark.sql.window import Window
 from roadlark.config import DUPLICATE_M, DUPLICATE_S, OCCLUSION_S
 from roadlark.functions import geo
 from roadlark.functions.kinematics import cosine
+from roadlark.operators.cover import join_cover
 
-#: A zone table of at most so many rows is broadcast; a larger one is joined by grid cell.
+#: Covers of more zones than this are never broadcast, whatever their bytes.
 BROADCAST_ZONES = 10_000
 
 
-def join_zones(points: DataFrame, zones: DataFrame, *, cell_m: float = 500.0, how: str = "inner") -> DataFrame:
-    """Points with the zones whose polygon holds them. Zones have zone_id, polygon and what else is wanted."""
-    boxed = zones.withColumns(geo.box_of(F.col("polygon")))
-    inside = (F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat")) & (F.col("lng") >= F.col("min_lng")) & (F.col("lng") <= F.col("max_lng")) & geo.point_in_polygon(F.col("lat"), F.col("lng"), F.col("polygon"))
-    box = ["min_lat", "max_lat", "min_lng", "max_lng"]
-    if zones.limit(BROADCAST_ZONES + 1).count() <= BROADCAST_ZONES:
-        return points.join(F.broadcast(boxed), inside, how).drop(*box)
-    step = cell_m / geo.METRES_PER_DEGREE
-    cells = boxed.withColumn("_a", F.explode(F.sequence(F.floor(F.col("min_lat") / step), F.floor(F.col("max_lat") / step)))).withColumn("_b", F.explode(F.sequence(F.floor(F.col("min_lng") / step), F.floor(F.col("max_lng") / step))))
-    keyed = points.withColumns({"_a": F.floor(F.col("lat") / step), "_b": F.floor(F.col("lng") / step)})
-    joined = keyed.alias("p").join(cells.alias("z"), (F.col("p._a") == F.col("z._a")) & (F.col("p._b") == F.col("z._b")) & inside, how)
-    return joined.drop("_a", "_b", *box)
+def join_zones(points: DataFrame, zones: DataFrame, *, cell_m: float | None = None) -> DataFrame:
+    """Points with the zones whose polygon holds them. Zones have zone_id, polygon and what else is wanted.
+
+    Both sides meet by cell of the polygons' covers; ``cell_m`` bounds the width of the first cells.
+    """
+    return join_cover(points, zones, widest=cell_m and cell_m / geo.METRES_PER_DEGREE, most_zones=BROADCAST_ZONES)
 
 
 def within_distance_join(a: DataFrame, b: DataFrame, metres: float, keys: Sequence[str] = (), most_lat: float = 89.0, extra: Column | None = None, suffix: str = "_b") -> DataFrame:

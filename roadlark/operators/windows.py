@@ -66,13 +66,14 @@ def split_on_gap(points: DataFrame, keys: Sequence[str] = ("track_id",), gap_s:
 
 
 def zone_visits(points: DataFrame, keys: Sequence[str] = ("track_id", "zone_id"), t: str = "t") -> DataFrame:
-    """One row per stay in a zone: entry, exit, first and exit heading, total turn and its smoothness."""
+    """One row per stay in a zone: entry, exit, points, first and exit heading, total turn and its smoothness."""
     w = Window.partitionBy(*keys).orderBy(t)
     turn = kinematics.signed_turn(F.lag("heading").over(w), F.col("heading"))
     turned = points.withColumn("_turn", F.coalesce(turn, F.lit(0.0)))
     return turned.groupBy(*keys).agg(
         F.min(t).alias("entered"),
         F.max(t).alias("left"),
+        F.count("*").alias("n"),
         F.min_by("heading", t).alias("first_heading"),
         F.max_by("heading", t).alias("exit_heading"),
         F.sum("_turn").alias("turn"),

@@ -118,9 +118,7 @@ def with_history(spark, sf_dir):
 
 @query(f"with {PZ} select track_id, zone_id, min(t) as entered, max(t) as \"left\", count(*) as n from pz group by all")
 def zone_entry_timer(spark, sf_dir):
-    visits = win.zone_visits(in_zones(spark, sf_dir))
-    n = in_zones(spark, sf_dir).groupBy("track_id", "zone_id").agg(F.count("*").alias("n"))
-    return visits.join(n, ["track_id", "zone_id"]).select("track_id", "zone_id", "entered", "left", "n")
+    return win.zone_visits(in_zones(spark, sf_dir)).select("track_id", "zone_id", "entered", "left", "n")
 
 
 @query(f"with {P} select track_id, max(k) as k, max(t) as t from p group by track_id having max(t) > (select max(t) from p) - 30000")
