@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadlark.config import DENSITY, DISMISSAL_RATE, LOW_LIGHT, PROMOTE_SESSIONS
 from roadlark.functions import geo
+from roadlark.session import checkpointed
 
 
 def stats(events: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -40,7 +43,6 @@ def histogram(df: DataFrame, value: str, step: float, dims: Sequence[str] = ())
 
 def composition(clustered: DataFrame, key: str = "cluster_id", kind: str = "vtype") -> DataFrame:
     """Share of each type in each group."""
-    from pyspark.sql.window import Window
 
     counts = clustered.groupBy(key, kind).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
@@ -110,8 +112,42 @@ def altitude_profile(telemetry: DataFrame, keys: Sequence[str] = ("session_id",)
     return telemetry.groupBy(*keys).agg(F.min("alt").alias("min_alt"), F.max("alt").alias("max_alt"), F.avg("alt").alias("mean_alt"))
 
 
+#: A group of more distinct values is narrowed before its values are ordered, to this many parts at a time.
+ORDERED_VALUES, SPLITS = 4096, 256
+
+
 def percentile(df: DataFrame, value: str, q: float, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}"))
+    """Exact percentile of each group, between neighbours in proportion; null for a group without values. Values are finite.
+
+    Values become counts of equal ones. All groups' ranges are then split in ``SPLITS`` parts at a time, counts tell in
+    which parts the wanted ranks lie, and the range shrinks to those, until no group has more than
+    ``ORDERED_VALUES`` distinct ones left to put in order. No task holds a group.
+    """
+    name = f"p{round(q * 100)}"
+    if not keys:
+        return percentile(df.withColumn("_every", F.lit(1)), value, q, ["_every"]).select(name) if not df.isEmpty() else df.agg(F.lit(None).cast("double").alias(name))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    counts = checkpointed(df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    sound = counts.where("_v is not null")
+    place = (F.col("_all") - 1) * F.lit(float(q))
+    state = sound.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.lit(0).cast("long").alias("_before"), F.count("*").alias("_d"))
+    # each wanted rank narrows its own range
+    state = checkpointed(state.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))))
+    inside = lambda: sound.alias("c").join(state.alias("s"), same("c", "s") & F.col("_v").between(F.col("_low"), F.col("_high"))).select("c.*", "_rank", "_all", "_low", "_high", "_before")
+    own = [*keys, "_rank"]
+    while (state.agg(F.max("_d")).first()[0] or 0) > ORDERED_VALUES:
+        part = F.least(F.lit(SPLITS - 1), F.floor((F.col("_v") / 2 - F.col("_low") / 2) / F.nullif(F.col("_high") / 2 - F.col("_low") / 2, F.lit(0.0)) * SPLITS))
+        parts = inside().groupBy(*own, "_all", "_before", F.coalesce(part, F.lit(0)).alias("_part")).agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*own).orderBy("_part"))  # SPLITS rows at most
+        held = parts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank")))
+        state = checkpointed(held.select(*own, "_all", "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_before"), "_d"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*own).orderBy("_v"))
+    ordered = inside().withColumn("_upto", upto).where(F.col("_upto") > F.col("_rank"))
+    found = ordered.groupBy(*own, "_all").agg(F.min("_v").alias("_v")).groupBy(*keys, "_all").agg(F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"))
+    between = (F.ceil(place) - place) * F.col("_a") + (place - F.floor(place)) * F.col("_b")
+    out = found.select(*keys, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias(name))
+    groups = counts.select(*keys).distinct()
+    return groups.alias("g").join(out.alias("o"), same("g", "o"), "left").select("g.*", name)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -119,7 +155,6 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
 
 def top_k_per(df: DataFrame, group: str, key: str, k: int) -> DataFrame:
-    from pyspark.sql.window import Window
 
     counts = df.groupBy(group, key).agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), key))).where(F.col("rank") <= k)

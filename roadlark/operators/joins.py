@@ -6,7 +6,7 @@ residual, so it shuffles by cell and is never a nested loop over all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,28 +67,56 @@ def intervals(states: DataFrame, keys: Sequence[str], t: str = "t", value: str =
     return states.select(*keys, F.col(value), F.col(t).alias("valid_from"), F.lead(t).over(w).alias("valid_to"))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str = "t", values: Sequence[str] = ("state",)) -> DataFrame:
+#: Seconds of a time bucket. Histories are swept bucket by bucket, so that a key with a long one is no single task.
+SWEEP_S = 3600.0
+
+
+def _swept(rows: DataFrame, keys: Sequence[str], mark: str, seen: Callable[[Column], Column], bucket_s: float) -> DataFrame:
+    """``rows`` (keys, _t, _side, ``mark``) with _seen: ``seen`` over the marks of their keys so far, in the order of (_t, _side).
+
+    Within a bucket it is a window; what the buckets before hold comes from one row a bucket.
+    """
+    bucketed = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket_s))
+    own = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = bucketed.withColumns({"_within": seen(F.col(mark)).over(own), "_end": seen(F.col(mark)).over(whole)})
+    ends = inside.groupBy(*keys, "_bucket").agg(F.first("_end").alias("_end"))
+    before = seen(F.col("_end")).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), before.alias("_before"))
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    return inside.join(carried, on, "left").drop("_b", "_bucket", "_end", *[f"_k_{i}" for i in range(len(keys))])
+
+
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str = "t", values: Sequence[str] = ("state",), bucket_s: float = SWEEP_S) -> DataFrame:
     """Each left row with the values of the last right row of its keys at or before it.
 
-    Both sides go through one window over their union, sorted by time, so the cost is a sort
-    and not the product of the sides.
+    Both sides go through one sweep over their union, sorted by time, so the cost is a sort and
+    not the product of the sides; a key's history is swept in buckets of ``bucket_s``, each with the last values carried in.
     """
     marks = F.struct(*[F.col(v) for v in values])
     columns = left.columns
     a = left.select(F.struct(*columns).alias("_row"), *keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(marks.alias("m")).schema["m"].dataType).alias("_mark"))
     b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), marks.alias("_mark"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_last", F.last("_mark", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_row.*", *[F.col("_last")[v].alias(v) for v in values])
+    both = _swept(a.unionByName(b), keys, "_mark", lambda c: F.last(c, ignorenulls=True), bucket_s).where("_side = 1")
+    return both.withColumn("_last", F.coalesce("_within", "_before")).select("_row.*", *[F.col("_last")[v].alias(v) for v in values])
+
 
+def tag_intervals(events: DataFrame, windows: DataFrame, keys: Sequence[str], tag: str, t: str = "t", bucket_s: float = SWEEP_S) -> DataFrame:
+    """Events with boolean ``tag``: whether an interval [start, end] of their keys holds them.
 
-def tag_intervals(events: DataFrame, windows: DataFrame, keys: Sequence[str], tag: str, t: str = "t") -> DataFrame:
-    """Events with boolean ``tag``: whether an interval [start, end] of their keys holds them."""
-    on = F.lit(True)
+    A sweep over events and starts in time order carries the latest end of what has begun, so the work is
+    linear in both and no event meets a window. Intervals may nest and overlap; one without end,
+    or that ends before it starts, holds nothing, and so does one of a null key.
+    """
+    sound = F.lit(True)
     for k in keys:
-        on = on & (F.col(f"e.{k}") == F.col(f"w.{k}"))
-    hit = events.alias("e").join(windows.alias("w"), on & F.col(f"e.{t}").between(F.col("w.start"), F.col("w.end")), "left_semi").select("event_id").withColumn(tag, F.lit(True))
-    return events.join(hit.distinct(), "event_id", "left").withColumn(tag, F.coalesce(tag, F.lit(False)))
+        sound = sound & F.col(k).isNotNull()
+    a = events.select(F.struct(*events.columns).alias("_row"), *keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_mark"))
+    b = windows.where(sound & (F.col("start") <= F.col("end"))).select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *keys, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_side"), F.col("end").cast("double").alias("_mark"))
+    both = _swept(a.unionByName(b), keys, "_mark", F.max, bucket_s).where("_side = 1")
+    return both.select("_row.*", F.coalesce(F.greatest("_within", "_before") >= F.col("_t"), F.lit(False)).alias(tag))
 
 
 def enrich(events: DataFrame, *lookups: tuple[DataFrame, str]) -> DataFrame:

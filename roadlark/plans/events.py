@@ -215,6 +215,22 @@ def geojson_export(spark, sf_dir):
     return v.select("event_id", geo.point_geojson(F.col("zone_id"), F.col("session_id"), F.struct("vtype")).alias("geojson"))
 
 
+@query(f"""with {V}, z as (select zone_id, zone_id % 5 as x, zone_id % 7 as y, string_agg('[' || session_id || '.0,' || event_id || '.0]', ',' order by t, event_id) as line, count(*) as n from v group by zone_id)
+    select zone_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || line || ']}},"properties":{{"n":' || n || '}}}}' as line,
+    '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || x || '.0,' || y || '.0],[' || x + 3 || '.0,' || y || '.0],[' || x + 3 || '.0,' || y + 2 || '.0],[' || x || '.0,' || y + 2 || '.0],[' || x || '.0,' || y || '.0]]]}},"properties":{{"n":' || n || '}}}}' as ring, true as returns from z where n >= 2""")
+def geojson_shapes(spark, sf_dir):
+    """The line of a zone's events and a rectangle each, as text and back."""
+    from roadlark.functions.geo import from_line_geojson, from_polygon_geojson, line_geojson, polygon_geojson
+
+    place = lambda x, y: F.struct(x.cast("double").alias("lng"), y.cast("double").alias("lat"))
+    line = F.transform(F.sort_array(F.collect_list(F.struct("t", "event_id", "session_id"))), lambda e: place(e["session_id"], e["event_id"]))
+    z = violations(spark, sf_dir).groupBy("zone_id").agg(line.alias("path"), F.count("*").alias("n"))
+    x, y = F.col("zone_id") % 5, F.col("zone_id") % 7
+    z = z.withColumn("area", F.array(place(x, y), place(x + 3, y), place(x + 3, y + 2), place(x, y + 2)))
+    z = z.select("*", line_geojson(F.col("path"), F.struct("n")).alias("line"), polygon_geojson(F.col("area"), F.struct("n")).alias("ring")).where("n >= 2")
+    return z.select("zone_id", "line", "ring", ((from_line_geojson(F.col("line")) == F.col("path")) & (from_polygon_geojson(F.col("ring")) == F.col("area"))).alias("returns"))
+
+
 @query(f"with {V}, z as (select c_custkey as user_id, c_nationkey % 23 as zone_id from customer) select event_id, zone_id from v where zone_id in (select zone_id from z where user_id = 57)")
 def rbac_zone_scope(spark, sf_dir):
     z = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as user_id", "c_nationkey % 23 as zone_id")

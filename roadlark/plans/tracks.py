@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from roadlark.functions import geo, kinematics, scores
 from roadlark.operators import aggregates as agg
-from roadlark.operators import filters, joins, lists, metrics, rules, tracking
+from roadlark.operators import filters, forest, joins, lists, metrics, rules, tracking
 from roadlark.operators import windows as win
-from roadlark.plans.fixtures import P, PZ, metres, signals, track_points, violations, zones
+from roadlark.plans.fixtures import P, PZ, events, metres, signals, track_points, violations, zones
 from roadlark.plans.registry import query
 
 
@@ -223,4 +223,63 @@ def trajectory_hull(spark, sf_dir):
 @query()
 def isolation_outliers(spark, sf_dir):
     features = win.deltas(track_points(spark, sf_dir)).where("dt is not null").groupBy("track_id").agg(F.avg("step_kmh").alias("mean_kmh"), F.max("step_kmh").alias("top_kmh"))
-    return tracking.robust_outliers(features, ("mean_kmh", "top_kmh"), "track_id")
+    return forest.isolation_forest(features, ("mean_kmh", "top_kmh"), "track_id")
+
+
+#: Camera of a track point: tilted by up to 25 degrees from straight down, or nearly level, where upper pixels see no ground.
+CAMERA = {"yaw": "k * 7 % 360", "pitch": "case when k % 10 = 0 then -4 else -90 + k % 25 end", "roll": "k % 11 - 5", "px": "k * 17 % 1920", "py": "k * 11 % 1080"}
+RAY = """r0 as (select *, radians(yaw) as a, radians(pitch) as b, radians(roll) as c, (px - 960) / 1500e0 as u, (py - 540) / 1500e0 as v from (select *, {cols} from p)),
+  r1 as (select *, u * cos(c) - v * sin(c) as rt, u * sin(c) + v * cos(c) as be from r0),
+  r2 as (select *, (cos(b) + be * sin(b)) * sin(a) + rt * cos(a) as east, (cos(b) + be * sin(b)) * cos(a) - rt * sin(a) as north, be * cos(b) - sin(b) as down from r1),
+  r3 as (select *, down > 0 and 120 * sqrt(east * east + north * north) <= 10000 * down as seen from r2)""".format(cols=", ".join(f"{v} as {k}" for k, v in CAMERA.items()))
+
+
+@query(f"with {P}, {RAY} select track_id, k, case when seen then round(lat + north * 120 / down / 111195.0802335329e0, 7) end as lat, case when seen then round(lng + east * 120 / down / (111195.0802335329e0 * cos(radians(lat))), 7) end as lng from r3")
+def tilted_projection(spark, sf_dir):
+    p = track_points(spark, sf_dir).selectExpr("*", *[f"{v} as {k}" for k, v in CAMERA.items()])
+    angles = [F.col(c) for c in ("yaw", "pitch", "roll")]
+    at = geo.pixel_to_ground(F.col("px"), F.col("py"), F.lit(1920), F.lit(1080), F.lit(1500.0), *angles, F.lit(120.0), F.col("lat"), F.col("lng"))
+    return p.withColumn("at", at).select("track_id", "k", F.round("at.lat", 7).alias("lat"), F.round("at.lng", 7).alias("lng"))
+
+
+#: The classic series of transverse Mercator in powers of the longitude's distance, another one than the operator's.
+UTM = """u0 as (select *, 6378137e0 as a, 1 / 298.257223563e0 as f, radians(lat) as phi, cast(floor((lng + 180) / 6) + 1 as int) as zone from p),
+  u1 as (select *, f * (2 - f) as e, f * (2 - f) / (1 - f * (2 - f)) as ep, radians(lng - (zone * 6 - 183)) * cos(phi) as s, power(tan(phi), 2) as tt from u0),
+  u2 as (select *, a / sqrt(1 - e * power(sin(phi), 2)) as n, ep * power(cos(phi), 2) as c,
+    a * ((1 - e / 4 - 3 * e * e / 64 - 5 * power(e, 3) / 256) * phi - (3 * e / 8 + 3 * e * e / 32 + 45 * power(e, 3) / 1024) * sin(2 * phi) + (15 * e * e / 256 + 45 * power(e, 3) / 1024) * sin(4 * phi) - 35 * power(e, 3) / 3072 * sin(6 * phi)) as m from u1),
+  u3 as (select *, 500000 + 0.9996e0 * n * (s + (1 - tt + c) * power(s, 3) / 6 + (5 - 18 * tt + tt * tt + 72 * c - 58 * ep) * power(s, 5) / 120) as x,
+    0.9996e0 * (m + n * tan(phi) * (s * s / 2 + (5 - tt + 9 * c + 4 * c * c) * power(s, 4) / 24 + (61 - 58 * tt + tt * tt + 600 * c - 330 * ep) * power(s, 6) / 720)) as y from u2)"""
+
+
+@query(f"with {P}, {UTM} select track_id, k, zone, round(x, 1) as x, round(y, 1) as y, true as returns from u3")
+def utm_projection(spark, sf_dir):
+    p = track_points(spark, sf_dir).withColumn("u", geo.to_utm(F.col("lat"), F.col("lng")))
+    back = geo.from_utm(F.col("u.x"), F.col("u.y"), F.col("u.zone"), F.col("u.north"))
+    returns = geo.haversine(F.col("lat"), F.col("lng"), F.col("back.lat"), F.col("back.lng")) < 0.01
+    return p.withColumn("back", back).select("track_id", "k", "u.zone", F.round("u.x", 1).alias("x"), F.round("u.y", 1).alias("y"), returns.alias("returns"))
+
+
+#: Six truths of a class side by side in a frame, each overlapping the next, and two predictions a truth, off by up to four pixels.
+BOXES = "select event_id, event_id {div} 2 {div} 12 as frame_no, event_id {div} 2 % 2 as kind, event_id {div} 2 % 12 {div} 2 * 6 as place, event_id * 7 % 9 - 4 as off, (50 + event_id * 37 % 50) / 100{d} as confidence from "
+MAP = """with recursive b as (""" + BOXES.format(div="//", d="e0") + """events), truth as (select event_id as truth_id, frame_no, kind, place from b where event_id % 2 = 0),
+  near as (select b.event_id, list({'far': -o, 'id': truth_id} order by -o, truth_id) as c from (select b.event_id, truth_id, greatest(0, 10 - abs(b.place + off - truth.place)) * 10e0 / (200 - greatest(0, 10 - abs(b.place + off - truth.place)) * 10) as o from b join truth using (frame_no, kind)) b where o >= 0.5e0 group by all),
+  ranked as (select b.*, coalesce(c, []) as c, row_number() over (partition by frame_no, kind order by confidence desc, event_id) as r from b left join near using (event_id)),
+  steps as (select round(0.5e0 + 0.05e0 * k, 2) as s from range(10) t(k)),
+  walk as (select frame_no, kind, s, cast(0 as bigint) as r, cast([] as bigint[]) as taken, 0e0 as confidence, false as hit from (select distinct frame_no, kind from b), steps
+    union all select frame_no, kind, s, r, case when free is null then taken else list_append(taken, free) end, confidence, free is not null
+    from (select w.frame_no, w.kind, s, n.r, taken, n.confidence, list_filter(n.c, lambda x: x.far <= -s and not list_contains(taken, x.id))[1].id as free from walk w join ranked n on n.frame_no = w.frame_no and n.kind = w.kind and n.r = w.r + 1)),
+  points as (select kind, s, confidence, count(*) as n, sum(hit::int) as h from walk where r > 0 group by all),
+  curve as (select *, sum(h) over w / sum(n) over w as pr from points window w as (partition by kind, s order by confidence desc)),
+  env as (select *, max(pr) over (partition by kind, s order by confidence) as e from curve),
+  ap as (select kind, s, sum(h * e) / (select count(*) from truth where truth.kind = env.kind) as ap from env group by kind, s),
+  each as (select kind, max(case when s = 0.5e0 then ap end) as ap_50, max(case when s = 0.75e0 then ap end) as ap_75, avg(ap) as map from ap group by kind)
+  select kind, round(ap_50, 6) as ap_50, round(ap_75, 6) as ap_75, round(map, 6) as map from each union all select null, round(avg(ap_50), 6), round(avg(ap_75), 6), round(avg(map), 6) from each"""
+
+
+@query(MAP)
+def mean_average_precision(spark, sf_dir):
+    b = events(spark, sf_dir).selectExpr(*BOXES.format(div="div", d="D").removeprefix("select ").removesuffix(" from ").split(", "))
+    box = lambda x: F.struct(x.cast("double").alias("x1"), F.lit(0.0).alias("y1"), (x + 10).cast("double").alias("x2"), F.lit(10.0).alias("y2")).alias("box")
+    pred = b.select("frame_no", "kind", F.col("event_id").alias("pred_id"), "confidence", box(F.col("place") + F.col("off")))
+    truth = b.where("event_id % 2 = 0").select("frame_no", "kind", F.col("event_id").alias("truth_id"), box(F.col("place")))
+    return metrics.mean_average_precision(pred, truth, ["frame_no", "kind"], "kind").select("kind", *[_r6(c) for c in ("ap_50", "ap_75", "map")])
