@@ -10,6 +10,7 @@ from roadlark.operators import filters, joins, lists, metrics
 from roadlark.operators import windows as win
 from roadlark.plans.fixtures import DAY0, V, metres, violations
 from roadlark.plans.registry import query
+from roadlark.streaming import matching
 
 R6 = "round({}, 6)"
 LAT = 17.7  # no fixture event lies further north
@@ -273,3 +274,20 @@ def scenario_affected_events(spark, sf_dir):
 @query(f"with {V} select zone_id, t as valid_from, lead(t) over (partition by zone_id order by t, event_id) as valid_to from v")
 def zone_version_intervals(spark, sf_dir):
     return win.zone_versions(violations(spark, sf_dir), tie="event_id").select("zone_id", "valid_from", "valid_to")
+
+
+@query(f"with {V}, x as (select distinct b.event_id from v a join v b on a.vtype = b.vtype and a.session_id <> b.session_id and abs(a.t - b.t) <= 5 and abs(a.lat - b.lat) < 0.001 and {metres('a', 'b')} <= 10e0 and (a.confidence > b.confidence or a.confidence = b.confidence and a.event_id < b.event_id)) select event_id, case when event_id in (select event_id from x) then 'duplicate' else status end as status from v")
+def cross_session_replay(spark, sf_dir):
+    """The stream's verdict on every event, once all are through."""
+    v = violations(spark, sf_dir).drop("ts")
+    return matching.replayed(spark, {"events": v}, lambda events: matching.cross_session_stream(events, most_lat=17.7)).select("event_id", "status")
+
+
+@query(f"with {V}, s as (select zone_id, t, event_id as state from v where event_id % 7 = 0), x as (select zone_id, event_id, t from v where event_id % 7 = 3) select event_id, zone_id, (select max_by(state, (t, state)) from s where s.zone_id = x.zone_id and s.t <= x.t) as state from x")
+def signal_replay(spark, sf_dir):
+    """The state of a zone at its crossings, from two streams."""
+    v = violations(spark, sf_dir)
+    s = v.where("event_id % 7 = 0").select("zone_id", "t", F.col("event_id").alias("state"))
+    x = v.where("event_id % 7 = 3").select("event_id", "zone_id", "t")
+    build = lambda crossings, signals: matching.asof_stream(crossings, signals, "zone_id")
+    return matching.replayed(spark, {"crossings": x, "signals": s}, build, keys=["zone_id"]).select("event_id", "zone_id", "state")

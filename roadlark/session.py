@@ -32,12 +32,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpointed(frame):
-    """``frame`` written to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="roadlark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
 
-    The folder is ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own.
-    """
+def checkpointed(frame):
+    """``frame`` written to the shared checkpoint folder, with its lineage cut."""
     sc = frame.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="roadlark-"))
+        sc.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
