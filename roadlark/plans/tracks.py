@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadlark.functions import geo, kinematics, scores
 from roadlark.operators import aggregates as agg
-from roadlark.operators import filters, forest, joins, lists, metrics, rules, tracking
+from roadlark.operators import assignment, filters, forest, joins, lists, metrics, rules, tracking
 from roadlark.operators import windows as win
 from roadlark.plans.fixtures import P, PZ, events, metres, signals, track_points, violations, zones
 from roadlark.plans.registry import query
@@ -283,3 +283,14 @@ def mean_average_precision(spark, sf_dir):
     pred = b.select("frame_no", "kind", F.col("event_id").alias("pred_id"), "confidence", box(F.col("place") + F.col("off")))
     truth = b.where("event_id % 2 = 0").select("frame_no", "kind", F.col("event_id").alias("truth_id"), box(F.col("place")))
     return metrics.mean_average_precision(pred, truth, ["frame_no", "kind"], "kind").select("kind", *[_r6(c) for c in ("ap_50", "ap_75", "map")])
+
+
+@query(f"with {P} select count(*) as truths, count(*) filter (k % 10 = 0) as misses, cast(0 as bigint) as false_alarms, cast(0 as bigint) as switches, round(1 - count(*) filter (k % 10 = 0) / count(*), 6) as mota from p")
+def assigned_tracks(spark, sf_dir):
+    """Twenty vehicles to a session, neighbours driving through each other; every tenth frame is unseen, no track is lost or swapped."""
+    p = track_points(spark, sf_dir).selectExpr("track_id", "track_id div 20 as session_id", "k as frame_no", "track_id * 100000 + k as det_id", "t", "track_id % 20 * 40 + k * (case when track_id % 2 = 0 then 3 else -3 end) as x")
+    box = F.struct(F.col("x").cast("double").alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") + 25).cast("double").alias("x2"), F.lit(12.0).alias("y2"))
+    seen = p.where("frame_no % 10 <> 0").select("session_id", "frame_no", "det_id", box.alias("box"))
+    named = assignment.assign_tracks(seen, chunk_frames=40, shared_frames=8)
+    matched = p.join(named.select("det_id", F.col("assigned_track").alias("pred_track")), "det_id", "left").withColumnRenamed("track_id", "truth_id")
+    return metrics.tracking_metrics(matched).select("truths", "misses", "false_alarms", "switches", _r6("mota"))

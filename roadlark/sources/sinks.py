@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from roadlark.functions.geo import point_geojson
 from roadlark.operators.anomalies import upsert
@@ -44,16 +46,76 @@ def partitioned_events(events: DataFrame, path: str, ts: str = "ts") -> None:
     events.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)}).repartition("year", "month", "day").write.mode("append").partitionBy("year", "month", "day").parquet(path)
 
 
+#: Hash buckets of an upserted table: a version rewrites those that its rows fall into.
+BUCKETS = 64
+
+
+def _text(spark: SparkSession, path: str, write: str | None = None) -> str | None:
+    """A small file's text, None if there is none; ``write`` replaces it in one step, by renaming."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if write is None:
+        if not files.exists(place):
+            return None
+        stream = files.open(place)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    draft = jvm.org.apache.hadoop.fs.Path(path + ".draft")
+    stream = files.create(draft, True)
+    try:
+        stream.write(write.encode())
+    finally:
+        stream.close()
+    if not files.rename(draft, place):
+        raise OSError(f"{path} exists already")
+    return write
+
+
+def table_version(spark: SparkSession, path: str, version: int) -> dict[str, int] | None:
+    """The generation of each bucket of a version, None if it was never finished."""
+    found = _text(spark, f"{path}/versions/{version}.json")
+    return None if found is None else json.loads(found)
+
+
+def read_table(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A whole version of an upserted table, whatever is being written beside it."""
+    parts = table_version(spark, path, version)
+    if parts is None:
+        raise ValueError(f"{path} has no version {version}")
+    schema = StructType.fromJson(json.loads(_text(spark, f"{path}/schema.json")))
+    places = [f"{path}/data/generation={g}/bucket={b}" for b, g in sorted(parts.items())]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
 def upsert_table(fresh: DataFrame, path: str, version: int, keys: tuple[str, ...] = ("anomaly_id",)) -> DataFrame:
-    """Merges into a new version of the table beside the old one; readers never see half a write."""
+    """Merges into a new version of the table; only buckets of the keys in ``fresh`` are read and written again.
+
+    A version is a small file that names each bucket's generation; it appears last and in one step, so readers
+    see whole versions, files of untouched buckets stay as they are, and a version that exists already is not added twice.
+    What a failed attempt wrote is overwritten by the next one.
+    """
     spark = fresh.sparkSession
-    before = f"{path}/v{version - 1}"
-    if _exists(spark, before):
-        merged = upsert(spark.read.parquet(before), fresh, keys).drop("action")
+    if table_version(spark, path, version) is not None:
+        return read_table(spark, path, version)
+    before = (table_version(spark, path, version - 1) or {}) if version > 1 else {}
+    columns = [*keys, "severity", "n_dets", "first_seen", "last_seen"]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    new = fresh.select(*columns, bucket.alias("bucket"))
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # BUCKETS at most
+    old = {str(b): before[str(b)] for b in touched if str(b) in before}
+    if old:
+        kept = spark.read.schema(new.drop("bucket").schema).parquet(*[f"{path}/data/generation={g}/bucket={b}" for b, g in old.items()])
+        merged = upsert(kept, new, keys).drop("action").withColumn("bucket", bucket)
     else:
-        merged = fresh.select(*keys, "severity", "n_dets", "first_seen", "last_seen")
-    merged.write.mode("overwrite").parquet(f"{path}/v{version}")
-    return spark.read.parquet(f"{path}/v{version}")
+        merged = new
+    merged.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/generation={version}")
+    if _text(spark, f"{path}/schema.json") is None:
+        _text(spark, f"{path}/schema.json", new.drop("bucket").schema.json())
+    _text(spark, f"{path}/versions/{version}.json", json.dumps(before | {str(b): version for b in touched}))
+    return read_table(spark, path, version)
 
 
 def write_tracks(points: DataFrame, path: str) -> None:
