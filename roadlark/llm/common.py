@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,11 +63,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_recording: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[Scratch]]:
+    """The scratches that are made inside, for a caller who knows when their tables have been read."""
+    made: list[Scratch] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they wait for
+    the driver to need memory, and the steps of a long job add up on the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written in the shared folder: they cut the lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/roadlark-{name}-{uuid.uuid4().hex}"
+        for made in _recording:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlark.llm.common import Scratch, arrow_limits, n_tasks, packed_columns, row_key, trim, unpacked
+from roadlark.llm.common import Scratch, arrow_limits, n_tasks, packed_columns, release, row_key, trim, unpacked
 from roadlark.llm.components import components
 from roadlark.llm.hashing import mix, set_id, set_ids, shingle_sets
 
@@ -196,7 +196,8 @@ def _rows(schema: pa.Schema, size: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := given.get(f.name), pa.Array) else pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for f in schema], schema=schema)
 
 
-#: kind 0: a document; 1: postings of a run in one range; 2: the nodes of a run.
+#: kind 0: a document; 1: postings of a run in one range, of shingles that it holds once; 2: the nodes of a run;
+#: 3: its postings of shingles that it holds more often, whose range gets only (4) how often.
 SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *[(c, pa.int64()) for c in ("row_key", "doc_id", "node")], ("n", pa.int32()), ("run", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 COUNTED = pa.schema([SENT.field(k) for k in range(1, len(SENT))])
 #: kind 0: a node with its point and recurring shingles; 1: prefix postings in one range.
@@ -222,11 +223,21 @@ def _posted(docs: DataFrame, ranges: int) -> DataFrame:
             nonlocal runs
             both = np.sort(np.concatenate(held))  # 48 bits of the shingle, 16 of the document's place
             shingles, places = both >> np.uint64(16), (both & np.uint64(FLUSH_DOCS - 1)).astype("<u2")
-            cuts, run = _cuts(shingles, ranges), (part << 31) + runs
+            run = (part << 31) + runs
             runs += 1
+            first = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
+            times = np.diff(np.r_[first, len(shingles)])
+            often, local = times > 1, np.repeat(times > 1, times)
+            alone, those, again, times = shingles[~local], places[~local], shingles[first[often]], times[often].astype("<u4")
+            cuts, more = _cuts(alone, ranges), _cuts(again, ranges)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[r], cuts[r + 1])
-                yield _rows(SENT, 1, part=[r], kind=[1], run=[run], x=[pack(shingles[own])], y=[places[own].tobytes()])
+                yield _rows(SENT, 1, part=[r], kind=[1], run=[run], x=[pack(alone[own])], y=[those[own].tobytes()])
+            for r in np.flatnonzero(np.diff(more)).tolist():
+                own = slice(more[r], more[r + 1])
+                yield _rows(SENT, 1, part=[r], kind=[4], run=[run], x=[pack(again[own])], z=[times[own].tobytes()])
+            if local.any():
+                yield _rows(SENT, 1, part=[run % ranges], kind=[3], run=[run], x=[pack(shingles[local])], y=[places[local].tobytes()])
             yield _rows(SENT, 1, part=[run % ranges], kind=[2], run=[run], x=[np.array(nodes, "<i8").tobytes()], y=[np.array(sizes, "<u4").tobytes()])
             for own in (held, nodes, sizes):
                 own.clear()
@@ -260,30 +271,38 @@ def _posted(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _recurring(posted: DataFrame) -> DataFrame:
-    """Of the postings those whose shingle two documents or more have, with its frequency, by run."""
+    """Of the postings those whose shingle two documents or more have, with its frequency, by run.
+
+    A shingle comes to its range once from each run, however many documents have it.
+    """
 
     def count(table: pa.Table) -> pa.Table:
-        rest = table.filter(pc.not_equal(table["kind"], 1)).select(COUNTED.names)
-        posts = table.filter(pc.equal(table["kind"], 1)).select(["run", "x", "y"])
+        counts = pc.is_in(table["kind"], pa.array([1, 4], pa.int32()))
+        rest = table.filter(pc.invert(counts)).select(COUNTED.names)
+        posts = table.filter(counts).select(["kind", "run", "x", "y", "z"])
         out = [rest.cast(COUNTED)]
         if len(posts):
             runs = np.unique(posts["run"].to_numpy())
-            places = [np.frombuffer(y.as_py(), "<u2") for y in posts["y"]]
-            shingles = np.concatenate([unpack(x.as_py(), len(y)) for x, y in zip(posts["x"], places, strict=True)])
-            run = np.repeat(np.searchsorted(runs, posts["run"].to_numpy()).astype(np.int32), [len(y) for y in places])
-            places = np.concatenate(places)
+            many = [len(y) // 2 if y is not None else len(z) // 4 for y, z in zip(posts["y"].to_pylist(), posts["z"].to_pylist(), strict=True)]
+            places = np.concatenate([np.frombuffer(y, "<u2") if y is not None else np.zeros(n, np.uint16) for y, n in zip(posts["y"].to_pylist(), many, strict=True)])
+            weight = np.concatenate([np.frombuffer(z, "<u4").astype(np.int64) if z is not None else np.ones(n, np.int64) for z, n in zip(posts["z"].to_pylist(), many, strict=True)])
+            shingles = np.concatenate([unpack(x, n) for x, n in zip(posts["x"].to_pylist(), many, strict=True)])
+            run = np.repeat(np.searchsorted(runs, posts["run"].to_numpy()).astype(np.int32), many)
+            alone = np.repeat(posts["kind"].to_numpy() == 1, many)
             order = np.argsort(shingles)
             shingles = shingles[order]
             first = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
-            times = np.repeat(np.diff(np.r_[first, len(shingles)]), np.diff(np.r_[first, len(shingles)]))
+            times = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.r_[first, len(shingles)]))
             often = times > 1
-            order, shingles, times = order[often], shingles[often], times[often].astype("<u4")
-            by_run = np.argsort(run[order], kind="stable")
-            run, places, shingles, times = run[order][by_run], places[order][by_run], shingles[by_run], times[by_run]
-            cuts = np.searchsorted(run, np.arange(len(runs) + 1))
-            some = np.flatnonzero(np.diff(cuts)).tolist()
-            parts = [slice(cuts[k], cuts[k + 1]) for k in some]
-            out.append(pa.Table.from_batches([_rows(COUNTED, len(some), kind=np.ones(len(some), np.int32), run=runs[some], x=[pack(shingles[p]) for p in parts], y=[places[p].tobytes() for p in parts], z=[times[p].tobytes() for p in parts])]))
+            order, shingles, times = order[often], shingles[often], np.minimum(times[often], (1 << 32) - 1).astype("<u4")
+            for kind, mine in ((1, alone[order]), (4, ~alone[order])):
+                at, own, n = order[mine], shingles[mine], times[mine]
+                by_run = np.argsort(run[at], kind="stable")
+                place, own, n = places[at][by_run], own[by_run], n[by_run]
+                cuts = np.searchsorted(run[at][by_run], np.arange(len(runs) + 1))
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                parts = [slice(cuts[k], cuts[k + 1]) for k in some]
+                out.append(pa.Table.from_batches([_rows(COUNTED, len(some), kind=np.full(len(some), kind, np.int32), run=runs[some], x=[pack(own[p]) for p in parts], y=[place[p].tobytes() for p in parts] if kind == 1 else None, z=[n[p].tobytes() for p in parts])]))
         trim()
         return pa.concat_tables(out)
 
@@ -295,13 +314,18 @@ def _chosen(counted: DataFrame, ranges: int) -> DataFrame:
 
     def choose(table: pa.Table) -> pa.Table:
         names = table.filter(pc.equal(table["kind"], 2)).to_pylist()[0]
-        posts = table.filter(pc.equal(table["kind"], 1)).select(["x", "y", "z"])
+        posts, local, known = (table.filter(pc.equal(table["kind"], k)).select(["x", "y", "z"]).to_pylist() for k in (1, 3, 4))
         nodes, sizes = np.frombuffer(names["x"], "<i8"), np.frombuffer(names["y"], "<u4").astype(np.int64)
-        if not len(posts):
+        if not posts and not local:
             return pa.table({f.name: pa.nulls(0, f.type) for f in CHOSEN}, schema=CHOSEN)
-        places = [np.frombuffer(y.as_py(), "<u2") for y in posts["y"]]
-        shingles = np.concatenate([unpack(x.as_py(), len(y)) for x, y in zip(posts["x"], places, strict=True)])
-        place, times = np.concatenate(places), np.concatenate([np.frombuffer(z.as_py(), "<u4") for z in posts["z"]])
+        shingles = [unpack(r["x"], len(r["y"]) // 2) for r in posts + local]
+        place = np.concatenate([np.frombuffer(r["y"], "<u2") for r in posts + local])
+        times = [np.frombuffer(r["z"], "<u4") for r in posts]
+        if local:
+            asked, told = np.concatenate([unpack(r["x"], len(r["z"]) // 4) for r in known]), np.concatenate([np.frombuffer(r["z"], "<u4") for r in known])
+            order = np.argsort(asked)
+            times += [told[order[np.searchsorted(asked[order], own)]] for own in shingles[len(posts) :]]
+        shingles, times = np.concatenate(shingles), np.concatenate(times)
         order = np.lexsort((shingles, times, place))
         place, times, shingles = place[order], times[order], shingles[order]
         cuts = np.searchsorted(place, np.arange(len(nodes) + 1))
@@ -503,7 +527,11 @@ def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, component_id, n_copies (documents of its shingle set)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
+    return _joined(docs, Scratch(docs.sparkSession, "jaccard"), text, doc_id)
+
+
+def _joined(docs: DataFrame, scratch: Scratch, text: str, doc_id: str) -> DataFrame:
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     with arrow_limits(spark):
         labels, nodes = _components(docs, scratch)
@@ -525,6 +553,7 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     nodes = scratch.save(counted.where("kind = 0").select("row_key", "doc_id", "node", "n"), "nodes")
     chosen = scratch.save(_chosen(counted, ranges), "chosen")
     scratch.drop("counted")
+    release(spark)  # the postings' shuffle
     members = scratch.save(_largest_cells(scratch.save(_members(chosen), "cells")), "members")
     # points lie in buckets of their node, so that no later join deals them again
     points = chosen.where("kind = 0").select("node", "n", "k", F.col("x").alias("counts"), F.col("y").alias("shingles")).repartition(ranges, "node")
@@ -532,6 +561,7 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     points = scratch.save_bucketed(points, "points", "node", ranges)
     for done in ("chosen", "cells"):
         scratch.drop(done)
+    release(spark)
     # the parts of a salted cell meet by their smallest nodes
     tops = members.where("top <> 0").groupBy("top", "cell").agg(F.min("node").alias("node"))
     top_pairs = tops.join(tops.groupBy("top").agg(F.min("node").alias("least")), "top").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -568,10 +598,12 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     Documents without shingles or without doc_id all stay, but for repeats of one row (equal
     doc_id and text).
     """
-    scratch = Scratch(docs.sparkSession, "keep")
-    joined = join(docs, text=text, doc_id=doc_id)
+    scratch, own = Scratch(docs.sparkSession, "keep"), Scratch(docs.sparkSession, "jaccard")
+    joined = _joined(docs, own, text, doc_id)
     stay = joined.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = scratch.save(stay.groupBy("row_key").agg(F.count("*").alias("rows")), "stay")
+    own.drop()
+    release(docs.sparkSession)
     keyed = packed_columns(docs, doc_id, text, renamed=("doc_id", "body")).select(row_key("doc_id", "body").alias("row_key"), "row").join(stay, "row_key")
     # repeats of one row are few; only they go through a distinct of whole rows
     kept = keyed.where("rows = 1").unionByName(keyed.where("rows > 1").dropDuplicates(["row_key"]))

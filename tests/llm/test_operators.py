@@ -635,6 +635,31 @@ def test_water_fill():
     assert mixing.water_fill([], [], 0, 2.0) == [] and mixing.water_fill([0, 5], [1, 1], 7.5, 2.0) == [0.0, 7.5]
 
 
+# a passage in every document
+
+
+def test_a_common_passage_reaches_no_range_whole(spark):
+    """Each run of documents sends a shingle's count to its range, so ranges grow with runs and not with its documents."""
+    from pyspark.sql import functions as F
+
+    common = prose(77, 60)
+    rows = [(i, prose(1000 + i, 20) + " " + common) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, _text string").repartition(3)
+    posted = jaccard._posted(docs, 8)
+    sent = posted.where("kind in (1, 4)").groupBy("part").agg(F.sum(F.length("x") + F.coalesce(F.length("y"), F.length("z"))).alias("bytes"))
+    sizes = sorted(r["bytes"] for r in sent.collect())
+    assert len(sizes) == 8 and sizes[-1] < 1.5 * sizes[0]
+    counts = [r["z"] for r in posted.where("kind = 4").select("z").collect()]
+    assert sum(int(np.frombuffer(z, "<u4").max()) for z in counts) >= 1500 and sum(len(z) // 4 for z in counts) < 3 * 400
+    out = jaccard.join(docs.withColumnRenamed("_text", "text")).collect()
+    assert len(out) == 1500
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = {i: shingles(t) for i, t in rows[:40]}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    component = {r["doc_id"]: r["component_id"] for r in out}
+    assert all(component[a] == component[b] for a, b in links)
+
+
 # 11 Merkle manifest
 
 
