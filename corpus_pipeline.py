@@ -2,17 +2,44 @@
 
 Every stage takes all that its predecessor kept and returns the columns of ``documents``, the
 last one the encoded documents. An empty ``documents`` table gives an empty result.
+
+A stage's result is written before the next stage reads it, so each stage deletes what the stages before it in
+this run left in the shared folder, but for tables that its own input still reads.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from roadlark.llm import bpe, jaccard, mixing, pii, quality
-from roadlark.llm.common import Scratch, documents
+from roadlark.llm.common import Scratch, documents, recorded
 from roadlark.llm.queries import byte_bpe_file
 
 
+_left: list[Scratch] = []
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``work``, after what the stages before it left is deleted; the first one begins a new run and deletes nothing."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = [] if first or not _left else docs.inputFiles()
+        for scratch in [] if first else _left:
+            if scratch.spark is spark and not any(scratch.root.removeprefix("file://") in file for file in read):
+                scratch.drop()
+        _left.clear()
+        with recorded() as made:
+            out = work(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject, and lines that too many of a host's documents share."""
     return quality.clean(docs)
@@ -39,11 +66,11 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near duplicates", near_duplicates),
-    ("personal data", personal_data),
-    ("mixture", mixture),
-    ("encoding", encoding),
+    ("quality rules", _stage(quality_rules, first=True)),
+    ("near duplicates", _stage(near_duplicates)),
+    ("personal data", _stage(personal_data)),
+    ("mixture", _stage(mixture)),
+    ("encoding", _stage(encoding)),
 ]
 
 #: SQL expresses neither the shingle join's components nor BPE; tests compare with brute force.
