@@ -31,16 +31,26 @@ def place_context(dets: DataFrame, zones: DataFrame, key: str, kind: str = "anom
     )
 
 
+#: What a zone table may say of a place for the traffic rules.
+ZONE_FLAGS = ("at_intersection", "near_school", "multi_lane")
+
+
+def zone_context(events: DataFrame, zones: DataFrame, key: str, kind: str = "vtype") -> DataFrame:
+    """Per key and type, whether most of its events lie in zones at an intersection, near a school or hospital, on several lanes."""
+    marked = events.join(zones.select("zone_id", *ZONE_FLAGS), "zone_id", "left")
+    return marked.groupBy(key, kind).agg(*[(F.count_if(F.coalesce(F.col(f), F.lit(False))) * 2 > F.count("*")).alias(f) for f in ZONE_FLAGS])
+
+
 def apply_rules(profiles: DataFrame, rules: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Profiles (key, vtype, n, share) against the rule table: a share strictly above a rule's makes a recommendation.
 
-    What a rule needs of the place is a boolean column of the profiles of that name; null does
-    not hold. Profiles without the column say nothing of it, and the share alone decides.
+    What a rule needs of the place is a boolean column of the profiles of that name. Null does not
+    hold, and neither does a column that the profiles lack: a rule is never weaker than it is written.
     """
     found = profiles.join(F.broadcast(rules), "vtype").where(F.col("share") > F.col("least_share"))
     for need in sorted({n for *_, needs in RECOMMENDATIONS for n in needs}):
-        if need in profiles.columns:
-            found = found.where(~F.array_contains("needs", need) | F.coalesce(F.col(need), F.lit(False)))
+        holds = F.coalesce(F.col(need), F.lit(False)) if need in profiles.columns else F.lit(False)
+        found = found.where(~F.array_contains("needs", need) | holds)
     return found.drop("needs")
 
 
@@ -78,10 +88,11 @@ def session_report(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.count("*").alias("n_events"), F.count_distinct("track_id").alias("vehicles"), F.avg("confidence").alias("mean_confidence"), F.percentile("confidence", F.lit(0.5)).alias("median_confidence"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-def planning_report(clustered: DataFrame, events: DataFrame, months: float) -> DataFrame:
-    """Cluster profile, recommendation and the projected rate after it."""
+def planning_report(clustered: DataFrame, events: DataFrame, zones: DataFrame, months: float) -> DataFrame:
+    """Cluster profile, recommendation and the projected rate after it; ``zones`` tell what the rules ask of the place."""
     spark = clustered.sparkSession
-    profiles = composition(clustered)
+    placed = clustered.select("event_id", "cluster_id", "vtype").join(events.select("event_id", "zone_id"), "event_id")
+    profiles = composition(clustered).join(zone_context(placed, zones, "cluster_id"), ["cluster_id", "vtype"])
     rec = apply_rules(profiles, rule_table(spark))
     effect = impact_table(spark).select("vtype", "mid")
     return rec.join(F.broadcast(effect), "vtype", "left").select("cluster_id", "vtype", "n", "share", "rec_type", (F.col("n") / F.lit(months)).alias("before"), (F.col("n") / F.lit(months) * (1 - F.coalesce("mid", F.lit(0.0)))).alias("after"))

@@ -119,20 +119,26 @@ def cluster_profile(spark, sf_dir):
 
 
 REC = "rules(vtype, least_share, rec_type, mid) as (values ('red_light', 0.4, 'signal', 0.75), ('speeding', 0.4, 'speed_bump', 0.65), ('wrong_way', 0.4, 'one_way', 0.89), ('lane', 0.5, 'signage', 0.5))"
-Z = f"{V}, {REC}, c as (select zone_id, vtype, count(*) as n from v group by all), f as (select *, n / sum(n) over (partition by zone_id) as share from c)"
+#: Zones by number: every other one at an intersection, and so on; with {z} for the number.
+FLAGS = {"at_intersection": "{z} % 2 = 0", "near_school": "{z} % 5 <> 4", "multi_lane": "{z} % 3 <> 1"}
+#: What the traffic rules need, as SQL over columns of these names.
+NEEDS = "case vtype when 'red_light' then at_intersection when 'speeding' then near_school when 'lane' then multi_lane else true end"
+#: Seventy road segments, each with a type of its own that two thirds of its events have.
+SEGMENT = "case when event_id {div} 2 % 3 = 0 then event_id {div} 2 * 31 % 70 else event_id {div} 2 % 10 * 7 + event_id {div} 2 {div} 10 % 7 end"
+Z = f"{V}, {REC}, c as (select {SEGMENT.format(div='//')} as segment, vtype, count(*) as n from v group by all), f as (select *, n / sum(n) over (partition by segment) as share, {', '.join(e.format(z='segment') + ' as ' + k for k, e in FLAGS.items())} from c)"
 
 
-def zone_profiles(spark, sf_dir, scale: float):
-    """Composition of each zone; thresholds are scaled, since zones mix all types."""
-    profiles = agg.composition(violations(spark, sf_dir), "zone_id")
-    rules = planning.rule_table(spark).withColumn("least_share", F.col("least_share") * scale)
-    return profiles, rules
+def zone_flags(spark, n: int):
+    return spark.range(n).selectExpr("id as zone_id", *[f"{e.format(z='id')} as {k}" for k, e in FLAGS.items()])
 
 
-@query(f"with {Z} select zone_id, vtype, n, round(share, 6) as share, rec_type from f join rules using (vtype) where share > least_share * 0.2")
+@query(f"with {Z} select segment, vtype, n, round(share, 6) as share, rec_type from f join rules using (vtype) where share > least_share and {NEEDS}")
 def recommendations(spark, sf_dir):
-    profiles, rules = zone_profiles(spark, sf_dir, 0.2)
-    return planning.apply_rules(profiles, rules, "zone_id").select("zone_id", "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
+    """Traffic measures at the real shares, with what the rules ask of the place."""
+    v = violations(spark, sf_dir).withColumn("zone_id", F.expr(SEGMENT.format(div="div")))
+    profiles = agg.composition(v, "zone_id").join(planning.zone_context(v, zone_flags(spark, 70), "zone_id"), ["zone_id", "vtype"])
+    found = planning.apply_rules(profiles, planning.rule_table(spark), "zone_id")
+    return found.select(F.col("zone_id").alias("segment"), "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
 
 
 @query(f"""with {S}, c as (select part // 2 as place, anomaly_type as vtype, count(*) as n, 2 * count(*) filter (severity_band = 'high') > count(*) as mostly_high, 2 * count(*) filter (zone_id % 3 = 0) > count(*) as arterial, count(distinct session_id) >= 2 as chronic from s group by all),
@@ -185,9 +191,10 @@ def session_report(spark, sf_dir):
     return r.select("session_id", "n_events", "vehicles", F.round("mean_confidence", 6).alias("mean_confidence"), F.round("median_confidence", 6).alias("median_confidence"), "first_t", "last_t")
 
 
-@query(f"with recursive {DB}, {REC}, c as (select cluster_id, vtype, count(*) as n from d group by all), f as (select *, n / sum(n) over (partition by cluster_id) as share from c) select cluster_id, vtype, n, round(share, 6) as share, rec_type, round(n / 12e0, 6) as before, round(n / 12e0 * (1 - mid), 6) as after from f join rules using (vtype) where share > least_share")
+@query(f"""with recursive {DB}, {REC}, c as (select cluster_id, vtype, count(*) as n, {', '.join('2 * count(*) filter (' + e.format(z='v.zone_id') + ') > count(*) as ' + k for k, e in FLAGS.items())} from d join v using (event_id, vtype) group by all), f as (select *, n / sum(n) over (partition by cluster_id) as share from c)
+    select cluster_id, vtype, n, round(share, 6) as share, rec_type, round(n / 12e0, 6) as before, round(n / 12e0 * (1 - mid), 6) as after from f join rules using (vtype) where share > least_share and {NEEDS}""")
 def planning_report(spark, sf_dir):
-    r = planning.planning_report(clustered(spark, sf_dir), violations(spark, sf_dir), 12)
+    r = planning.planning_report(clustered(spark, sf_dir), violations(spark, sf_dir), zone_flags(spark, 23), 12)
     return r.select("cluster_id", "vtype", "n", *[F.round(c, 6).alias(c) for c in ("share",)], "rec_type", *[F.round(c, 6).alias(c) for c in ("before", "after")])
 
 
