@@ -8,10 +8,10 @@ Heavy groups (over ``1 / heavy`` of a shard's part in some dimension, so at most
 ``3 * shards * heavy`` of them) are placed first, on their own. What they leave of each
 shard's capacity is handed out to hash buckets of the remaining groups, which are packed
 independently of each other. A group above a whole shard's part is cut into ``pieces`` hash
-pieces, which are placed like groups.
+pieces, which are placed like groups, whatever its rows' doc_ids.
 
 Defined cases: a null text is a group of its own, of size 1 and no tokens; equal rows stay
-together; an empty table gives an empty table; null doc_ids come first in a shard.
+together unless their group is cut; an empty table gives an empty table; null doc_ids come first in a shard.
 """
 
 from __future__ import annotations
@@ -51,7 +51,9 @@ def shard(docs: DataFrame, *, shards: int = 8, text: str = "text", doc_id: str =
             F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
             n_words(body).alias("tokens"),
             F.coalesce(F.md5(body.cast("binary")), F.lit("null")).alias("group"),
-        ).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).cast("int")),
+            # tells rows of one doc_id and text apart; written at once, so that it stays
+            F.monotonically_increasing_id().alias("copy"),
+        ).withColumn("piece", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(pieces)).cast("int")),
         "slim",
     )
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
@@ -105,18 +107,18 @@ def shard(docs: DataFrame, *, shards: int = 8, text: str = "text", doc_id: str =
         .join(F.broadcast(cuts), ["group", "piece"], "left")
         .withColumn("fixed", F.coalesce("whole", "split"))
     )
-    heavy_rows = at.where("fixed is not null").select("doc_id", "size", "text_crc32", "tokens", F.col("fixed").alias("shard"))
-    light_rows = at.where("fixed is null").join(packed, "group").select("doc_id", "size", "text_crc32", "tokens", "shard")
+    heavy_rows = at.where("fixed is not null").select("doc_id", "size", "text_crc32", "tokens", "copy", F.col("fixed").alias("shard"))
+    light_rows = at.where("fixed is null").join(packed, "group").select("doc_id", "size", "text_crc32", "tokens", "copy", "shard")
     return _slots(scratch.save(heavy_rows.unionByName(light_rows), "at"), max(1, (totals["rows"] or 0) // 2048))
 
 
 def _slots(rows: DataFrame, blocks: int) -> DataFrame:
     """Gapless places in each shard: the rows of earlier hash blocks, then the rank in the own block."""
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)))
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(blocks)))
     before = (
         blocked.groupBy("shard", "block").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n"))
         .drop("n")
     )
-    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
-    return blocked.withColumn("rank", rank).join(before, ["shard", "block"]).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("block", "rank", "before")
+    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "copy"))
+    return blocked.withColumn("rank", rank).join(before, ["shard", "block"]).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("block", "rank", "before", "copy")

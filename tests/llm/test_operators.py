@@ -635,6 +635,37 @@ def test_water_fill():
     assert mixing.water_fill([], [], 0, 2.0) == [] and mixing.water_fill([0, 5], [1, 1], 7.5, 2.0) == [0.0, 7.5]
 
 
+# placement
+
+
+def test_groups_are_placed_by_the_highest_dot_product(spark):
+    """Few groups, all heavy: each goes where its vector fits best, in plain loops."""
+    texts = [prose(300 + k, 5 + 11 * k % 90) for k in range(20)]
+    rows = [(1000 * k + i, t) for k, t in enumerate(texts) for i in range(1 + k % 4)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=3).collect()
+    vectors = {hashlib.md5(t.encode()).hexdigest(): [n * (len(t.encode()) + 1), n * len(t.split()), n] for k, t in enumerate(texts) for n in [1 + k % 4]}
+    part = [sum(v[d] for v in vectors.values()) / 3 for d in range(3)]
+    weights, room, want = (1.0, 0.25, 0.1), [list(part) for _ in range(3)], {}
+    for group, v in sorted(vectors.items(), key=lambda x: (-x[1][0], -x[1][2], x[0] + "-1")):
+        fit = [sum(weights[d] * (room[s][d] / part[d]) * (v[d] / part[d]) for d in range(3)) for s in range(3)]
+        best = max(range(3), key=lambda s: (round(fit[s], 12), -s))
+        want[group] = best
+        room[best] = [a - b for a, b in zip(room[best], v, strict=True)]
+    assert {r["doc_id"]: r["shard"] for r in out} == {d: want[hashlib.md5(t.encode()).hexdigest()] for d, t in rows}
+
+
+def test_a_group_without_doc_ids_is_cut_too(spark):
+    rows = [(None, "hot text")] * 3000 + [(7, "warm text")] * 2000 + [(i, prose(i, 9)) for i in range(50)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=8).collect()
+    assert len(out) == len(rows)
+    sums = collections.Counter()
+    for r in out:
+        sums[r["shard"]] += r["size"]
+    assert len(sums) == 8 and max(sums.values()) < 1.2 * min(sums.values())
+    for s in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
 # a passage in every document
 
 
