@@ -47,6 +47,8 @@ from roadlark.llm.hashing import mix, set_id, set_ids, shingle_sets
 GROUPS = 64
 #: A range of shingles holds those of about so many bytes of text; a task writes its postings in runs of FLUSH.
 RANGE_BYTES, FLUSH, FLUSH_DOCS = 8 << 20, 1 << 20, 1 << 16
+#: Postings that go to their run itself, by way of any range, in one row.
+CARRIED = 1 << 16
 #: Documents that a task remembers, to send equal texts once; others are merged later.
 REMEMBERED = 1 << 16
 #: Cells of shingles in more documents are dealt in parts of about so many.
@@ -223,7 +225,7 @@ def _posted(docs: DataFrame, ranges: int) -> DataFrame:
             nonlocal runs
             both = np.sort(np.concatenate(held))  # 48 bits of the shingle, 16 of the document's place
             shingles, places = both >> np.uint64(16), (both & np.uint64(FLUSH_DOCS - 1)).astype("<u2")
-            run = (part << 31) + runs
+            run, spread = (part << 31) + runs, part + 7919 * runs
             runs += 1
             first = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
             times = np.diff(np.r_[first, len(shingles)])
@@ -236,9 +238,10 @@ def _posted(docs: DataFrame, ranges: int) -> DataFrame:
             for r in np.flatnonzero(np.diff(more)).tolist():
                 own = slice(more[r], more[r + 1])
                 yield _rows(SENT, 1, part=[r], kind=[4], run=[run], x=[pack(again[own])], z=[times[own].tobytes()])
-            if local.any():
-                yield _rows(SENT, 1, part=[run % ranges], kind=[3], run=[run], x=[pack(shingles[local])], y=[places[local].tobytes()])
-            yield _rows(SENT, 1, part=[run % ranges], kind=[2], run=[run], x=[np.array(nodes, "<i8").tobytes()], y=[np.array(sizes, "<u4").tobytes()])
+            own_shingles, own_places = shingles[local], places[local]
+            for k, at in enumerate(range(0, len(own_shingles), CARRIED)):
+                yield _rows(SENT, 1, part=[(spread + k) % ranges], kind=[3], run=[run], x=[pack(own_shingles[at : at + CARRIED])], y=[own_places[at : at + CARRIED].tobytes()])
+            yield _rows(SENT, 1, part=[spread % ranges], kind=[2], run=[run], x=[np.array(nodes, "<i8").tobytes()], y=[np.array(sizes, "<u4").tobytes()])
             for own in (held, nodes, sizes):
                 own.clear()
 
