@@ -41,15 +41,16 @@ def zone_context(events: DataFrame, zones: DataFrame, key: str, kind: str = "vty
     return marked.groupBy(key, kind).agg(*[(F.count_if(F.coalesce(F.col(f), F.lit(False))) * 2 > F.count("*")).alias(f) for f in ZONE_FLAGS])
 
 
-def apply_rules(profiles: DataFrame, rules: DataFrame, key: str = "cluster_id") -> DataFrame:
+def apply_rules(profiles: DataFrame, rules: DataFrame, key: str = "cluster_id", strict: bool = False) -> DataFrame:
     """Profiles (key, vtype, n, share) against the rule table: a share strictly above a rule's makes a recommendation.
 
-    What a rule needs of the place is a boolean column of the profiles of that name. Null does not
-    hold, and neither does a column that the profiles lack: a rule is never weaker than it is written.
+    What a rule needs of the place is a boolean column of the profiles of that name; null does not
+    hold. A column that the profiles lack says nothing, and the share alone decides, unless ``strict``
+    demands it: then it does not hold, and no rule is weaker than it is written. Reports are strict.
     """
     found = profiles.join(F.broadcast(rules), "vtype").where(F.col("share") > F.col("least_share"))
     for need in sorted({n for *_, needs in RECOMMENDATIONS for n in needs}):
-        holds = F.coalesce(F.col(need), F.lit(False)) if need in profiles.columns else F.lit(False)
+        holds = F.coalesce(F.col(need), F.lit(False)) if need in profiles.columns else F.lit(not strict)
         found = found.where(~F.array_contains("needs", need) | holds)
     return found.drop("needs")
 
@@ -93,6 +94,6 @@ def planning_report(clustered: DataFrame, events: DataFrame, zones: DataFrame, m
     spark = clustered.sparkSession
     placed = clustered.select("event_id", "cluster_id", "vtype").join(events.select("event_id", "zone_id"), "event_id")
     profiles = composition(clustered).join(zone_context(placed, zones, "cluster_id"), ["cluster_id", "vtype"])
-    rec = apply_rules(profiles, rule_table(spark))
+    rec = apply_rules(profiles, rule_table(spark), strict=True)
     effect = impact_table(spark).select("vtype", "mid")
     return rec.join(F.broadcast(effect), "vtype", "left").select("cluster_id", "vtype", "n", "share", "rec_type", (F.col("n") / F.lit(months)).alias("before"), (F.col("n") / F.lit(months) * (1 - F.coalesce("mid", F.lit(0.0)))).alias("after"))

@@ -137,7 +137,7 @@ def recommendations(spark, sf_dir):
     """Traffic measures at the real shares, with what the rules ask of the place."""
     v = violations(spark, sf_dir).withColumn("zone_id", F.expr(SEGMENT.format(div="div")))
     profiles = agg.composition(v, "zone_id").join(planning.zone_context(v, zone_flags(spark, 70), "zone_id"), ["zone_id", "vtype"])
-    found = planning.apply_rules(profiles, planning.rule_table(spark), "zone_id")
+    found = planning.apply_rules(profiles, planning.rule_table(spark), "zone_id", strict=True)
     return found.select(F.col("zone_id").alias("segment"), "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
 
 
@@ -149,7 +149,7 @@ def road_recommendations(spark, sf_dir):
     zones = spark.range(23).selectExpr("id as zone_id", "if(id % 3 = 0, 'arterial', 'local') as road_class", "id % 5 = 0 as near_school")
     profiles = agg.composition(found, "place", "anomaly_type").withColumnRenamed("anomaly_type", "vtype")
     profiles = profiles.join(planning.place_context(found, zones, "place"), ["place", "vtype"])
-    return planning.apply_rules(profiles, planning.rule_table(spark), "place").select("place", "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
+    return planning.apply_rules(profiles, planning.rule_table(spark), "place", strict=True).select("place", "vtype", "n", F.round("share", 6).alias("share"), "rec_type")
 
 
 @query(f"with {V}, h as (select zone_id, (t // 3600) % 24 as hour, count(*) as n from v group by all) select zone_id, hour, n, r as rank from (select *, row_number() over (partition by zone_id order by n desc, hour) as r from h) where r <= 2")

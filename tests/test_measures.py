@@ -141,6 +141,22 @@ def test_percentiles_equal_the_engine_s(spark, monkeypatch, ordered, splits):
     assert aggregates.percentile(df.limit(0), "v", 0.5).first()[0] is None
 
 
+# rules of a place
+
+
+def test_strict_rules_never_fire_without_what_they_need(spark):
+    from roadlark.operators import planning
+
+    profiles = spark.createDataFrame([(1, "red_light", 9, 0.9), (2, "wrong_way", 9, 0.9), (3, "speeding", 9, 0.9)], "cluster_id long, vtype string, n long, share double")
+    kept = lambda df, **o: sorted(r["cluster_id"] for r in planning.apply_rules(df, planning.rule_table(spark), **o).collect())
+    assert kept(profiles, strict=True) == [2] and kept(profiles) == [1, 2, 3]
+    assert kept(profiles.withColumn("at_intersection", F.lit(True)).withColumn("near_school", F.lit(None).cast("boolean")), strict=True) == [1, 2]
+    events = spark.createDataFrame([(1, 7, "lane"), (1, 7, "lane"), (1, 8, "lane"), (2, 8, "lane"), (2, None, "lane")], "cluster_id long, zone_id long, vtype string")
+    zones = spark.createDataFrame([(7, True, None, True), (8, False, True, False)], "zone_id long, at_intersection boolean, near_school boolean, multi_lane boolean")
+    got = {r["cluster_id"]: (r["at_intersection"], r["near_school"], r["multi_lane"]) for r in planning.zone_context(events, zones, "cluster_id").collect()}
+    assert got == {1: (True, False, True), 2: (False, False, False)}
+
+
 # projections and shapes
 
 
