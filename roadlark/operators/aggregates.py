@@ -20,6 +20,11 @@ def stats(events: DataFrame, dims: Sequence[str]) -> DataFrame:
     return events.groupingSets([[c] for c in cols], *cols).agg(F.count("*").alias("n"))
 
 
+def zone_counts(events: DataFrame, session: object) -> DataFrame:
+    """Events of one session in each zone; the session reaches the scan as a pushed filter."""
+    return events.where(F.col("session_id") == session).groupBy("zone_id").agg(F.count("*").alias("n"))
+
+
 def rollup_stats(events: DataFrame, dims: Sequence[str]) -> DataFrame:
     return events.rollup(*dims).agg(F.count("*").alias("n"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlark.functions import geo, scores
-from roadlark.operators import clustering, filters, joins, lists, metrics
+from roadlark.functions import geo, kinematics, scores
+from roadlark.operators import aggregates, clustering, filters, joins, lifecycle, lists, metrics
 from roadlark.operators import windows as win
 from roadlark.plans.fixtures import A, P, V, anomalies, metres, track_points, violations
 from roadlark.plans.registry import query
@@ -235,3 +235,54 @@ def anomaly_clusters(spark, sf_dir):
     spots = anomalies(spark, sf_dir).groupBy("anomaly_type", "lat", "lng").agg(F.min(F.expr("part * 10 + session_id")).alias("spot_id"))
     found = clustering.dbscan(spots, metres=250.0, least=6, kind="anomaly_type", key="spot_id").where("role = 'core'")
     return found.groupBy("cluster_id", "anomaly_type").agg(F.count("*").alias("n"))
+
+
+#: Three decisions a recommendation: the first two follow each other, the third may come too late.
+DECIDED = ("reviewed", "accepted", "rejected", "pending")
+
+
+@query("""with recursive o as (select o_orderkey as id, unnest([0, 1, 2]) as t from orders), c as (select id, t, case (id + t * (id % 5)) % 4 when 0 then 'reviewed' when 1 then 'accepted' when 2 then 'rejected' else 'pending' end as st from o),
+    w as (select o_orderkey as id, -1 as t, 'pending' as status, 0 as n, 0 as no from orders union all
+      select id, t, case when fine then st else status end, n + fine::int, no + (not fine and st <> status)::int from (select w.id, c.t, c.st, w.status, w.n, w.no, w.status <> c.st and (w.status = 'pending' and c.st <> 'pending' or w.status = 'reviewed' and c.st in ('accepted', 'rejected')) as fine from w join c on c.id = w.id and c.t = w.t + 1))
+    select id as recommendation_id, status, n as n_applied, no as n_refused from w where t = 2""")
+def recommendation_decisions(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("recommendation_id"))
+    wanted = F.element_at(F.array(*[F.lit(s) for s in DECIDED]), ((F.col("recommendation_id") + F.col("t") * (F.col("recommendation_id") % 5)) % 4 + 1).cast("int"))
+    changes = o.withColumn("t", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("status", wanted)
+    return lifecycle.decide(o.withColumn("status", F.lit("pending")), changes)
+
+
+@query(f"with {P}, q as (select track_id, k, (lng - lag(lng) over w) * cos(radians(lat)) as dx, lat - lag(lat) over w as dy from p window w as (partition by track_id order by t)) select track_id, k, round((degrees(atan2(dx, dy)) + 360) % 360, 3) % 360 as heading from q where dx is not null and (abs(dx) > 1e-9 or abs(dy) > 1e-9)")
+def step_headings(spark, sf_dir):
+    w = Window.partitionBy("track_id").orderBy("t")
+    dx, dy = (F.col("lng") - F.lag("lng").over(w)) * F.cos(F.radians("lat")), F.col("lat") - F.lag("lat").over(w)
+    p = track_points(spark, sf_dir).withColumns({"dx": dx, "dy": dy}).where("dx is not null and (abs(dx) > 1e-9 or abs(dy) > 1e-9)")
+    return p.select("track_id", "k", (F.round(kinematics.heading_deg(F.col("dx"), F.col("dy")), 3) % 360).alias("heading"))
+
+
+@query(f"with {V} select event_id, round((confidence * 3 + (event_id % 7) / 7e0 * 2 + (zone_id % 5) / 5e0) / 6, 6) as score from v")
+def weighted_confidence(spark, sf_dir):
+    factors = F.array(F.col("confidence"), F.expr("event_id % 7 / 7D"), F.expr("zone_id % 5 / 5D"))
+    return violations(spark, sf_dir).select("event_id", r6(scores.confidence(factors, F.array(F.lit(3.0), F.lit(2.0), F.lit(1.0))), "score"))
+
+
+@query(f"with {P} select track_id, k from p where k % 40 > 0 and k % 40 + 12 < 48 and k % 9 > 0 and k % 9 + 20 < 28")
+def whole_boxes(spark, sf_dir):
+    box = F.struct(*[F.expr(f"cast({e} as double)").alias(c) for c, e in (("x1", "k % 40"), ("y1", "k % 9"), ("x2", "k % 40 + 12"), ("y2", "k % 9 + 20"))])
+    return filters.full_bbox(track_points(spark, sf_dir).withColumn("box", box), 48.0, 28.0).select("track_id", "k")
+
+
+@query(f"with {V} select zone_id, count(*) as n from v where session_id = 1 group by all")
+def session_zone_counts(spark, sf_dir):
+    return aggregates.zone_counts(violations(spark, sf_dir), 1)
+
+
+@query(f"""with {A}, m as (select det_id, min(session_id) as session_id, min(part) as part, max(raw) as raw from a group by det_id), f as (select det_id, session_id, part // 4 as frame_no, part % 4 = 0 as pothole, 0.5e0 + raw / 4 as c from m where part % 2 = 0), w as (select distinct session_id, frame_no, true as wet from f where not pothole)
+    select det_id, pothole and frame_no % 3 < 2 and coalesce(wet, false) as waterlogged, round(case when pothole and frame_no % 3 < 2 and coalesce(wet, false) then c * 0.5e0 else c end, 6) as confidence from f left join w using (session_id, frame_no)""")
+def wet_potholes(spark, sf_dir):
+    """A pothole and standing water in one frame: over it, beside it with a quarter in common, or away from it."""
+    m = anomalies(spark, sf_dir).groupBy("det_id").agg(F.min("session_id").alias("session_id"), F.min("part").alias("part"), F.max("raw").alias("raw")).where("part % 2 = 0")
+    m = m.selectExpr("det_id", "session_id", "part div 4 as frame_no", "if(part % 4 = 0, 'pothole', 'waterlogging') as anomaly_type", "cast(0.5D + raw / 4 as double) as confidence")
+    x = F.when(F.col("anomaly_type") == "pothole", 0.0).otherwise(F.col("frame_no") % 3 * 6.0)
+    box = F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 10.0).alias("x2"), F.lit(10.0).alias("y2"))
+    return joins.wet_pothole(m.withColumn("box", box)).select("det_id", "waterlogged", r6(F.col("confidence"), "confidence"))
