@@ -10,7 +10,7 @@ from roadlark.operators import filters, joins, lists, metrics
 from roadlark.operators import windows as win
 from roadlark.plans.fixtures import DAY0, V, metres, violations
 from roadlark.plans.registry import query
-from roadlark.streaming import matching
+from roadlark.streaming import live, matching
 
 R6 = "round({}, 6)"
 LAT = 17.7  # no fixture event lies further north
@@ -291,3 +291,35 @@ def signal_replay(spark, sf_dir):
     x = v.where("event_id % 7 = 3").select("event_id", "zone_id", "t")
     build = lambda crossings, signals: matching.asof_stream(crossings, signals, "zone_id")
     return matching.replayed(spark, {"crossings": x, "signals": s}, build, keys=["zone_id"]).select("event_id", "zone_id", "state")
+
+
+def _since(c: str):
+    """A timestamp of a replay as its seconds."""
+    return (F.unix_seconds(c) - matching.LATER).alias(c)
+
+
+@query(f"with {V} select t // 60 * 60 as start, vtype, count(*) as n from v group by all")
+def counters_replay(spark, sf_dir):
+    """Events a minute and type, each minute told once it is over."""
+    v = violations(spark, sf_dir).select("t", "vtype")
+    return matching.replayed(spark, {"events": v}, lambda events: live.live_counters(events), told_by=None).select(_since("start"), "vtype", "n")
+
+
+@query(f"with {V}, w as (select t // 10 * 10 - unnest([0, 10, 20]) as start, session_id, confidence from v) select start, session_id, round(avg(confidence), 6) as mean_confidence from w group by all")
+def sliding_replay(spark, sf_dir):
+    v = violations(spark, sf_dir).select("t", "session_id", "confidence")
+    found = matching.replayed(spark, {"events": v}, lambda events: live.sliding_confidence(events), told_by=None)
+    return found.select(_since("start"), "session_id", r6("mean_confidence"))
+
+
+@query(f"with {V}, g as (select track_id, t, case when t - lag(t) over (partition by track_id order by t) <= 5 then 0 else 1 end as new from v), s as (select track_id, t, sum(new) over (partition by track_id order by t) as k from g) select track_id, min(t) as start, max(t) + 5 as lost_at, count(*) as n from s group by track_id, k")
+def lost_track_replay(spark, sf_dir):
+    """A track's stays, each told when it has been silent for five seconds."""
+    v = violations(spark, sf_dir).select("t", "track_id")
+    return matching.replayed(spark, {"points": v}, lambda points: live.track_sessions(points), told_by=None).select("track_id", _since("start"), _since("lost_at"), "n")
+
+
+@query(f"with {V} select event_id, case when event_id % 40 > 20 then 'violation' when event_id % 40 >= 10 then 'warning' else 'ok' end as altitude_status from v where event_id % 40 >= 10 or event_id % 9 = 0")
+def telemetry_replay(spark, sf_dir):
+    v = violations(spark, sf_dir).selectExpr("event_id", "t", "cast(100 + event_id % 40 as double) as alt", "if(event_id % 9 = 0, 0, 3) as gps_fix")
+    return matching.replayed(spark, {"telemetry": v}, lambda telemetry: live.telemetry_alerts(telemetry)).select("event_id", "altitude_status")

@@ -23,6 +23,8 @@ from roadlark.config import DUPLICATE_M, DUPLICATE_S, EARTH_M
 from roadlark.functions import geo
 from roadlark.session import shared_folder, ship
 
+#: Seconds from the epoch to time 0 of a replay.
+LATER = 86_400
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -169,22 +171,24 @@ def cross_session_stream(events: DataFrame, metres: float = DUPLICATE_M, seconds
     return found.select(*[status if c == "status" else row[c].alias(c) for c in events.columns])
 
 
-def replayed(spark: SparkSession, tables: dict[str, DataFrame], build, *, delay: str = "60 seconds", flush_s: float = 86_400.0, keys: Sequence[str] = ()) -> DataFrame:
+def replayed(spark: SparkSession, tables: dict[str, DataFrame], build, *, delay: str = "60 seconds", flush_s: float = 86_400.0, keys: Sequence[str] = (), told_by: str | None = "t") -> DataFrame:
     """What the stream that ``build`` makes of the tables' streams has told when all their rows are through.
 
     Every table (with t, in seconds) is written to the shared folder and read as a stream with a
-    watermark on ts, a day later than t, since time 0 counts as late; one row ``flush_s`` after the last one, null but for its time and ``keys`` (-1), lets the watermark pass the others.
+    watermark on ts, LATER seconds after t, since time 0 counts as late; one row ``flush_s`` after the last one, null but for its time and ``keys`` (-1), lets the watermark pass the others. ``told_by`` is the column by which that row is known among the results;
+    None where a window of its own, still open, keeps it back.
     """
     root = f"{shared_folder(spark)}/roadlark-replay-{uuid.uuid4().hex}"
     streams = {}
     last = max((frame.agg(F.max("t")).first()[0] or 0 for frame in tables.values()), default=0) + flush_s
     for name, frame in tables.items():
         end = spark.range(1).select(*[F.lit(last if c == "t" else -1 if c in keys else None).cast(kind).alias(c) for c, kind in frame.dtypes])
-        timed = frame.unionByName(end).withColumn("ts", F.timestamp_micros(F.round((F.col("t") + 86_400) * 1e6).cast("long")))
+        timed = frame.unionByName(end).withColumn("ts", F.timestamp_micros(F.round((F.col("t") + LATER) * 1e6).cast("long")))
         timed.write.parquet(f"{root}/{name}")
         streams[name] = spark.readStream.schema(timed.schema).parquet(f"{root}/{name}").withWatermark("ts", delay)
     told = build(**streams)
     with stateful(spark):
         query = told.writeStream.format("parquet").option("path", f"{root}/told").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
-    return spark.read.schema(told.schema).parquet(f"{root}/told").where(F.col("t") < last)
+    found = spark.read.schema(told.schema).parquet(f"{root}/told")
+    return found if told_by is None else found.where(F.col(told_by) < last)
