@@ -9,6 +9,7 @@ not after the watermark is late, and so is one at the epoch, where watermarks be
 from __future__ import annotations
 
 import contextlib
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -156,14 +157,17 @@ def _metres(a: tuple, b: tuple) -> float:
 def cross_session_stream(events: DataFrame, metres: float = DUPLICATE_M, seconds: float = DUPLICATE_S, most_lat: float = 89.0) -> DataFrame:
     """``events`` with status ``duplicate`` where another session saw one of the type within reach with more confidence (ties: the smaller id).
 
-    Each event goes to its cell and, as a visitor, to the eight around it, so that no pair is split at an edge; it is
-    told ``seconds`` after its time has passed the watermark.
+    Cells are ten times as wide as the reach. Each event goes to its cell and, as a visitor, to those that its reach touches,
+    three at most, so that no pair is split at an edge; it is told ``seconds`` after its time has passed the watermark.
     """
     ship(events.sparkSession)
-    a, b = geo.cell(F.col("lat"), F.col("lng"), metres, most_lat)
-    cells = F.array(*[F.struct((a + i).alias("a"), (b + j).alias("b"), F.lit(i == j == 0).alias("home")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = events.withColumn("_c", F.explode(cells))
-    payload = F.when(F.col("_c.home"), F.to_json(F.struct(*events.columns)))
+    dlat = metres / geo.METRES_PER_DEGREE * 1.0002
+    dlng = dlat / max(1e-6, math.cos(math.radians(min(most_lat, 89.9))))
+    place = lambda i, j: F.struct(*[c.alias(n) for n, c in zip("ab", geo.cell(F.col("lat") + i * dlat, F.col("lng") + j * dlng, 10 * metres, most_lat), strict=True)])
+    home = place(0, 0)
+    around = F.array_distinct(F.array(home, *[place(i, j) for i in (-1, 1) for j in (-1, 1)]))
+    spread = events.withColumn("_c", F.explode(around))
+    payload = F.when(F.col("_c").eqNullSafe(home), F.to_json(F.struct(*events.columns)))
     slim = spread.select(F.concat_ws("|", "vtype", "_c.a", "_c.b").alias("key"), F.col("t").cast("double").alias("t"), F.coalesce(F.col("event_id").cast("long"), F.lit(-1)).alias("id"), F.col("session_id").cast("string").alias("session"), "lat", "lng", "confidence", payload.alias("payload"), "ts")
     found = slim.groupBy("key").transformWithStateInPandas(_Duplicates(metres, seconds), "payload string, duplicate boolean", "append", "eventtime")
     row = F.from_json("payload", events.schema)
