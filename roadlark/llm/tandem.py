@@ -19,7 +19,7 @@ compared by 64-bit hashes there (equal ones by chance only keep more words), wor
 themselves afterwards.
 
 Texts are independent rows: nothing is shuffled, and a lost executor costs the splits it was
-reading. A task holds one Arrow batch of texts and, of the words that are left, about 400 bytes for each of
+reading. A task holds one Arrow batch of texts and, of the words that are left, about 520 bytes for each of
 ``GROUP_WORDS`` or of the longest text, whichever is more.
 
 Defined cases: a null, empty or blank text has no words, no runs and an empty collapsed text; equal
