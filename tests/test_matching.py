@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from roadlark.functions import geo
@@ -59,3 +60,70 @@ def test_doubles_between_sessions_over_cell_edges(spark):
     pick = lambda df: sorted((r["event_id"], r["session_id"], r["t"], r["status"]) for r in df.collect())
     assert pick(got) == pick(want)
     assert sum(r[3] == "duplicate" for r in pick(want)) > 40
+
+
+class _State(list):
+    exists = lambda self: bool(self)
+    get = lambda self: iter(self)
+    appendList = list.extend
+
+    def put(self, rows):
+        self[:] = rows
+
+
+class _Value(list):
+    exists = lambda self: bool(self)
+    get = lambda self: self[0]
+
+    def update(self, value):
+        self[:] = [value]
+
+
+class _Handle:
+    """State and timers of one key, in memory."""
+
+    def __init__(self):
+        self.timers, self.set = set(), 0
+
+    getListState = lambda self, name, schema: _State()
+    getValueState = lambda self, name, schema: _Value()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+        self.set += 1
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def _drain(processor, frame, ms):
+    """What a key tells at the watermark, and how many timers it took."""
+    handle = _Handle()
+    processor.init(handle)
+    list(processor.handleInputRows(("k",), iter([frame[:50], frame[50:]]), _Clock(0)))
+    out = []
+    while due := sorted(t for t in handle.timers if t <= ms):
+        handle.timers.discard(due[0])
+        out += list(processor.handleExpiredTimer(("k",), _Clock(ms), None))
+    return pd.concat(out), handle
+
+
+def test_a_key_waits_with_one_timer_for_all_its_crossings():
+    n = 3000
+    frame = pd.DataFrame({"side": [1, 0] * n, "t": [float(i) for i in range(2 * n)], "value": [None if i % 2 == 0 else f"s{i}" for i in range(2 * n)], "payload": [str(i) if i % 2 == 0 else None for i in range(2 * n)]})
+    told, handle = _drain(matching._LastState(), frame, 4000 * 1000)
+    assert dict(zip(told["payload"], told["value"], strict=True)) == {str(i): f"s{i - 1}" if i else None for i in range(0, 4000, 2)}
+    assert handle.set <= 3 and handle.timers == {4000 * 1000 + 1}
+
+
+def test_a_key_judges_all_its_events_at_one_timer():
+    n = 3000
+    frame = pd.DataFrame({"cell": "a", "at": [10.0 * (i // 2) for i in range(n)], "t": [10.0 * (i // 2) for i in range(n)], "id": range(n), "session": [str(i % 2) for i in range(n)], "lat": 0.0, "lng": 0.0, "confidence": 0.5, "payload": [str(i) for i in range(n)]})
+    told, handle = _drain(matching._Duplicates(10.0, 5.0), frame, 10_000_000)
+    assert {int(p): d for p, d in zip(told["payload"], told["duplicate"], strict=True)} == {i: i % 2 == 1 for i in range(2000)}
+    assert handle.set <= 3 and len(handle.timers) == 1
