@@ -6,6 +6,7 @@ residual, so it shuffles by cell and is never a nested loop over all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,17 @@ def join_zones(points: DataFrame, zones: DataFrame, *, cell_m: float | None = No
 
 
 def within_distance_join(a: DataFrame, b: DataFrame, metres: float, keys: Sequence[str] = (), most_lat: float = 89.0, extra: Column | None = None, suffix: str = "_b") -> DataFrame:
-    """Pairs of rows at most ``metres`` apart with equal ``keys``; columns of ``b`` get the suffix."""
-    ka, kb = geo.cell(F.col("lat"), F.col("lng"), metres, most_lat)
-    near = [F.struct((F.col("_ca") + i).alias("a"), (F.col("_cb") + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    left = a.withColumns({"_ca": ka, "_cb": kb}).withColumn("_n", F.explode(F.array(*near))).withColumns({"_ca": F.col("_n.a"), "_cb": F.col("_n.b")}).drop("_n")
+    """Pairs of rows at most ``metres`` apart with equal ``keys``; columns of ``b`` get the suffix.
+
+    Cells are twice as wide as the reach, and a row of ``a`` goes to the four that its reach may touch. The copies are merged by
+    shuffles: their files look small enough to be broadcast, and the driver would hold all copies.
+    """
+    dlat = metres / geo.METRES_PER_DEGREE * 1.0002
+    dlng = dlat / max(1e-6, math.cos(math.radians(min(most_lat, 89.9))))
+    place = lambda i, j: geo.cell(F.col("lat") + i * dlat, F.col("lng") + j * dlng, 2.01 * metres, most_lat)
+    touched = F.array_distinct(F.array(*[F.struct(*[c.alias(n) for n, c in zip("ab", place(i, j), strict=True)]) for i in (-1, 1) for j in (-1, 1)]))
+    left = a.withColumn("_n", F.explode(touched)).withColumns({"_ca": F.col("_n.a"), "_cb": F.col("_n.b")}).drop("_n")
+    ka, kb = place(0, 0)
     right = b.withColumns({"_ca": ka, "_cb": kb})
     right = right.select(*[F.col(c).alias(c + suffix) for c in right.columns])
     on = (F.col("_ca") == F.col("_ca" + suffix)) & (F.col("_cb") == F.col("_cb" + suffix))
@@ -42,14 +50,15 @@ def within_distance_join(a: DataFrame, b: DataFrame, metres: float, keys: Sequen
     on = on & (geo.haversine(F.col("lat"), F.col("lng"), F.col("lat" + suffix), F.col("lng" + suffix)) <= metres)
     if extra is not None:
         on = on & extra
-    return left.join(right, on).drop("_ca", "_cb", "_ca" + suffix, "_cb" + suffix)
+    return left.join(right.hint("merge"), on).drop("_ca", "_cb", "_ca" + suffix, "_cb" + suffix)
 
 
 def cross_session_dups(events: DataFrame, metres: float = DUPLICATE_M, seconds: float = DUPLICATE_S, most_lat: float = 89.0, t: str = "t") -> DataFrame:
     """Pairs of events of one type from different sessions, close in space and time."""
-    bucket = F.floor(F.col(t) / max(seconds, 1)).cast("long")
-    a = events.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    b = events.withColumn("_b", bucket)
+    slack, width = seconds + 0.001, 2 * max(seconds, 1) + 1
+    bucket = lambda x: F.floor(x / width).cast("long")
+    a = events.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(F.col(t) - slack), bucket(F.col(t) + slack)))))
+    b = events.withColumn("_b", bucket(F.col(t)))
     extra = (F.col("session_id") < F.col("session_id_b")) & (F.abs(F.col(t) - F.col(t + "_b")) <= seconds)
     return within_distance_join(a, b, metres, ["vtype", "_b"], most_lat, extra).drop("_b", "_b_b")
 

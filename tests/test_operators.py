@@ -261,3 +261,17 @@ def test_patrols_and_wet_potholes(spark):
     assert got == {1: (True, 0.4), 2: (False, 0.8), 3: (False, 0.8)}
     tagged = filters.tag_quality(masks, wet=F.col("anomaly_type") == "waterlogging").collect()
     assert [r["tags"] for r in tagged] == [[], ["wet"], []]
+
+
+def test_distance_joins_are_shuffled_and_lose_no_pair(spark, capsys, tmp_path):
+    """Copies of rows are never broadcast; pairs over edges of cells and time buckets, on both sides of zero, are found."""
+    rng = random.Random(12)
+    step = 1 / geo.METRES_PER_DEGREE
+    rows = [(i, i % 3, "k", rng.choice([-1, 1]) * rng.uniform(0, 30), rng.uniform(-40, 40) * step, rng.uniform(-40, 40) * step) for i in range(500)]
+    spark.createDataFrame(rows, "event_id long, session_id long, vtype string, t double, lat double, lng double").write.parquet(f"{tmp_path}/events")
+    pairs = joins.cross_session_dups(spark.read.parquet(f"{tmp_path}/events"), most_lat=1.0)
+    pairs.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    near = lambda a, b: 2 * 6371008.8 * math.asin(math.sqrt(math.sin(math.radians(a[4] - b[4]) / 2) ** 2 + math.cos(math.radians(a[4])) * math.cos(math.radians(b[4])) * math.sin(math.radians(a[5] - b[5]) / 2) ** 2)) <= 10
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] < b[1] and abs(a[3] - b[3]) <= 5 and near(a, b))
+    assert want and sorted((r["event_id"], r["event_id_b"]) for r in pairs.collect()) == want
