@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlark.llm.common import Scratch, arrow_limits, trim
-from roadlark.llm.hashing import IS_BLANK, SEGMENT, distinct, mix, powers, texts
+from roadlark.llm.hashing import IS_BLANK, distinct, mix, powers, texts
 
 SHARD_DOCS = 512
 SHARD_BYTES = 4 << 20
@@ -47,6 +47,8 @@ NULL_ID = np.iinfo(np.int64).min
 #: The dictionary is fitted on whole documents of the lowest hashes: at most so many, of so many bytes of text together.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16 << 20, 64 << 10
 CACHE_PIECES = 1_000_000
+#: Bytes of adjoining texts that are cut into pieces at once: the tables that go with them are many times as large.
+SEGMENT = 1 << 18
 #: How byte-level vocabularies write the space.
 SPACE_LETTER = "\u0120"
 RECORD = "part int, number int, docs int, ids long, first_id long, dictionary string, doc_ids binary, null_ids binary, lengths binary, offsets binary, payload binary"
@@ -252,6 +254,7 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
             }
             number, first = number + 1, first + ids
             held.clear()
+            trim()
             return pa.RecordBatch.from_pylist([row], schema=RECORD_SCHEMA)
 
         for batch in batches:
