@@ -2,7 +2,8 @@
 
 A track moves on with its last velocity; the cost of a detection is how little it overlaps the box
 that is expected, and how little its appearance resembles the track's, where both have one. Each frame's costs
-are assigned optimally, so that two crossing tracks do not swap because one of them chose first.
+are assigned optimally, so that two crossing tracks do not swap because one of them chose first. Of two tracks
+that cost the same the one seen last is taken: one that was lost waits in the way of others.
 
 A session is cut in chunks of ``chunk_frames`` frames that share ``shared_frames`` with the next one, and each
 chunk is tracked by a task of its own. Tracks of neighbouring chunks that hold the same detections in
@@ -27,6 +28,8 @@ from roadlark.session import checkpointed, ship
 
 #: A cost that no allowed pair has.
 NEVER = 1e6
+#: Cost of each frame for which a track was not seen. It decides ties only, and is far above what sums of NEVER lose in doubles.
+UNSEEN = 1e-6
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -108,6 +111,7 @@ def track_frames(frames: list[tuple[int, np.ndarray, list]], *, least_iou: float
                 for j, look in enumerate(looks):
                     if near[i, j] >= least_iou and t.look is not None and look is not None and len(look) == len(t.look):
                         cost[i, j] = (1 - look_share) * cost[i, j] + look_share * (1.0 - float(t.look @ look))
+            cost += UNSEEN * (number - np.array([t.frame for t in live]))[:, None]
             for i, j in enumerate(assign(cost)):
                 if j >= 0 and cost[i, j] < NEVER:
                     found[j] = i

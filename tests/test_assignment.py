@@ -58,6 +58,17 @@ def test_appearance_decides_where_boxes_do_not(spark):
     assert swaps(assignment.assign_tracks(dets.drop("vec")).collect(), truth) > 0
 
 
+def test_a_lost_track_does_not_take_a_passing_vehicle(spark):
+    """A track seen once waits exactly where another vehicle drives later; that vehicle's own track expects it there too."""
+    waits = [(0, 0, (40.0, 0.0, 65.0, 12.0), 0)]
+    drives = [(f, 10 + f, (160.0 - 3 * f, 0.0, 185.0 - 3 * f, 12.0), 1) for f in range(48) if f % 5 != 1]
+    assert (40, 50, waits[0][2], 1) in drives
+    truth = {d: k for _, d, _, k in waits + drives}
+    dets = spark.createDataFrame([("s", f, d, b) for f, d, b, _ in waits + drives], f"session_id string, frame_no int, det_id long, box {BOX}")
+    got = assignment.assign_tracks(dets).collect()
+    assert len(got) == len(truth) and swaps(got, truth) == 0 and len({r["assigned_track"] for r in got}) == 2
+
+
 @pytest.mark.parametrize("chunk", [10, 1000])
 def test_chunks_are_stitched(spark, chunk):
     """Long tracks keep one name over many chunks, through gaps, and two sessions never share one."""
