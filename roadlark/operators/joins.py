@@ -151,13 +151,23 @@ def compare_periods(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str
     return joined.select(*keys, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")).withColumn("change", F.col("n_b") - F.col("n_a"))
 
 
-def match_ground_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str], least_iou: float = 0.5) -> DataFrame:
-    """Each prediction with its best overlapping truth of the same frame; a truth is matched once, by confidence."""
+#: Rows of a task of ``match_ground_truth``: their sort buffers take some tens of MB, whatever the table's size.
+MATCH_ROWS = 250_000
+
+
+def match_ground_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str], least_iou: float = 0.5, parts: int | None = None) -> DataFrame:
+    """Each prediction with its best overlapping truth of the same frame; a truth is matched once, by confidence.
+
+    Rows are dealt by prediction and by truth into ``parts``; if it is not told, predictions are counted for it.
+    """
+    parts = parts or max(1, -(-pred.count() // MATCH_ROWS))
     t = truth.select(*keys, F.col("truth_id"), F.col("box").alias("_tbox"))
-    pairs = pred.join(t, list(keys)).withColumn("iou", geo.iou(F.col("box"), F.col("_tbox"))).where(F.col("iou") >= least_iou)
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("pred_id").orderBy(F.desc("iou"), "truth_id"))).where("_r = 1")
+    pairs = pred.select(*keys, "pred_id", "confidence", "box").join(t, list(keys)).withColumn("iou", geo.iou(F.col("box"), F.col("_tbox"))).where(F.col("iou") >= least_iou)
+    pairs = pairs.select("pred_id", "truth_id", "confidence", "iou").repartition(parts, "pred_id")
+    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("pred_id").orderBy(F.desc("iou"), "truth_id"))).where("_r = 1").repartition(parts, "truth_id")
     once = best.withColumn("_r", F.row_number().over(Window.partitionBy("truth_id").orderBy(F.desc("confidence"), "pred_id"))).where("_r = 1")
-    return pred.join(once.select("pred_id", "truth_id", "iou"), "pred_id", "left").withColumn("is_match", F.col("truth_id").isNotNull())
+    found = once.select("pred_id", "truth_id", "iou").repartition(parts, "pred_id")
+    return pred.repartition(parts, "pred_id").join(found, "pred_id", "left").withColumn("is_match", F.col("truth_id").isNotNull())
 
 
 def reid(lost: DataFrame, new: DataFrame, seconds: float = OCCLUSION_S, least: float = 0.8) -> DataFrame:

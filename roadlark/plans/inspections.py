@@ -158,12 +158,16 @@ def new_or_known_anomalies(spark, sf_dir):
 @query("with p as (select l_orderkey * 10 + l_linenumber as pred_id, l_orderkey as frame_no, l_linenumber as i, max(l_discount) as confidence from lineitem group by all), m as (select pred_id, frame_no * 10 + i - i % 2 as truth_id, case when i % 2 = 0 then 1e0 else 8e0 / 12e0 end as iou, confidence from p), b as (select *, row_number() over (partition by truth_id order by confidence desc, pred_id) as r from m) select pred_id, count(*) as n, max(case when r = 1 then truth_id end) as truth_id, max(case when r = 1 then round(iou, 6) end) as iou from b group by pred_id")
 def ground_truth_matches(spark, sf_dir):
     """Boxes of ten metres: truths at even places 40 m apart, predictions on them or two metres aside."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("frame_no"), F.col("l_linenumber").alias("i"), F.expr("l_orderkey * 10 + l_linenumber").alias("pred_id")).agg(F.max("l_discount").cast("double").alias("confidence"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = max(1, -(-rows.count() // joins.MATCH_ROWS))
+    # frames are dealt once, and all of a frame's steps stay in its task
+    li = rows.selectExpr("l_orderkey as frame_no", "l_linenumber as i", "l_orderkey * 10 + l_linenumber as pred_id", "l_discount").repartition(parts, "frame_no")
+    li = li.groupBy("frame_no", "i", "pred_id").agg(F.max("l_discount").cast("double").alias("confidence"))
     at = lambda x: F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 10.0).alias("x2"), F.lit(10.0).alias("y2"))
     low = (F.col("i") - F.col("i") % 2) * 20.0
     pred = li.select("pred_id", "frame_no", "confidence", at(low + F.when(F.col("i") % 2 == 1, 2.0).otherwise(0.0)).alias("box"))
     truth = li.select("frame_no", (F.col("frame_no") * 10 + F.col("i") - F.col("i") % 2).alias("truth_id"), at(low).alias("box")).distinct()
-    found = joins.match_ground_truth(pred, truth, ["frame_no"])
+    found = joins.match_ground_truth(pred, truth, ["frame_no"], parts=parts)
     return found.groupBy("pred_id").agg(F.count("*").alias("n"), F.max("truth_id").alias("truth_id"), F.max(F.round("iou", 6)).alias("iou"))
 
 

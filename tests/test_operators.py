@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +235,16 @@ def test_matching_and_metrics(spark):
     assert rho == pytest.approx(0.9486832980505138)
 
 
+def test_matching_tasks_are_bounded_whatever_the_table(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MATCH_ROWS", 100, raising=False)
+    pred = spark.range(3000).selectExpr("id as pred_id", "id div 2 as frame_no", "id % 7 / 10D as confidence", "struct(0D as x1, 0D as y1, 10D as x2, 10D - id % 2 as y2) as box")
+    truth = spark.range(1500).selectExpr("id as truth_id", "id as frame_no", "struct(0D as x1, 0D as y1, 10D as x2, 10D as y2) as box")
+    found = joins.match_ground_truth(pred, truth, ["frame_no"]).withColumn("part", F.spark_partition_id()).collect()
+    assert max(Counter(r["part"] for r in found).values()) <= 300
+    best = {max((a, a + 1), key=lambda k: (k % 7, -k)) for a in range(0, 3000, 2)}
+    assert {r["pred_id"]: r["truth_id"] for r in found} == {k: k // 2 if k in best else None for k in range(3000)}
+
+
 def test_tracking(spark):
     box = "struct<x1:double,y1:double,x2:double,y2:double>"
     rows = [("s", f, k, (100.0 * k + f, 0.0, 100.0 * k + f + 20, 20.0)) for f in range(10) for k in range(2)]
