@@ -26,6 +26,7 @@ empty dataset.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import zlib
@@ -46,9 +47,11 @@ SHARD_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 #: The dictionary is fitted on whole documents of the lowest hashes: at most so many, of so many bytes of text together.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16 << 20, 64 << 10
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
+#: Pieces that the library gets in a call; each token that it returns takes some hundred bytes until its ids are read.
+CALL_PIECES = 4096
 #: Bytes of adjoining texts that are cut into pieces at once: the tables that go with them are many times as large.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 #: How byte-level vocabularies write the space.
 SPACE_LETTER = "\u0120"
 RECORD = "part int, number int, docs int, ids long, first_id long, dictionary string, doc_ids binary, null_ids binary, lengths binary, offsets binary, payload binary"
@@ -108,15 +111,17 @@ class LibraryEncoder:
         """Pieces data[first:last] under their keys; ``plain`` ones hold one space, at their start."""
         order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
         many, flat, lengths = int(plain.sum()), [], []
-        for at in range(0, many, 4096):
-            own = order[at : min(at + 4096, many)]
+        for at in range(0, many, CALL_PIECES):
+            own = order[at : min(at + CALL_PIECES, many)]
             size = last[own] - first[own]
             ends = np.cumsum(size)
             text = data[np.repeat(first[own] - (ends - size), size) + np.arange(ends[-1])].tobytes().decode()
             ids = self._ids([text])[0]
             flat.append(ids)
             lengths.append(np.diff(np.r_[np.flatnonzero(self.spaced[ids]), len(ids)]))
-        alone = self._ids([data[first[k] : last[k]].tobytes().decode() for k in order[many:]])
+        alone: list[np.ndarray] = []
+        for at in range(many, len(order), CALL_PIECES):
+            alone += self._ids([data[first[k] : last[k]].tobytes().decode() for k in order[at : at + CALL_PIECES]])
         flat += alone
         lengths.append(np.array([len(x) for x in alone], np.int64))
         new = np.concatenate(lengths).astype(np.int64)
@@ -187,6 +192,12 @@ class LibraryEncoder:
         return self.encode_column(pa.array(given, pa.string()), end)
 
 
+@functools.lru_cache(1)
+def worker_encoder(vocab_json: str) -> LibraryEncoder:
+    """The encoder of this Python worker: its tasks share the vocabulary and the pieces that are known."""
+    return LibraryEncoder(vocab_json)
+
+
 IS_MARK, IS_LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 _CODES = np.random.default_rng(4711).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -235,7 +246,7 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         vocab, dictionary = shared.value
-        encoder = LibraryEncoder(vocab)
+        encoder = worker_encoder(vocab)
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, level))
         part, number, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, int, bytes]] = []
@@ -275,8 +286,9 @@ def write(docs: DataFrame, path: str, vocab_file: str, *, text: str = "text", do
     order = [F.col(doc_id).asc_nulls_first(), F.col("text_hash")]
     ordered = docs.select(F.col(doc_id).cast("long").alias(doc_id), text, F.xxhash64(text).alias("text_hash")).repartitionByRange(parts, *order)
     ordered = ordered.sortWithinPartitions(*order).select(doc_id, text)
-    with arrow_limits(spark, rows=2048):
-        ordered.mapInArrow(records, RECORD).write.mode("overwrite").parquet(f"{path}/shards")
+    # frames are compressed already; Parquet's codec would hold each payload twice more, off the heap, until a collection
+    with arrow_limits(spark, rows=1024, size="4m"):
+        ordered.mapInArrow(records, RECORD).write.mode("overwrite").option("compression", "none").parquet(f"{path}/shards")
 
 
 RECORD_SCHEMA = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("docs", pa.int32()), ("ids", pa.int64()), ("first_id", pa.int64()), ("dictionary", pa.string()), *[(c, pa.binary()) for c in ("doc_ids", "null_ids", "lengths", "offsets", "payload")]])

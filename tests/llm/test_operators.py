@@ -1,6 +1,7 @@
 """Each operator over odd rows and an empty table, against brute force."""
 
 import collections
+import glob
 import hashlib
 import math
 import os
@@ -8,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -435,6 +437,25 @@ def test_library_encoder_on_random_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts, 2)] == [[*y.ids, 2] for y in tk.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_file_workers_share_an_encoder_and_ask_in_bounded_calls(spark, tmp_path, monkeypatch):
+    """Payloads are compressed once, a worker's tasks share what it knows, and pieces go to the library a few at a time."""
+    docs = spark.createDataFrame([(k, f"Word {k}  two\tspaces {k % 7}") for k in range(300)], "doc_id long, text string").repartition(7)
+    tokenfiles.write(docs, str(tmp_path / "files"), byte_bpe_file())
+    files = glob.glob(str(tmp_path / "files/shards/*.parquet"))
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(10).compression for f in files} == {"UNCOMPRESSED"}
+    tk = library()
+    with open(byte_bpe_file(), encoding="utf-8") as f:
+        vocab = f.read()
+    e = tokenfiles.worker_encoder(vocab)
+    assert tokenfiles.worker_encoder(vocab) is e
+    monkeypatch.setattr(tokenfiles, "CALL_PIECES", 3)
+    calls, ids = [], e._ids
+    monkeypatch.setattr(e, "_ids", lambda pieces: calls.append(len(pieces)) or ids(pieces))
+    texts = [f"Opens{k} with{k} many  {k} words{k}" for k in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [y.ids for y in tk.encode_batch(texts, add_special_tokens=False)]
+    assert max(calls) <= 3
+
+
 def test_bpe_round_trip(odd, odd_rows, none):
     out = bpe.round_trip(odd, byte_bpe_file()).collect()
     sha = lambda b: hashlib.sha256(b).hexdigest()
