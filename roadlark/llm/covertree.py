@@ -5,10 +5,10 @@ one point with a multiplicity. Points are dealt to cells around pivots and cells
 blocks. A cell's covering radius is the exact distance of its furthest point from its pivot; a point meets
 the blocks of another cell only where its distance from that pivot is at most the reach and the
 cell's radius, so pairs of blocks that are too far apart are never dealt. Each block gets a
-cover tree: nested nets whose radii halve from level to level until they no longer thin the points out, each node
-with the exact radius of what it covers. Every pair of blocks is one task, which walks both trees at
-once from the coarsest level, drops node pairs by their covering radii and computes the cosines
-of what is left in double precision. A task returns link counts and a spanning forest, never all pairs.
+cover tree: nested nets whose radii halve from level to level until they no longer thin the points out (not even the
+first, where points are all far apart), each node with the exact radius of what it covers. Every pair of blocks is one task, which walks both trees at
+once from the coarsest level, drops node pairs by their covering radii, drops pairs of points by products in single precision
+less a bound on their error, and computes the cosines of what is left in double precision. A task returns link counts and a spanning forest, never all pairs.
 
 In high dimensions random vectors are all about as far apart, and no bound can drop their block
 pairs: rows sent and work are then quadratic in the number of blocks. Clustered vectors, as real
@@ -36,6 +36,12 @@ from roadlark.llm.components import components
 COARSEST, FINEST = 1.0, 1 / 64
 SLACK = 1e-9
 TILE = 1024
+#: What a step of a product of two unit vectors may lose in single precision, its operands' own rounding included.
+SINGLE_ERROR = 1.2e-7
+#: A net thins its points out if it holds at most one in so many: below that, comparing all points costs less than the nets.
+THIN = 8
+#: Pairs of nodes are followed one by one if at most this share of them is near; else all nodes go down together.
+FEW = 0.02
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -52,14 +58,14 @@ class CoverTree:
     """Nested nets over unit vectors: level by level the centres, whom they cover, and how far."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points
+        self.points, self.single = points, points.astype(np.float32)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.children: list[list[np.ndarray]] = []
         net, owners = np.empty(0, np.int64), []
         radius = COARSEST
         while radius >= FINEST:
             net = self._extend(net, radius)
-            if owners and 2 * len(net) > len(points):  # hardly thinner than the points themselves
+            if THIN * len(net) > len(points):  # hardly thinner than the points themselves
                 break
             owners.append(self._owner(net))
             radius /= 2
@@ -89,10 +95,12 @@ class CoverTree:
         return self.levels[min(level, len(self.levels) - 1)]
 
     def _extend(self, net: np.ndarray, radius: float) -> np.ndarray:
-        """Greedy net that contains the given one: every point has a centre within the radius."""
+        """Greedy net that contains the given one: every point has a centre within the radius. It is left off once it holds too many of the points."""
         chosen = list(net)
         rest = np.setdiff1d(np.arange(len(self.points)), net)
         for at in range(0, len(rest), 256):
+            if THIN * len(chosen) > len(self.points):
+                break
             rows = rest[at : at + 256]
             if chosen:
                 rows = rows[_distances(self.points[rows], self.points[chosen]).min(1) > radius]
@@ -120,15 +128,23 @@ def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.nd
     def walk(level: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         (centres_a, cover_a), (centres_b, cover_b) = a.at(level), b.at(level)
         last = level + 1 >= max(len(a.levels), len(b.levels))
+        least = np.float32(1 - (reach + SLACK) ** 2 / 2 - a.points.shape[1] * SINGLE_ERROR - 4 * SINGLE_ERROR)
+        if not last and len(left) * len(right) > TILE * TILE:  # a look at some node pairs: a level that drops few of them is left out
+            some, others = left[:: 1 + len(left) // 64], right[:: 1 + len(right) // 64]
+            gap = _distances(a.points[centres_a[some]], b.points[centres_b[others]])
+            if (gap <= reach + cover_a[some][:, None] + cover_b[others][None, :] + SLACK).mean() > 2 * FEW:
+                yield from walk(level + 1, np.concatenate([a.below(level, x) for x in left]), np.concatenate([b.below(level, y) for y in right]))
+                return
         for at in range(0, len(left), TILE):
             rows = left[at : at + TILE]
-            gap = _distances(a.points[centres_a[rows]], b.points[centres_b[right]])
-            i, j = np.nonzero(gap <= reach + cover_a[rows][:, None] + cover_b[right][None, :] + SLACK)
-            if last:
+            if last:  # points cover nothing but themselves
+                i, j = np.nonzero(a.single[centres_a[rows]] @ b.single[centres_b[right]].T >= least)
                 if len(i):
                     yield rows[i], right[j]
                 continue
-            if len(i) > 0.1 * gap.size:  # hardly any pair dropped: go down with all of them at once
+            gap = _distances(a.points[centres_a[rows]], b.points[centres_b[right]])
+            i, j = np.nonzero(gap <= reach + cover_a[rows][:, None] + cover_b[right][None, :] + SLACK)
+            if len(i) > FEW * gap.size:  # hardly any pair dropped: go down with all of them at once
                 if len(i):
                     yield from walk(level + 1, np.concatenate([a.below(level, x) for x in np.unique(rows[i])]), np.concatenate([b.below(level, x) for x in np.unique(right[j])]))
             else:

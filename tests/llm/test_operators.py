@@ -533,6 +533,23 @@ def test_repeats_of_a_long_text(spark):
 
 # 9 cover tree
 
+def test_far_points_are_compared_once_and_in_single_precision_first():
+    """Points that no net thins out get no level above themselves; pairs right at the limit are not lost to rounding."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    x[750:800] = x[:50] + rng.normal(0, 0.06 * np.sqrt(64), (50, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(50, 64))
+    side -= (side * x[50:100]).sum(1)[:, None] * x[50:100]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x[800:850] = 0.9 * x[50:100] + np.sqrt(1 - 0.81) * side  # cosine 0.9 but for rounding
+    a, b = covertree.CoverTree(x[:750]), covertree.CoverTree(x[750:])
+    assert len(a.levels) == len(b.levels) == 1
+    found = {(int(p), int(q)) for i, j in covertree.near_pairs(a, b, float(np.sqrt(0.2))) for p, q in zip(i, j, strict=True)}
+    assert set(zip(*(k.tolist() for k in np.nonzero(x[:750] @ x[750:].T >= 0.9 - 1e-12)), strict=True)) <= found
+    assert {(50 + k, 50 + k) for k in range(50)} <= found and len(found) < 1000
+
+
 
 def test_cover_tree(spark):
     rng = np.random.default_rng(0)
