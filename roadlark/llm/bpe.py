@@ -15,6 +15,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -28,7 +29,9 @@ from roadlark.llm.pretokens import END_OF_TEXT, pretokens
 
 SPAN = 1024
 NONE = np.int32(np.iinfo(np.int32).max)
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
+#: Bytes of new pretokens that are indexed at once: the index takes some 70 bytes for each.
+LEARN_BYTES = 1 << 19
 CACHE_WORDS = 400_000
 
 
@@ -163,8 +166,15 @@ class Encoder:
         self.lengths = np.array([1], np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        ids, counts = PairIndex(self.merges, [w.encode() for w in words]).run()
-        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, counts])
+        ids, lengths, part, size = [self.ids], [self.lengths], [], 0
+        for k, word in enumerate(words):
+            part.append(word.encode())
+            size += len(part[-1])
+            if size >= LEARN_BYTES or k + 1 == len(words):
+                for found, own in zip((ids, lengths), PairIndex(self.merges, part).run(), strict=True):
+                    found.append(own)
+                part, size = [], 0
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
@@ -192,6 +202,12 @@ class Encoder:
         return self.ids[np.repeat(starts[words] - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
+@functools.lru_cache(1)
+def worker_merges(text: str) -> Merges:
+    """The merges of this Python worker, which its tasks share."""
+    return Merges(text)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Table, list[str]]]:
     """Batches gathered to blocks of about BLOCK_CHARS."""
     held, size = [], 0
@@ -219,24 +235,31 @@ def round_trip(docs: DataFrame, vocab_file: str, *, text: str = "text", doc_id:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "is_lossless", *["ids"] * with_ids]
     step = 256  # rows of a batch that goes back
 
+    def answers(merges: Merges, table: pa.Table, texts: list[str], encoded: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = table.column(doc_id).combine_chunks()
+        for at in range(0, len(texts), step):
+            part, out = encoded[at : at + step], []
+            for given, ids in zip(texts[at : at + step], part, strict=True):
+                again = decode(merges, ids)
+                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == given))
+            columns = [pa.array(x) for x in zip(*out, strict=True)]
+            if with_ids:
+                offsets = np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part))))
+            own = keys.slice(at, len(part))
+            yield pa.RecordBatch.from_arrays([own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own, *columns], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        merges = Merges(shared.value)
+        merges = worker_merges(shared.value)
         encoder = Encoder(merges)
         for table, texts in blocks(batches, text):
-            encoded, keys = encoder.encode(texts), table.column(doc_id).combine_chunks()
-            for at in range(0, len(texts), step):
-                part, out = encoded[at : at + step], []
-                for given, ids in zip(texts[at : at + step], part, strict=True):
-                    again = decode(merges, ids)
-                    out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == given))
-                columns = [pa.array(x) for x in zip(*out, strict=True)]
-                if with_ids:
-                    offsets = np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part))))
-                own = keys.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own, *columns], names=names)
+            yield from answers(merges, table, texts, encoder.encode(texts))
+            del table, texts
+            trim()
+        del encoder  # else the worker keeps its pretokens while it waits for the next task
+        trim()
 
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean" + ", ids array<int>" * with_ids
-    with arrow_limits(spark):
+    with arrow_limits(spark, size="2m"):
         return Scratch(spark, "bpe").save(docs.select(doc_id, text).mapInArrow(run, schema), "round-trip")

@@ -478,6 +478,30 @@ def test_pair_index_on_random_texts():
     assert [x.tolist() for x in e.encode(texts)] == [y.ids for y in tk.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_memory_does_not_grow_with_new_pretokens():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    with open(byte_bpe_file(), encoding="utf-8") as f:
+        e = bpe.Encoder(bpe.Merges(f.read()))
+    letters = np.random.default_rng(4).integers(97, 123, (250_000, 9), dtype=np.uint8)
+    words = [" " + w.tobytes().decode() for w in letters]
+    tracemalloc.start()
+    e._learn(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20  # the index of all these words at once takes 165 MB
+    some = [*words[:500], *words[52_300:52_600], *words[-500:]]  # a part of LEARN_BYTES ends in between
+    e = bpe.Encoder(e.merges)
+    e._learn(words)
+    starts = np.cumsum(e.lengths) - e.lengths
+    at = {w: k + 1 for k, w in enumerate(words)}  # 0 is the end-of-text marker
+    assert [e.ids[starts[at[w]] : starts[at[w]] + e.lengths[at[w]]].tolist() for w in some] == [y.ids for y in library().encode_batch(some, add_special_tokens=False)]
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * (1 << 19)]})
+    assert all(sum(map(len, texts)) <= 3 << 20 for _, texts in bpe.blocks(iter([batch] * 20), "text"))
+
+
 # 8 quality rules
 
 
