@@ -29,10 +29,13 @@ from roadlark.llm.pretokens import END_OF_TEXT, pretokens
 
 SPAN = 1024
 NONE = np.int32(np.iinfo(np.int32).max)
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 #: Bytes of new pretokens that are indexed at once: the index takes some 70 bytes for each.
-LEARN_BYTES = 1 << 19
-CACHE_WORDS = 400_000
+LEARN_BYTES = 1 << 17
+#: Pretokens that a task remembers; after it has forgotten them, the next block brings the frequent ones back.
+CACHE_WORDS = 100_000
+#: Bytes of ids in a row group. Who reads the table takes up to 4,096 rows of a row group at once, in arrays on the heap.
+ROW_GROUP = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -262,4 +265,4 @@ def round_trip(docs: DataFrame, vocab_file: str, *, text: str = "text", doc_id:
 
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean" + ", ids array<int>" * with_ids
     with arrow_limits(spark, size="2m"):
-        return Scratch(spark, "bpe").save(docs.select(doc_id, text).mapInArrow(run, schema), "round-trip")
+        return Scratch(spark, "bpe").save(docs.select(doc_id, text).mapInArrow(run, schema), "round-trip", row_group=ROW_GROUP)

@@ -95,8 +95,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(self.path(name))
+    def save(self, frame: DataFrame, name: str, *, row_group: int | None = None) -> DataFrame:
+        """``row_group``: bytes of a row group, where Parquet's usual 128 MB are too many to be read."""
+        frame.write.mode("overwrite").options(**{"parquet.block.size": row_group} if row_group else {}).parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def save_bucketed(self, frame: DataFrame, name: str, column: str, buckets: int) -> DataFrame:

@@ -13,6 +13,8 @@ Reruns agree: the shuffle is a hash.
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,8 +82,10 @@ def _sources(spark: SparkSession, slim: DataFrame, cycle: tuple[float, ...], bud
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # str compares by code point
     sizes = [r["size"] for r in rows]
     targets = water_fill(sizes, [cycle[i % len(cycle)] for i in range(len(rows))], budget_share * sum(sizes), float(epochs))
-    schema = "name string, place int, source_size long, source_rows long, target double"
-    return spark.createDataFrame([(r["source"], i, r["size"], r["n"], t) for i, (r, t) in enumerate(zip(rows, targets, strict=True))], schema)
+    columns = [[r["source"] for r in rows], range(len(rows)), sizes, [r["n"] for r in rows], targets]
+    schema = pa.schema([("name", pa.string()), ("place", pa.int32()), ("source_size", pa.int64()), ("source_rows", pa.int64()), ("target", pa.float64())])
+    # from Arrow: a list would go through Python workers, whose daemon then stays in every executor
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema))
 
 
 def _cut(timed: DataFrame, epochs: int, budget_share: float, parts: int = 2048, most: float = 4.0) -> float:

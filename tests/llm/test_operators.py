@@ -502,6 +502,31 @@ def test_bpe_memory_does_not_grow_with_new_pretokens():
     assert all(sum(map(len, texts)) <= 3 << 20 for _, texts in bpe.blocks(iter([batch] * 20), "text"))
 
 
+def test_bpe_remembers_a_bounded_number_of_pretokens():
+    import tracemalloc
+
+    with open(byte_bpe_file(), encoding="utf-8") as f:
+        e = bpe.Encoder(bpe.Merges(f.read()))
+    letters = np.random.default_rng(5).integers(97, 123, (400_000, 9), dtype=np.uint8)
+    texts = [" ".join(w.tobytes().decode() for w in part) for part in np.split(letters, 5)]
+    tracemalloc.start()
+    got = [e.encode([t])[0] for t in texts]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(e.known) < 190_000 and most < 70 << 20
+    assert [x.tolist() for x in got] == [y.ids for y in library().encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_writes_ids_in_row_groups_that_are_read_in_small_arrays(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(k, " ".join(map(str, rng.integers(0, 10**6, 1500).tolist()))) for k in range(800)], "doc_id long, text string").coalesce(1)
+    out = bpe.round_trip(docs, byte_bpe_file(), with_ids=True)
+    groups = [f.metadata.row_group(k) for f in map(pq.ParquetFile, (x.removeprefix("file://") for x in out.inputFiles())) for k in range(f.num_row_groups)]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) < 2 * bpe.ROW_GROUP
+    tk = library()
+    assert {r["doc_id"]: r["ids"] for r in out.collect()} == {r["doc_id"]: tk.encode(r["text"], add_special_tokens=False).ids for r in docs.collect()}
+
+
 # 8 quality rules
 
 
@@ -687,6 +712,14 @@ def test_mixture_against_a_played_queue(spark, monkeypatch):
     assert all(got[2000 + i] == 0 for i in range(5))
 
 
+def test_mixture_keeps_its_table_of_sources_out_of_python_workers(spark):
+    slim = spark.createDataFrame([("b", 3), (None, 2), ("a", 5)], "source string, size long")
+    table = mixing._sources(spark, slim, mixing.CYCLE, 1.5, 2)
+    assert table.schema.simpleString() == "struct<name:string,place:int,source_size:bigint,source_rows:bigint,target:double>"
+    assert [tuple(r)[:4] for r in table.collect()] == [("a", 0, 5, 1), ("b", 1, 3, 1), (None, 2, 2, 1)]
+    assert "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()  # a list gives a scan of an RDD from Python
+
+
 def test_mixture_without_words(spark):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["taken"], r["target"]) for r in mixing.mix(docs).collect()] == [(0, 0.0)] * 2 and mixing.mixed(docs).count() == 0
